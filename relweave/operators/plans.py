@@ -97,8 +97,10 @@ def validate_field_matches(raw: DataFrame, columns: DataFrame) -> DataFrame:
     """Usable field matches with corrected confidences, best first.
 
     ``raw`` has text columns source_table, source_field, target_table, target_field, algorithm and
-    confidence; ``columns`` lists table_name and column_name.
+    confidence, and may have more; ``columns`` lists table_name and column_name.
     """
+    core = {"source_table", "source_field", "target_table", "target_field", "algorithm", "confidence"}
+    extra = [c for c in raw.columns if c not in core]
     names = columns.select("table_name", "column_name").distinct()
     source = names.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_field"))
     target = names.select(F.col("table_name").alias("target_table"), F.col("column_name").alias("target_field"))
@@ -114,6 +116,6 @@ def validate_field_matches(raw: DataFrame, columns: DataFrame) -> DataFrame:
     return (
         usable.join(source, ["source_table", "source_field"], "left_semi")
         .join(target, ["target_table", "target_field"], "left_semi")
-        .select("source_table", "source_field", "target_table", "target_field", "algorithm", corrected.alias("confidence"))
+        .select("source_table", "source_field", "target_table", "target_field", "algorithm", corrected.alias("confidence"), *extra)
         .orderBy(F.desc("confidence"))
     )
