@@ -19,17 +19,19 @@ def quote(text: Column) -> Column:
 
 def entity_id(df: DataFrame, table_name: str, columns: Sequence[str]) -> Column:
     """``table:key|key`` with every part quoted, so different keys never collide."""
+    schema = df.schema
     parts = []
     for name in columns:
-        dtype = df.schema[name].dataType
-        text = F.coalesce(as_text(F.col(name), dtype), F.lit("None"))
+        dtype = schema[name].dataType
+        text = F.coalesce(as_text(name, dtype), F.lit("None"))
         parts.append(text if is_integral(dtype) else quote(text))
     return F.concat(F.lit(quote_text(table_name, safe="") + ":"), F.concat_ws("|", *parts))
 
 
 def key_order(df: DataFrame, columns: Sequence[str]) -> Column:
     """Array that sorts like the primary key."""
-    return F.array(*[order_text(F.col(c), df.schema[c].dataType) for c in columns])
+    schema = df.schema
+    return F.array(*[order_text(c, schema[c].dataType) for c in columns])
 
 
 def edge_id(kind: str, source: Column, target: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Turning typed column values into text: plain strings, sort keys and typed JSON."""
+"""Turning typed column values into text: plain strings, sort keys and typed JSON.
+
+The expressions are written as SQL over a column reference, so a wide table costs one call per
+column to define, however long the expression is.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ MAX_SAFE_INTEGER = 2**53 - 1
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
+_TIMESTAMPS = (T.TimestampType, T.TimestampNTZType)
 
 
 def is_integral(dtype: T.DataType) -> bool:
@@ -33,134 +38,139 @@ def require_comparable(left: T.DataType, right: T.DataType, what: str) -> None:
         raise ValueError(f"{what}: {left.simpleString()} and {right.simpleString()} are never equal")
 
 
-def _double_text(value: Column) -> Column:
-    """Shortest decimal form with Python's switch points to exponent notation (1e-4 and 1e16)."""
-    plain = value.cast("string")
-    parts = F.split(F.abs(value).cast("string"), "E")
-    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    mantissa = parts[0]
-    exponent = F.try_element_at(parts, F.lit(2)).cast("int")
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "0+$", "")
-    whole = F.concat(F.substring(F.rpad(digits, 17, "0"), F.lit(1), exponent + 1), F.lit("."))
-    fraction = F.substring(digits, exponent + F.lit(2), F.lit(17))
-    wide = F.concat(sign, whole, F.when(fraction == "", F.lit("0")).otherwise(fraction))
-    tiny = F.concat(sign, F.repeat(F.lit("0"), F.lit(1)), F.lit("."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    scientific = F.concat(
-        sign,
-        F.regexp_replace(mantissa, r"\.0$", ""),
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+def column_ref(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _double_text(x: str) -> str:
+    """Shortest decimal form; exponent notation below 1e-4 and from 1e16, as Python prints it."""
+    shown = f"CAST(abs(CAST({x} AS DOUBLE)) AS STRING)"
+    mantissa = f"substring_index({shown}, 'E', 1)"
+    exponent = f"CAST(nullif(substring_index({shown}, 'E', -1), {shown}) AS INT)"
+    digits = f"trim(TRAILING '0' FROM replace({mantissa}, '.', ''))"
+    sign = f"if({x} < 0, '-', '')"
+    wide = (
+        f"concat({sign}, substring(rpad({digits}, 17, '0'), 1, {exponent} + 1), '.', "
+        f"coalesce(nullif(substring({digits}, {exponent} + 2), ''), '0'))"
+    )
+    tiny = f"concat({sign}, '0.', repeat('0', -{exponent} - 1), {digits})"
+    scientific = (
+        f"concat({sign}, regexp_replace({mantissa}, '[.]0$', ''), if({exponent} < 0, 'e-', 'e+'), "
+        f"lpad(CAST(abs({exponent}) AS STRING), 2, '0'))"
     )
     return (
-        F.when(F.isnan(value), F.lit("nan"))
-        .when(value == float("inf"), F.lit("inf"))
-        .when(value == float("-inf"), F.lit("-inf"))
-        .when(exponent.isNull(), plain)
-        .when((exponent >= 0) & (exponent < 16), wide)
-        .when((exponent < 0) & (exponent >= -4), tiny)
-        .otherwise(scientific)
+        f"CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'nan' WHEN {x} = double('Infinity') THEN 'inf' "
+        f"WHEN {x} = double('-Infinity') THEN '-inf' WHEN {exponent} IS NULL THEN CAST(CAST({x} AS DOUBLE) AS STRING) "
+        f"WHEN {exponent} BETWEEN 0 AND 15 THEN {wide} WHEN {exponent} BETWEEN -4 AND -1 THEN {tiny} ELSE {scientific} END"
     )
 
 
-def _timestamp_text(value: Column, separator: str) -> Column:
-    pattern = f"yyyy-MM-dd'{separator}'HH:mm:ss"
-    has_fraction = F.date_format(value, "SSSSSS") != "000000"
-    return F.when(has_fraction, F.date_format(value, pattern + ".SSSSSS")).otherwise(F.date_format(value, pattern))
+def _timestamp_text(x: str, separator: str) -> str:
+    pattern = f"yyyy-MM-dd''{separator}''HH:mm:ss".replace("''", "\\'")
+    return (
+        f"if(date_format({x}, 'SSSSSS') = '000000', date_format({x}, '{pattern}'), date_format({x}, '{pattern}.SSSSSS'))"
+    )
 
 
-def as_text(value: Column, dtype: T.DataType) -> Column:
-    """The text of a value, null for null."""
+def text_sql(x: str, dtype: T.DataType) -> str:
+    """SQL for the text of a value, null for null."""
     if isinstance(dtype, T.StringType):
-        return value
+        return x
     if isinstance(dtype, T.BooleanType):
-        return F.when(value, F.lit("True")).when(~value, F.lit("False"))
+        return f"CASE WHEN {x} THEN 'True' WHEN NOT {x} THEN 'False' END"
     if isinstance(dtype, _FLOATING):
-        return F.when(value.isNotNull(), _double_text(value.cast("double")))
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return _timestamp_text(value, " ")
+        return _double_text(x)
+    if isinstance(dtype, _TIMESTAMPS):
+        return _timestamp_text(x, " ")
     if isinstance(dtype, T.BinaryType):
-        return F.base64(value)
+        return f"base64({x})"
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(value)
-    return value.cast("string")
+        return f"to_json({x})"
+    return f"CAST({x} AS STRING)"
+
 
+def as_text(name: str, dtype: T.DataType) -> Column:
+    """The text of a column's value, null for null."""
+    return F.expr(text_sql(column_ref(name), dtype))
 
-def order_text(value: Column, dtype: T.DataType) -> Column:
+
+def order_text(name: str, dtype: T.DataType) -> Column:
     """Text whose code-point order is the value order, for sort keys of mixed tables."""
+    x = column_ref(name)
     if isinstance(dtype, _INTEGRAL):
-        shifted = value.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
-        return F.lpad(shifted.cast("string"), 20, "0")
-    return as_text(value, dtype)
+        return F.expr(f"lpad(CAST(CAST({x} AS DECIMAL(20, 0)) + {2**63} AS STRING), 20, '0')")
+    return as_text(name, dtype)
 
 
-def _tagged(tag: str, text: Column) -> Column:
-    return F.to_json(F.struct(F.lit(tag).alias("$type"), text.alias("value")))
+def _tagged(tag: str, text: str) -> str:
+    return f"""to_json(named_struct('$type', '{tag}', 'value', {text}))"""
 
 
-def _json_string(text: Column) -> Column:
+def quoted_sql(text: str) -> str:
     """One quoted JSON string, escaped by Spark's own JSON writer."""
-    wrapped = F.to_json(F.struct(text.alias("v")))
-    return F.when(text.isNotNull(), F.substring(wrapped, F.lit(6), F.length(wrapped) - 6))
+    wrapped = f"to_json(named_struct('v', {text}))"
+    return f"substring({wrapped}, 6, char_length({wrapped}) - 6)"
 
 
-def typed_json(value: Column, dtype: T.DataType) -> Column:
-    """JSON text of one value that keeps types plain JSON would lose."""
-    if isinstance(dtype, (T.NullType,)):
-        encoded = F.lit("null")
-    elif isinstance(dtype, T.BooleanType):
-        encoded = value.cast("string")
+def json_sql(x: str, dtype: T.DataType, depth: int = 0) -> str:
+    """SQL for the JSON text of one value, with the types plain JSON would lose."""
+    text = text_sql(x, dtype)
+    item = f"x{depth}"
+    if isinstance(dtype, T.BooleanType):
+        encoded = f"CAST({x} AS STRING)"
     elif isinstance(dtype, T.StringType):
-        encoded = _json_string(value)
+        encoded = quoted_sql(x)
     elif isinstance(dtype, _INTEGRAL):
-        safe = F.abs(value.cast("decimal(20,0)")) <= F.lit(MAX_SAFE_INTEGER)
-        encoded = F.when(safe, value.cast("string")).otherwise(_tagged("integer", value.cast("string")))
+        safe = f"abs(CAST({x} AS DECIMAL(20, 0))) <= {MAX_SAFE_INTEGER}"
+        encoded = f"if({safe}, {text}, {_tagged('integer', text)})"
     elif isinstance(dtype, _FLOATING):
-        number = value.cast("double")
-        text = _double_text(number)
-        finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
-        encoded = F.when(finite, text).otherwise(_tagged("float", text))
+        finite = f"NOT isnan({x}) AND abs({x}) <> double('Infinity')"
+        encoded = f"if({finite}, {text}, {_tagged('float', text)})"
     elif isinstance(dtype, T.DecimalType):
-        encoded = _tagged("decimal", value.cast("string"))
-    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        encoded = _tagged("datetime", _timestamp_text(value, "T"))
+        encoded = _tagged("decimal", text)
+    elif isinstance(dtype, _TIMESTAMPS):
+        encoded = _tagged("datetime", _timestamp_text(x, "T"))
     elif isinstance(dtype, T.DateType):
-        encoded = _tagged("date", value.cast("string"))
+        encoded = _tagged("date", text)
     elif isinstance(dtype, T.BinaryType):
-        encoded = F.to_json(
-            F.struct(
-                F.lit("bytes").alias("$type"),
-                F.lit("base64").alias("encoding"),
-                F.regexp_replace(F.base64(value), r"\s", "").alias("value"),
-            )
-        )
+        plain = f"regexp_replace(base64({x}), '[\\\\r\\\\n]', '')"
+        encoded = f"to_json(named_struct('$type', 'bytes', 'encoding', 'base64', 'value', {plain}))"
     elif isinstance(dtype, T.ArrayType):
-        items = F.transform(value, lambda item: typed_json(item, dtype.elementType))
-        encoded = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+        encoded = f"concat('[', array_join(transform({x}, {item} -> {json_sql(item, dtype.elementType, depth + 1)}), ','), ']')"
     elif isinstance(dtype, T.MapType):
-        pairs = F.transform(
-            F.map_entries(value),
-            lambda e: F.concat(
-                _json_string(as_text(e["key"], dtype.keyType)), F.lit(":"), typed_json(e["value"], dtype.valueType)
-            ),
-        )
-        encoded = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+        key = quoted_sql(text_sql(f"{item}.key", dtype.keyType))
+        value = json_sql(f"{item}.value", dtype.valueType, depth + 1)
+        encoded = f"concat('{{', array_join(transform(map_entries({x}), {item} -> concat({key}, ':', {value})), ','), '}}')"
     elif isinstance(dtype, T.StructType):
-        encoded = json_object({f.name: typed_json(value[f.name], f.dataType) for f in dtype.fields})
+        parts = ", ".join(
+            f"concat({sql_text(_json_name(f.name))}, {json_sql(f'{x}.{column_ref(f.name)}', f.dataType, depth + 1)})" for f in dtype.fields
+        )
+        encoded = f"concat('{{', concat_ws(',', {parts}), '}}')"
     else:
-        encoded = _tagged("unsupported", F.lit(dtype.typeName()))
-    return F.when(value.isNotNull(), F.coalesce(encoded, F.lit("null"))).otherwise(F.lit("null"))
+        encoded = _tagged("unsupported", f"'{dtype.typeName()}'")
+    return f"if({x} IS NULL, 'null', {encoded})"
 
 
-def json_object(fields: dict[str, Column]) -> Column:
-    """A JSON object from already encoded JSON values."""
-    pieces: list[Column] = []
-    for name, encoded in fields.items():
-        pieces.append(F.concat(_json_string(F.lit(name)), F.lit(":"), encoded))
-    return F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}"))
+def _json_name(name: str) -> str:
+    return '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '":'
+
+
+def typed_json(name: str, dtype: T.DataType) -> Column:
+    """JSON text of one column's value that keeps its type."""
+    return F.expr(json_sql(column_ref(name), dtype))
 
 
 def encoded_object(encoded: Column, names: Column) -> Column:
     """A JSON object of the named entries of a map of encoded JSON values, in the given order."""
     present = F.filter(names, lambda n: F.map_contains_key(encoded, n))
-    pairs = F.transform(present, lambda n: F.concat(_json_string(n), F.lit(":"), encoded[n]))
-    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+    def entry(name: Column) -> Column:
+        wrapped = F.to_json(F.struct(name.alias("v")))
+        return F.concat(F.substring(wrapped, F.lit(6), F.char_length(wrapped) - 6), F.lit(":"), encoded[name])
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(present, entry), ","), F.lit("}"))

@@ -50,7 +50,7 @@ def fk_matches(catalog: Catalog, key: ForeignKey) -> DataFrame:
     left = source.frame.where(_present(source.frame, key.source_columns)).select(
         entity_id(source.frame, key.source_table, source.primary_key).alias("source"),
         *[F.col(s).alias(f"_k{i}") for i, (s, _) in enumerate(pairs)],
-        *[as_text(F.col(s), source.frame.schema[s].dataType).alias(f"_s{i}") for i, (s, _) in enumerate(pairs)],
+        *[as_text(s, source.frame.schema[s].dataType).alias(f"_s{i}") for i, (s, _) in enumerate(pairs)],
     )
     joined = [f"_k{i}" for i in range(len(pairs))]
     keys = target.frame.where(_present(target.frame, key.target_columns))
@@ -65,7 +65,7 @@ def fk_matches(catalog: Catalog, key: ForeignKey) -> DataFrame:
     last = fk_target_dedupe(keys, key.target_columns, target.primary_key, key.target_table)
     last = last.select(
         *[F.col(t).alias(f"_k{i}") for i, (_, t) in enumerate(pairs)],
-        *[as_text(F.col(t), target.frame.schema[t].dataType).alias(f"_t{i}") for i, (_, t) in enumerate(pairs)],
+        *[as_text(t, target.frame.schema[t].dataType).alias(f"_t{i}") for i, (_, t) in enumerate(pairs)],
         F.col("entity_id").alias("target"),
     )
     return left.join(last, joined).drop(*joined)
@@ -260,7 +260,7 @@ def unique_identifier_edges(catalog: Catalog, plans: Sequence[IdentifierPlan]) -
 def _single_carriers(catalog: Catalog, table: str, column: str, side: str) -> DataFrame:
     spec = catalog.tables[table]
     dtype = spec.frame.schema[column].dataType
-    text = as_text(F.col(column), dtype)
+    text = as_text(column, dtype)
     rows = spec.frame.where(F.col(column).isNotNull()).select(
         normalize_value(text, ascii_only=not isinstance(dtype, T.StringType)).alias("identifier"),
         text.alias("value"),
@@ -355,7 +355,7 @@ def relation_rows(relation_tables: Mapping[str, DataFrame]) -> DataFrame:
     """Distinct rows of all relation tables.  Repeats collapse map-side, before any join."""
     frames = []
     for name, frame in relation_tables.items():
-        columns = [as_text(F.col(c), frame.schema[c].dataType).alias(c) for c in RELATION_TABLE_COLUMNS]
+        columns = [as_text(c, frame.schema[c].dataType).alias(c) for c in RELATION_TABLE_COLUMNS]
         frames.append(frame.select(F.lit(name).alias("relation_table"), *columns).na.drop())
     return union_all(frames).distinct()
 

@@ -19,23 +19,23 @@ def _map(entries: list[tuple[str, Column]]) -> Column:
 
 def _normalized(spec: EntityTable, column: str) -> Column:
     dtype = spec.frame.schema[column].dataType
-    return normalize_value(as_text(F.col(column), dtype), ascii_only=not isinstance(dtype, T.StringType))
+    return normalize_value(as_text(column, dtype), ascii_only=not isinstance(dtype, T.StringType))
 
 
 def display_name(spec: EntityTable, dimensions: list[str], fallback_id: Column) -> Column:
     """The stripped name; without a name column, the first dimension with text, else the id."""
     schema = spec.frame.schema
     if spec.name_column is not None:
-        shown = strip_to_null(as_text(F.col(spec.name_column), schema[spec.name_column].dataType))
+        shown = strip_to_null(as_text(spec.name_column, schema[spec.name_column].dataType))
         return F.coalesce(shown, F.lit(UNNAMED))
-    first = [F.when(_normalized(spec, c) != "", as_text(F.col(c), schema[c].dataType)) for c in dimensions]
+    first = [F.when(_normalized(spec, c) != "", as_text(c, schema[c].dataType)) for c in dimensions]
     return F.coalesce(*first, fallback_id)
 
 
 def display_code(spec: EntityTable) -> Column:
     """First non-blank business code, best column first."""
     schema = spec.frame.schema
-    codes = [strip_to_null(as_text(F.col(c), schema[c].dataType)) for c in spec.code_columns]
+    codes = [strip_to_null(as_text(c, schema[c].dataType)) for c in spec.code_columns]
     return F.coalesce(*codes) if codes else F.lit(None).cast("string")
 
 
@@ -43,7 +43,7 @@ def class_name(spec: EntityTable) -> Column:
     column = spec.class_column
     if column is None:
         return F.lit(None).cast("string")
-    return strip_to_null(as_text(F.col(column), spec.frame.schema[column].dataType))
+    return strip_to_null(as_text(column, spec.frame.schema[column].dataType))
 
 
 def legacy_class_name(df: DataFrame) -> Column:
@@ -58,25 +58,25 @@ def table_documents(catalog: Catalog, table: str, dimensions: list[str] | None =
     frame = catalog.scan(table)
     schema = frame.schema
     dims = catalog.auxiliary_dimensions(table) if dimensions is None else dimensions
-    texts = [(c, as_text(F.col(c), schema[c].dataType)) for c in dims]
+    texts = [(c, as_text(c, schema[c].dataType)) for c in dims]
     own_id = entity_id(frame, table, spec.primary_key)
     shown = display_name(spec, dims, own_id)
     class_text = class_name(spec)
     evidence = [F.concat(F.lit(f"{c}："), F.coalesce(t, F.lit("None"))) for c, t in texts]
     single = spec.primary_key[0] if len(spec.primary_key) == 1 else None
     blank = F.lit(False) if spec.name_column is None else strip_to_null(
-        as_text(F.col(spec.name_column), schema[spec.name_column].dataType)
+        as_text(spec.name_column, schema[spec.name_column].dataType)
     ).isNull()
     return frame.select(
         own_id.alias("entity_id"),
         F.lit(table).alias("table_name"),
         key_order(frame, spec.primary_key).alias("key_order"),
-        (as_text(F.col(single), schema[single].dataType) if single else F.lit(None).cast("string")).alias("single_key"),
+        (as_text(single, schema[single].dataType) if single else F.lit(None).cast("string")).alias("single_key"),
         shown.alias("display_name"),
         display_code(spec).alias("display_code"),
         class_text.alias("class_name"),
         _map(texts).alias("dimensions"),
-        _map([(c, typed_json(F.col(c), schema[c].dataType)) for c in dims]).alias("typed_dimensions"),
+        _map([(c, typed_json(c, schema[c].dataType)) for c in dims]).alias("typed_dimensions"),
         _map([(c, _normalized(spec, c)) for c in dims]).alias("normalized_dimensions"),
         F.concat_ws("；", shown, F.coalesce(class_text, F.lit("")), *evidence).alias("search_text"),
         blank.alias("is_blank_name"),
@@ -94,7 +94,7 @@ def quality_flags(catalog: Catalog) -> DataFrame:
     for table, spec in catalog.tables.items():
         blank = F.lit(None).cast("boolean")
         if spec.name_column is not None:
-            blank = strip_to_null(as_text(F.col(spec.name_column), spec.frame.schema[spec.name_column].dataType)).isNull()
+            blank = strip_to_null(as_text(spec.name_column, spec.frame.schema[spec.name_column].dataType)).isNull()
         frames.append(
             spec.frame.select(
                 F.lit(table).alias("table_name"),
@@ -116,13 +116,22 @@ def signature(documents: DataFrame) -> Column:
     return F.sha2(F.to_json(F.array(F.col("table_name"), name, class_text, dims)), 256)
 
 
+def signed(documents: DataFrame) -> DataFrame:
+    """Documents with their signature, to be computed once and read by many."""
+    return documents.withColumn("signature", signature(documents))
+
+
+def _with_signature(documents: DataFrame) -> DataFrame:
+    return documents if "signature" in documents.columns else signed(documents)
+
+
 def signature_groups(documents: DataFrame) -> DataFrame:
     """One row per signature: its representative (first by key) and its size.
 
     The members stay in long form (``signature_members``): one signature may cover a large share
     of a table, so they are never collected into an array.
     """
-    keyed = documents.select(signature(documents).alias("signature"), "table_name", "entity_id", "key_order")
+    keyed = _with_signature(documents).select("signature", "table_name", "entity_id", "key_order")
     return keyed.groupBy("signature").agg(
         F.first("table_name").alias("table_name"),
         F.min(F.struct("key_order", "entity_id")).alias("_first"),
@@ -132,7 +141,7 @@ def signature_groups(documents: DataFrame) -> DataFrame:
 
 def signature_members(documents: DataFrame, groups: DataFrame) -> DataFrame:
     """Each document with the representative of its signature."""
-    keyed = documents.select(signature(documents).alias("signature"), "entity_id")
+    keyed = _with_signature(documents).select("signature", "entity_id")
     return keyed.join(groups.select("signature", "representative_id"), "signature")
 
 

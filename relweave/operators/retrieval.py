@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from relweave.functions.text import dimension_text, keyword_tokens
 from relweave.functions.vectors import Encoder, embed_text, usable_vector
 from relweave.operators.plans import MAX_CANDIDATES
 from relweave.operators.ranking import top_k
 from relweave.operators.vector_search import nearest_vectors
+from relweave.session import materialize
 from relweave.sources.catalog import union_all
 
 KEYWORD, SEMANTIC = "keyword", "semantic"
@@ -51,9 +52,9 @@ def keyword_index(texts: DataFrame) -> DataFrame:
 
 
 def first_postings(index: DataFrame) -> DataFrame:
-    """The first K postings of each token with their place in the list."""
+    """The first K postings of each token with their place in the list, stored as the index to search."""
     ranked = top_k(index, ["plan_id", "token"], [F.col("key_order"), F.col("entity_id")], MAX_CANDIDATES, "place")
-    return ranked.where(F.col("place") <= F.col("k"))
+    return materialize(ranked.where(F.col("place") <= F.col("k")).drop("key_order"), "postings")
 
 
 def keyword_candidates(sources: DataFrame, postings: DataFrame) -> DataFrame:
@@ -65,14 +66,13 @@ def keyword_candidates(sources: DataFrame, postings: DataFrame) -> DataFrame:
     tokens = sources.where(F.array_contains("retrieval_modes", KEYWORD)).select(
         "plan_id", F.col("entity_id").alias("source_id"), "k", F.explode(keyword_tokens(F.col("text"))).alias("token")
     )
-    full = postings.where(F.col("place") == F.col("k")).select("plan_id", "token")
-    stops = (
-        tokens.join(full, ["plan_id", "token"], "left_semi")
-        .groupBy("plan_id", "source_id")
-        .agg(F.min("token").alias("stop"))
-    )
-    needed = tokens.join(stops, ["plan_id", "source_id"], "left").where(
-        F.col("stop").isNull() | (F.col("token") <= F.col("stop"))
+    full = postings.where(F.col("place") == F.col("k")).select("plan_id", "token", F.lit(True).alias("is_full"))
+    # A source's tokens are no more than its text holds.
+    stop = F.min(F.when(F.col("is_full"), F.col("token"))).over(Window.partitionBy("plan_id", "source_id"))
+    needed = (
+        tokens.join(full, ["plan_id", "token"], "left")
+        .withColumn("stop", stop)
+        .where(F.col("stop").isNull() | (F.col("token") <= F.col("stop")))
     )
     hits = needed.join(
         postings.select("plan_id", "token", "place", F.col("entity_id").alias("target_id")), ["plan_id", "token"]

@@ -11,6 +11,7 @@ from relweave.functions.vectors import Encoder, hashing_encoder
 from relweave.operators import deterministic, documents as docs, graph, judging, retrieval
 from relweave.operators.plans import RelationshipPlan, plans_frame, validate_plans
 from relweave.operators.relations import edge_relations, strong_pairs, union_relations
+from relweave.session import materialize
 from relweave.sources.catalog import Catalog
 
 MISSING_NAME_WARNING = "缺少业务名称字段。"
@@ -109,7 +110,8 @@ def analyze(
     if usable:
         plan_rows = validate_plans(plan_rows, catalog)
         planned = sorted({t for p in usable for t in (p.source_table, p.target_table)})
-        in_plans = documents.where(F.col("table_name").isin(*planned))
+        # The texts are normalised once; retrieval, judgement and expansion read the stored table.
+        in_plans = materialize(docs.signed(documents.where(F.col("table_name").isin(*planned))), "documents")
         groups = docs.signature_groups(in_plans)
         members = docs.signature_members(in_plans, groups)
         leaders = docs.representatives(in_plans, groups)
@@ -118,20 +120,20 @@ def analyze(
         )
         pairs = judging.candidate_pairs(candidates, plan_rows, leaders)
         if judge is not None:
-            # The judge may be slow or costly, so its answers are kept before two plans read them.
-            from relweave.session import cut_lineage
-
-            answers = cut_lineage(judging.ask_judge(judging.judge_requests(pairs), judge, deadline))
+            # The judge may be slow or costly, so its answers are kept before two steps read them.
+            answers = materialize(judging.ask_judge(judging.judge_requests(pairs), judge, deadline), "answers")
             checked = judging.check_responses(answers, plan_rows)
             outcomes, decisions = judging.judgement_outcomes(checked), judging.approved_decisions(checked)
         else:
             outcomes, decisions = judging.rule_outcomes(pairs), judging.rule_decisions(pairs, rules)
         judged = judging.expand_representatives(decisions, members, in_plans)
-        relations = union_relations(deterministic_relations, judged)
+        found = union_relations(deterministic_relations, judged)
     else:
-        relations = deterministic_relations
+        found = deterministic_relations
         outcomes = spark.createDataFrame([], "plan_id string, source_id string, candidate_count int, status string")
 
+    # The graph parts and every later question read the relations; they are found once.
+    relations = materialize(found, "relations")
     edges = edge_relations(relations)
     nodes = graph.entity_nodes(documents)
     shown = graph.table_edges(edges)

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def bridge_relations(spark, sf_dir):
-    catalog = views.catalog(spark, sf_dir).scoped(["orders", "part", "supplier", "customer"])
+    catalog = views.catalog(spark, sf_dir, "orders", "part", "supplier", "customer")
     tables = det.find_relation_tables(views.relation_tables(spark, sf_dir))
     return det.relation_table_edges(tables, docs.build_documents(catalog), views.ORIENTATION)
 
@@ -134,7 +134,7 @@ def relation_table_edges(spark, sf_dir):
     WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT p_partkey FROM part)) GROUP BY ALL""",
 )
 def relation_orientation(spark, sf_dir):
-    catalog = views.catalog(spark, sf_dir).scoped(["orders", "part", "supplier"])
+    catalog = views.catalog(spark, sf_dir, "orders", "part", "supplier")
     index = det.endpoint_index(docs.build_documents(catalog))
     rows = det.oriented_relation_rows(views.relation_tables(spark, sf_dir), index, views.ORIENTATION)
     return rows.groupBy("relation_type", "is_reversed").agg(F.count(F.lit(1)).alias("relation_rows"))
@@ -196,7 +196,7 @@ def endpoint_integrity(spark, sf_dir):
     made_up = events.selectExpr(
         "concat('events:', event_id) as source", "concat('customer:', floor(value * 100)) as target", "'guess' as relation_type"
     )
-    documents = docs.build_documents(views.catalog(spark, sf_dir).scoped(["events", "customer"]))
+    documents = docs.build_documents(views.catalog(spark, sf_dir, "events", "customer"))
     return graph.dangling_relations(made_up, documents).drop("relation_type")
 
 

@@ -8,6 +8,7 @@ from relweave.functions.vectors import hashing_encoder, usable_vector
 from relweave.operators import documents as docs, judging, plans as planning, ranking, retrieval
 from relweave.operators.deterministic import relation_schema
 from relweave.plans import views
+from relweave.session import materialize
 from relweave.plans.oracle_views import PASSAGES, norm, tokens
 
 QUERIES = {}
@@ -27,7 +28,7 @@ def query(name: str, sql: str | None = None):
 def _texts(spark, sf_dir, plans=(views.PASSAGE_PLAN,)):
     """Sides of the passage plans over all documents."""
     names = sorted({t for p in plans for t in (p.source_table, p.target_table)})
-    documents = docs.build_documents(views.catalog(spark, sf_dir).scoped(names))
+    documents = docs.build_documents(views.catalog(spark, sf_dir, *names))
     rows = planning.plans_frame(spark, list(plans))
     return documents, rows, retrieval.plan_texts(documents, rows, "source"), retrieval.plan_texts(documents, rows, "target")
 
@@ -149,8 +150,9 @@ def top_k_per_source(spark, sf_dir):
 
 def judged(spark, sf_dir):
     """Everything the passage plan leads to, up to expanded weak relations."""
-    documents = docs.build_documents(views.catalog(spark, sf_dir).scoped(["benchmark", "documents"]))
-    rows = planning.validate_plans(planning.plans_frame(spark, [views.PASSAGE_PLAN]), views.catalog(spark, sf_dir))
+    catalog = views.catalog(spark, sf_dir, "benchmark", "documents")
+    documents = materialize(docs.signed(docs.build_documents(catalog)), "documents")
+    rows = planning.validate_plans(planning.plans_frame(spark, [views.PASSAGE_PLAN]), catalog)
     groups = docs.signature_groups(documents)
     members = docs.signature_members(documents, groups)
     leaders = docs.representatives(documents, groups)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from relweave.functions import identity, labels, text, vectors
@@ -10,6 +12,7 @@ from relweave.operators import documents as docs, deterministic as det, ranking
 from relweave.operators.plans import RelationshipPlan, check_plans, plans_frame
 from relweave.plans import views
 from relweave.plans.oracle_views import ENT, ENTITIES, norm, tokens
+from relweave.session import shared_folder
 from relweave.sources import profile, snapshot
 from relweave.sources.catalog import Catalog, EntityTable, union_all
 
@@ -63,12 +66,12 @@ COUNTS_SQL = _union([f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t
     "o_orderkey, o_custkey FROM orders",
 )
 def scoped_scan(spark, sf_dir):
-    return views.catalog(spark, sf_dir).scoped(["nation", "customer", "orders"]).scan("orders")
+    return views.catalog(spark, sf_dir, "nation", "customer", "orders", "region").scoped(["nation", "customer", "orders"]).scan("orders")
 
 
 @query("aux_projection", "SELECT 'customer:' || c_custkey AS entity_id, c_mktsegment, c_acctbal FROM customer")
 def aux_projection(spark, sf_dir):
-    catalog = views.catalog(spark, sf_dir)
+    catalog = views.catalog(spark, sf_dir, "customer", "nation", "orders", "events")
     frame = catalog.scan("customer")
     return frame.select(
         identity.entity_id(frame, "customer", ["c_custkey"]).alias("entity_id"), *catalog.auxiliary_dimensions("customer")
@@ -197,14 +200,10 @@ def summary_merge(spark, sf_dir):
 @query("export_snapshot", f"SELECT table_name AS id, table_name AS display_name, row_count AS entity_count FROM ({COUNTS_SQL})")
 def export_snapshot(spark, sf_dir):
     """Writes the node tables as a snapshot and reads the table nodes back."""
-    import os
-    import tempfile
-
     from relweave.operators import graph
 
     nodes = graph.entity_nodes(docs.build_documents(views.catalog(spark, sf_dir)))
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    path = os.path.join(shared, "relweave-snapshot") if shared else tempfile.mkdtemp(prefix="relweave-snapshot-")
+    path = f"{shared_folder(spark)}/relweave-snapshot-{uuid.uuid4().hex}"
     snapshot.write_snapshot({"table_nodes": graph.table_nodes(nodes)}, path)
     return spark.read.parquet(f"{path}/table_nodes")
 
@@ -219,7 +218,7 @@ UNION ALL SELECT 'orders', unnest(['o_orderstatus', 'o_orderpriority', 'o_totalp
   FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1)""",
 )
 def plan_samples(spark, sf_dir):
-    return profile.plan_samples(views.catalog(spark, sf_dir).scoped(["part", "orders"]))
+    return profile.plan_samples(views.catalog(spark, sf_dir, "part", "orders"))
 
 
 @query("table_search", f"SELECT table_name, row_count, {_FALLBACK_SQL} AS semantic_name FROM ({COUNTS_SQL}) WHERE contains(lower(table_name), 'er')")
@@ -311,7 +310,7 @@ def build_documents(spark, sf_dir):
 UNION ALL SELECT 'documents:' || doc_id, concat_ws('；', nullif({norm('lang')}, ''), nullif({norm('text')}, '')) FROM documents""",
 )
 def dimension_text(spark, sf_dir):
-    documents = docs.build_documents(views.catalog(spark, sf_dir).scoped(["part", "documents"]))
+    documents = docs.build_documents(views.catalog(spark, sf_dir, "part", "documents"))
     names = F.when(F.col("table_name") == "part", F.array(F.lit("p_type"), F.lit("p_brand"))).otherwise(F.array(F.lit("lang"), F.lit("text")))
     return documents.select("entity_id", text.dimension_text(F.col("normalized_dimensions"), names).alias("dimension_text"))
 
@@ -421,7 +420,7 @@ def l2_normalize(spark, sf_dir):
 SELECT table_name, arg_min(id, k) AS representative_id, count(*) AS member_count FROM s GROUP BY table_name, sig""",
 )
 def signature_groups(spark, sf_dir):
-    documents = docs.build_documents(views.catalog(spark, sf_dir).scoped(["part", "documents", "events"]))
+    documents = docs.build_documents(views.catalog(spark, sf_dir, "part", "documents", "events"))
     return docs.signature_groups(documents).drop("signature")
 
 

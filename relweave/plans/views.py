@@ -29,37 +29,37 @@ def _named(df: DataFrame, name: str, class_name: str, **extra: str) -> DataFrame
     return df.withColumns(columns)
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Every table of the test data with an identity of its own."""
-
-    def t(table: str) -> DataFrame:
-        return read(spark, sf_dir, table)
-
-    tables = [
-        EntityTable("region", _named(t("region"), "r_name", "Region"), ("r_regionkey",)),
-        EntityTable("nation", _named(t("nation"), "n_name", "Nation"), ("n_nationkey",)),
-        EntityTable(
-            "customer", _named(t("customer"), "c_name", "Customer", customer_no="cast(c_custkey as string)"),
-            ("c_custkey",), ("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"), (("c_name",),),
-        ),
-        EntityTable("supplier", _named(t("supplier"), "s_name", "Supplier", supplier_code="s_name"), ("s_suppkey",), ("s_acctbal",)),
-        EntityTable(
-            "part", _named(t("part"), "p_name", "Part", part_code="nullif(p_brand, 'Brand#1')", model="p_type"),
-            ("p_partkey",), ("p_brand", "p_type", "p_size", "p_retailprice"),
-        ),
-        EntityTable(
-            "orders", _named(t("orders"), "cast(o_orderkey as string)", "Order"),
-            ("o_orderkey",), ("o_orderstatus", "o_orderpriority", "o_totalprice"),
-        ),
-        EntityTable("events", _named(t("events"), "event_type", "Event"), ("event_id",), ("value", "props")),
-        EntityTable("documents", _named(t("documents"), "source", "Document"), ("doc_id",), ("text", "lang")),
-        EntityTable("labels", _named(t("labels"), "cast(doc_id as string)", "Label"), ("doc_id",), ("quality", "toxic")),
-        EntityTable("benchmark", _named(t("benchmark"), "cast(item_id as string)", "Passage"), ("item_id",), ("text",)),
-        EntityTable("pages", _named(t("pages"), "url", "Page"), ("page_id",), ("html",)),
-        EntityTable("conversations", _named(t("conversations"), "role", "Turn"), ("conv_id", "turn"), ("text",)),
-        EntityTable("embeddings", _named(t("embeddings"), "cast(vec_id as string)", "Vector"), ("vec_id",), ("label",)),
-    ]
-    return Catalog.of(tables, FOREIGN_KEYS)
+def catalog(spark: SparkSession, sf_dir: str, *names: str) -> Catalog:
+    """The named tables of the test data, or every one with an identity of its own."""
+    wanted = names or tuple(_TABLES)
+    keys = [k for k in FOREIGN_KEYS if k.source_table in wanted and k.target_table in wanted]
+    return Catalog.of([_TABLES[name](read(spark, sf_dir, name)) for name in wanted], keys)
+
+
+_TABLES = {
+    "region": lambda t: EntityTable("region", _named(t, "r_name", "Region"), ("r_regionkey",)),
+    "nation": lambda t: EntityTable("nation", _named(t, "n_name", "Nation"), ("n_nationkey",)),
+    "customer": lambda t: EntityTable(
+        "customer", _named(t, "c_name", "Customer", customer_no="cast(c_custkey as string)"),
+        ("c_custkey",), ("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"), (("c_name",),),
+    ),
+    "supplier": lambda t: EntityTable("supplier", _named(t, "s_name", "Supplier", supplier_code="s_name"), ("s_suppkey",), ("s_acctbal",)),
+    "part": lambda t: EntityTable(
+        "part", _named(t, "p_name", "Part", part_code="nullif(p_brand, 'Brand#1')", model="p_type"),
+        ("p_partkey",), ("p_brand", "p_type", "p_size", "p_retailprice"),
+    ),
+    "orders": lambda t: EntityTable(
+        "orders", _named(t, "cast(o_orderkey as string)", "Order"),
+        ("o_orderkey",), ("o_orderstatus", "o_orderpriority", "o_totalprice"),
+    ),
+    "events": lambda t: EntityTable("events", _named(t, "event_type", "Event"), ("event_id",), ("value", "props")),
+    "documents": lambda t: EntityTable("documents", _named(t, "source", "Document"), ("doc_id",), ("text", "lang")),
+    "labels": lambda t: EntityTable("labels", _named(t, "cast(doc_id as string)", "Label"), ("doc_id",), ("quality", "toxic")),
+    "benchmark": lambda t: EntityTable("benchmark", _named(t, "cast(item_id as string)", "Passage"), ("item_id",), ("text",)),
+    "pages": lambda t: EntityTable("pages", _named(t, "url", "Page"), ("page_id",), ("html",)),
+    "conversations": lambda t: EntityTable("conversations", _named(t, "role", "Turn"), ("conv_id", "turn"), ("text",)),
+    "embeddings": lambda t: EntityTable("embeddings", _named(t, "cast(vec_id as string)", "Vector"), ("vec_id",), ("label",)),
+}
 
 
 def vector_catalog(spark: SparkSession, sf_dir: str) -> Catalog:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,15 +33,33 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the cluster's shared checkpoint folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster shares for intermediate data; a temporary one on a single machine."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-            configured = tempfile.mkdtemp(prefix="relweave-checkpoint-")
+    configured = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if configured is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
+        configured = tempfile.mkdtemp(prefix="relweave-checkpoint-")
         context.setCheckpointDir(configured)
+    return configured
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a narrow frame, for iterations."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several steps read as a Parquet table in the shared folder, and read it back.
+
+    Unlike a checkpoint it stays columnar, so every reader scans only the columns it needs, and a
+    lost executor costs a re-read instead of the whole computation.
+    """
+    path = f"{shared_folder(df.sparkSession)}/relweave-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -87,8 +87,8 @@ def table_samples(catalog: Catalog) -> DataFrame:
             raise ValueError(f"{table} needs a name and a class column")
         schema = spec.frame.schema
         shown = spec.frame.select(
-            strip_to_null(as_text(F.col(name), schema[name].dataType)).alias("name_sample"),
-            strip_to_null(as_text(F.col(class_name), schema[class_name].dataType)).alias("class_sample"),
+            strip_to_null(as_text(name, schema[name].dataType)).alias("name_sample"),
+            strip_to_null(as_text(class_name, schema[class_name].dataType)).alias("class_sample"),
             key_order(spec.frame, spec.primary_key).alias("key_order"),
         ).where("name_sample is not null and class_sample is not null")
         frames.append(shown.withColumn("table_name", F.lit(table)))
@@ -183,7 +183,7 @@ def plan_samples(catalog: Catalog) -> DataFrame:
             .orderBy("_order")
             .limit(1)
         )
-        values = first.select(*[typed_json(F.col(c), schema[c].dataType).alias(c) for c in allowed])
+        values = first.select(*[typed_json(c, schema[c].dataType).alias(c) for c in allowed])
         types = F.create_map(*[F.lit(x) for c in allowed for x in (c, schema[c].dataType.simpleString())])
         frames.append(
             values.unpivot([], allowed, "dimension", "sample_value")

@@ -13,7 +13,7 @@ def public_json(df: DataFrame) -> DataFrame:
     """Every row as one JSON text with the types plain JSON would lose."""
     schema = df.schema
     fields = F.create_map(
-        *[x for f in schema.fields for x in (F.lit(f.name), typed_json(F.col(f.name), f.dataType))]
+        *[x for f in schema.fields for x in (F.lit(f.name), typed_json(f.name, f.dataType))]
     )
     return df.select(encoded_object(fields, F.array(*[F.lit(f.name) for f in schema.fields])).alias("value"))
 
