@@ -29,7 +29,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     for key, value in RECOMMENDED_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
