@@ -83,9 +83,9 @@ def table_documents(catalog: Catalog, table: str, dimensions: list[str] | None =
     )
 
 
-def build_documents(catalog: Catalog) -> DataFrame:
-    """The documents of every table in scope; unused columns are pruned down to the scan."""
-    return union_all([table_documents(catalog, table) for table in catalog.tables])
+def build_documents(catalog: Catalog, tables: list[str] | None = None) -> DataFrame:
+    """The documents of every table in scope, or of some; unused columns are pruned down to the scan."""
+    return union_all([table_documents(catalog, table) for table in tables or catalog.tables])
 
 
 def quality_flags(catalog: Catalog) -> DataFrame:

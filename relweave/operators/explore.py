@@ -7,7 +7,9 @@ rows, because a hub or a pair of large tables has too many for an array.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from relweave.functions.labels import business_name, confidence_band, relation_label, relation_visible
 from relweave.functions.text import search_norm, strip_to_null
@@ -145,11 +147,16 @@ def presentations(nodes: DataFrame, node_degrees: DataFrame) -> DataFrame:
 
 def node_search(shown: DataFrame, query: str) -> DataFrame:
     """Nodes whose name, second line, class or id contains any word of the query; none for a blank one."""
-    words = F.filter(F.split(search_norm(F.lit(query)), " "), lambda w: w != "")
+    words = unicodedata.normalize("NFKC", query).lower().split()
+    if not words:
+        return shown.limit(0)
     text = search_norm(F.concat_ws(" ", "primary", F.nullif(F.col("secondary"), F.lit("")), F.nullif(F.col("class_name"), F.lit("")), "id"))
-    found = shown.withColumn("_text", text).withColumn("_words", words)
-    matches = found.where(F.exists("_words", lambda w: F.contains(F.col("_text"), w))).drop("_text", "_words")
-    return matches.orderBy(F.collate(search_norm(F.col("primary")), "UNICODE"), F.collate(F.col("id"), "UNICODE"))
+    found = shown.withColumns({"_text": text, "_name": search_norm(F.col("primary"))})
+    any_word = F.lit(False)
+    for word in words:
+        any_word = any_word | F.contains(F.col("_text"), F.lit(word))
+    ordered = found.where(any_word).orderBy(F.collate(F.col("_name"), "UNICODE"), F.collate(F.col("id"), "UNICODE"))
+    return ordered.drop("_text", "_name")
 
 
 def label_lists(edges: DataFrame, keys: list[str]) -> DataFrame:

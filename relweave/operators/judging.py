@@ -129,11 +129,18 @@ def judge_requests(pairs: DataFrame) -> DataFrame:
     )
 
 
-def ask_judge(requests: DataFrame, judge: Callable[[dict], dict], deadline: float | None = None) -> DataFrame:
+def ask_judge(
+    requests: DataFrame, judge: Callable[[dict], dict], deadline: float | None = None, concurrency: int | None = None
+) -> DataFrame:
     """Run a Python judge over request rows; a failing group fails alone.
 
-    ``deadline`` is a wall-clock time; groups not begun by then stay pending.
+    ``deadline`` is a wall-clock time; groups not begun by then stay pending.  ``concurrency`` spreads
+    the requests over that many tasks, for a judge that is slow per call.
     """
+    if concurrency is not None:
+        if concurrency < 1:
+            raise ValueError("the judge needs a concurrency of at least 1")
+        requests = requests.repartition(concurrency, "plan_id", "source_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -47,38 +47,32 @@ def grouped_row_number(df: DataFrame, keys: Sequence[str], id_column: str, space
     )
 
 
-def nearest_rank_percentile(df: DataFrame, keys: Sequence[str], value: str, percent: int, bins: int = 1024) -> DataFrame:
+def nearest_rank_percentile(df: DataFrame, keys: Sequence[str], value: str, percent: int, accuracy: int = 10000) -> DataFrame:
     """The value at rank ``ceil(n * percent / 100)`` per group, exactly.
 
-    Equal values are counted before anything is sorted.  Two rounds of equal-width bins then narrow
-    each group down to the bin that holds the rank, and only that bin is ordered.
+    Equal values are counted first.  A quantile sketch, which merges map-side, then brackets the
+    wanted rank, so only about one value in a thousand of a group is ordered.  Should a bracket miss
+    its rank, the whole group is ordered instead.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    rank = F.greatest(F.lit(1), F.ceil(F.col("_total") * percent / 100))
-    state = counted.join(totals.select(*keys, rank.alias("_rank")), list(keys))
-    for _ in range(2):
-        state = _narrow_to_bin(state, keys, value, bins)
-    running = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))
-    found = state.withColumn("_running", running).where(F.col("_running") >= F.col("_rank"))
-    return found.groupBy(*keys).agg(F.min(value).alias("percentile_value"))
-
-
-def _narrow_to_bin(state: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
     keys = list(keys)
-    spread = state.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")).cast("double")
-    position = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(value) - F.col("_lo")) / width * bins), F.lit(bins - 1))
+    filled = df.where(F.col(value).isNotNull())
+    margin = 3 / accuracy
+    points = [max(0.0, percent / 100 - margin), min(1.0, percent / 100 + margin)]
+    bounds = filled.groupBy(*keys).agg(
+        F.percentile_approx(value, points, accuracy).alias("_bounds"),
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * percent / 100)).alias("_rank"),
     )
-    binned = state.join(spread, keys).withColumn("_bin", position.cast("int"))
-    sizes = binned.groupBy(*keys, "_rank", "_bin").agg(F.sum("_n").alias("_size"))
-    upto = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_bin"))
-    chosen = (
-        sizes.withColumn("_upto", upto)
-        .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_size") < F.col("_rank")))
-        .select(*keys, "_bin", (F.col("_upto") - F.col("_size")).alias("_skipped"))
-    )
-    return binned.join(chosen, [*keys, "_bin"]).select(
-        *keys, value, "_n", (F.col("_rank") - F.col("_skipped")).alias("_rank")
+    counted = filled.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = counted.join(bounds, keys)
+    below = F.col(value) < F.col("_bounds")[0]
+    inside = ~below & (F.col(value) <= F.col("_bounds")[1])
+    sums = placed.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(below, F.col("_n"))), F.lit(0)).alias("_below"),
+        F.coalesce(F.sum(F.when(inside, F.col("_n"))), F.lit(0)).alias("_inside"),
     )
+    hit = (F.col("_below") < F.col("_rank")) & (F.col("_rank") <= F.col("_below") + F.col("_inside"))
+    wanted = placed.join(sums, keys).where(inside | ~hit)
+    start = F.when(hit, F.col("_below")).otherwise(F.lit(0))
+    running = start + F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))
+    found = wanted.withColumn("_running", running).where(F.col("_running") >= F.col("_rank"))
+    return found.groupBy(*keys).agg(F.min(value).alias("percentile_value"))

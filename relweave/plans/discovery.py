@@ -73,6 +73,7 @@ def analyze(
     orientation: deterministic.OrientationRules = deterministic.OrientationRules(),
     make_encoder: Callable[[], Encoder] = hashing_encoder,
     deadline: float | None = None,
+    concurrency: int | None = None,
 ) -> Analysis:
     """Relations between the rows of the tables in scope, as a graph.
 
@@ -111,7 +112,7 @@ def analyze(
         plan_rows = validate_plans(plan_rows, catalog)
         planned = sorted({t for p in usable for t in (p.source_table, p.target_table)})
         # The texts are normalised once; retrieval, judgement and expansion read the stored table.
-        in_plans = materialize(docs.signed(documents.where(F.col("table_name").isin(*planned))), "documents")
+        in_plans = materialize(docs.signed(docs.build_documents(catalog, planned)), "documents")
         groups = docs.signature_groups(in_plans)
         members = docs.signature_members(in_plans, groups)
         leaders = docs.representatives(in_plans, groups)
@@ -121,7 +122,7 @@ def analyze(
         pairs = judging.candidate_pairs(candidates, plan_rows, leaders)
         if judge is not None:
             # The judge may be slow or costly, so its answers are kept before two steps read them.
-            answers = materialize(judging.ask_judge(judging.judge_requests(pairs), judge, deadline), "answers")
+            answers = materialize(judging.ask_judge(judging.judge_requests(pairs), judge, deadline, concurrency), "answers")
             checked = judging.check_responses(answers, plan_rows)
             outcomes, decisions = judging.judgement_outcomes(checked), judging.approved_decisions(checked)
         else:

@@ -103,8 +103,8 @@ def test_percentiles(spark):
     rng = random.Random(6)
     rows = [("a", float(rng.choice([1, 1, 1, 5, 9]))) for _ in range(300)] + [("b", rng.random() ** 20 * 1e9) for _ in range(500)] + [("c", 4.0), ("d", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    for percent in (1, 50, 95, 100):
-        got = {r["g"]: r["percentile_value"] for r in ranking.nearest_rank_percentile(df, ["g"], "v", percent, bins=8).collect()}
+    for percent, accuracy in ((1, 10000), (50, 20), (95, 10000), (100, 10000)):
+        got = {r["g"]: r["percentile_value"] for r in ranking.nearest_rank_percentile(df, ["g"], "v", percent, accuracy).collect()}
         expected = {}
         for group in "abc":
             values = sorted(v for g, v in rows if g == group)

@@ -141,7 +141,7 @@ def make_judge():
 
 def test_business_flow_with_a_python_judge(spark):
     catalog, plans, _ = business(spark)
-    result = analyze(catalog, plans, judge=make_judge())
+    result = analyze(catalog, plans, judge=make_judge(), concurrency=3)
     check_business(result)
     proof = result.edges.where("target = 'parts:201'").first()["evidence"][0]
     assert (proof["source_value"], proof["target_value"]) == ("装配轴、铁芯与端盖", "轴")
