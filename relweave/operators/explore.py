@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relweave.functions.labels import business_name, confidence_band, relation_label, relation_visible
 from relweave.functions.text import search_norm, strip_to_null
-from relweave.operators.graph import edge_ends
+from relweave.operators.graph import edge_ends, side_by_side
 from relweave.operators.ranking import grouped_row_number
 from relweave.session import cut_lineage
 
@@ -60,8 +60,7 @@ def isolated_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     connected, _ = project_graph(nodes, edges, False)
     total = nodes.agg(F.count(F.lit(1)).alias("node_count"))
     joined = connected.agg(F.count(F.lit(1)).alias("connected_count"))
-    one = total.withColumn("_row", F.lit(1)).join(joined.withColumn("_row", F.lit(1)), "_row")
-    return one.select("node_count", (F.col("node_count") - F.col("connected_count")).alias("isolated_count"))
+    return side_by_side(total, joined).select("node_count", (F.col("node_count") - F.col("connected_count")).alias("isolated_count"))
 
 
 def neighbor_union(edges: DataFrame) -> DataFrame:
@@ -298,11 +297,7 @@ def graph_overview(tables: DataFrame, nodes: DataFrame, shown_tables: DataFrame,
         "table_node_count": tables, "entity_node_count": nodes,
         "table_edge_count": shown_tables, "entity_edge_count": edges.select("edge_id").distinct(),
     }
-    result = None
-    for name, part in parts.items():
-        one = part.agg(F.count(F.lit(1)).alias(name)).withColumn("_row", F.lit(1))
-        result = one if result is None else result.join(one, "_row")
-    return result.drop("_row")
+    return side_by_side(*[part.agg(F.count(F.lit(1)).alias(name)) for name, part in parts.items()])
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:

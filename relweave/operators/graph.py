@@ -160,6 +160,14 @@ def require_endpoints(relations: DataFrame, documents: DataFrame) -> DataFrame:
     return relations
 
 
+def side_by_side(*totals: DataFrame) -> DataFrame:
+    """One-row frames with different columns as one row: a union and an aggregate, no join."""
+    rows = totals[0]
+    for total in totals[1:]:
+        rows = rows.unionByName(total, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     """Groups and candidates per judgement status, in one row."""
     columns = []
@@ -186,9 +194,7 @@ def diagnostics(documents: DataFrame, plans: DataFrame, outcomes: DataFrame, rel
         F.count_if(F.col("strength") == "strong").alias("strong_edges_created"),
         F.count_if(F.col("strength") == "weak").alias("weak_edges_created"),
     )
-    # Four one-row totals side by side.
-    one = [f.withColumn("_row", F.lit(1)) for f in (entities, planned, judged, found)]
-    return one[0].join(one[1], "_row").join(one[2], "_row").join(one[3], "_row").drop("_row")
+    return side_by_side(entities, planned, judged, found)
 
 
 NO_RELATIONS_WARNING = "No relationships were found after all planned candidates completed."

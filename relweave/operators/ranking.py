@@ -48,7 +48,7 @@ def grouped_row_number(df: DataFrame, keys: Sequence[str], id_column: str, space
 
 
 def nearest_rank_percentile(df: DataFrame, keys: Sequence[str], value: str, percent: int, accuracy: int = 10000) -> DataFrame:
-    """The value at rank ``ceil(n * percent / 100)`` per group, exactly.
+    """The value at rank ``ceil(n * percent / 100)`` per group, or of all rows without keys, exactly.
 
     Equal values are counted first.  A quantile sketch, which merges map-side, then brackets the
     wanted rank, so only about one value in a thousand of a group is ordered.  Should a bracket miss
@@ -63,7 +63,7 @@ def nearest_rank_percentile(df: DataFrame, keys: Sequence[str], value: str, perc
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * percent / 100)).alias("_rank"),
     )
     counted = filled.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = counted.join(bounds, keys)
+    placed = _attach(counted, bounds, keys)
     below = F.col(value) < F.col("_bounds")[0]
     inside = ~below & (F.col(value) <= F.col("_bounds")[1])
     sums = placed.groupBy(*keys).agg(
@@ -71,8 +71,15 @@ def nearest_rank_percentile(df: DataFrame, keys: Sequence[str], value: str, perc
         F.coalesce(F.sum(F.when(inside, F.col("_n"))), F.lit(0)).alias("_inside"),
     )
     hit = (F.col("_below") < F.col("_rank")) & (F.col("_rank") <= F.col("_below") + F.col("_inside"))
-    wanted = placed.join(sums, keys).where(inside | ~hit)
+    wanted = _attach(placed, sums, keys).where(inside | ~hit)
     start = F.when(hit, F.col("_below")).otherwise(F.lit(0))
     running = start + F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))
     found = wanted.withColumn("_running", running).where(F.col("_running") >= F.col("_rank"))
     return found.groupBy(*keys).agg(F.min(value).alias("percentile_value"))
+
+
+def _attach(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals of each group on its rows; without keys there is one row of totals, read as scalars."""
+    if keys:
+        return df.join(totals, keys)
+    return df.withColumns({c: totals.select(c).scalar() for c in totals.columns})

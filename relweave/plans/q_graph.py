@@ -280,8 +280,8 @@ def duplicate_names(spark, sf_dir):
     "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY CAST(event_id AS VARCHAR)) AS number FROM events",
 )
 def grouped_row_number(spark, sf_dir):
-    rows = views.read(spark, sf_dir, "events").select("event_id", "event_type", F.col("event_id").cast("string").alias("id"), F.lit("events").alias("space"))
-    return ranking.grouped_row_number(rows, ["event_type"], "id", "space", "number").select("event_id", "event_type", "number")
+    rows = views.read(spark, sf_dir, "events").select("event_id", "event_type", F.col("event_id").cast("string").alias("id"))
+    return ranking.grouped_row_number(rows, ["event_type"], "id", "event_type", "number").select("event_id", "event_type", "number")
 
 
 @query(

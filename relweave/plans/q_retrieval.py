@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from relweave.functions.vectors import hashing_encoder, usable_vector
 from relweave.operators import documents as docs, judging, plans as planning, ranking, retrieval
-from relweave.operators.deterministic import relation_schema
 from relweave.plans import views
 from relweave.session import materialize
 from relweave.plans.oracle_views import PASSAGES, norm, tokens
@@ -107,9 +106,9 @@ def _hybrid(spark, sf_dir):
     rows = planning.plans_frame(spark, [views.VECTOR_PLAN])
     sources, targets = retrieval.plan_texts(documents, rows, "source"), retrieval.plan_texts(documents, rows, "target")
     keyword = retrieval.keyword_candidates(sources, retrieval.first_postings(retrieval.keyword_index(targets)))
-    left, right = _vector_sides(spark, sf_dir, 50)
-    plan = rows.select("plan_id")
-    semantic = retrieval.semantic_candidates(left.drop("plan_id").join(plan), right.drop("plan_id").join(plan), 50)
+    plan = F.lit(rows.first()["plan_id"])
+    left, right = (side.withColumn("plan_id", plan) for side in _vector_sides(spark, sf_dir, 50))
+    semantic = retrieval.semantic_candidates(left, right, 50)
     return documents, rows, retrieval.hybrid_candidates(sources, keyword, semantic)
 
 
