@@ -48,11 +48,21 @@ def sql_text(value: str) -> str:
 
 
 def _double_text(x: str) -> str:
-    """Shortest decimal form; exponent notation below 1e-4 and from 1e16, as Python prints it."""
-    shown = f"CAST(abs(CAST({x} AS DOUBLE)) AS STRING)"
-    mantissa = f"substring_index({shown}, 'E', 1)"
-    exponent = f"CAST(nullif(substring_index({shown}, 'E', -1), {shown}) AS INT)"
-    digits = f"trim(TRAILING '0' FROM replace({mantissa}, '.', ''))"
+    """Shortest decimal form; exponent notation below 1e-4 and from 1e16, as Python prints it.
+
+    Java before version 19 sometimes prints a digit too many, so a form of 16 or more digits is replaced by the
+    shortest one that reads back as the same number.  Only subnormals near 5e-324 can differ.
+    """
+    size = f"abs(CAST({x} AS DOUBLE))"
+    raw = f"CAST({size} AS STRING)"
+    # Forms of 15, 16 and 17 digits, the first of which that reads back as the same number is taken.
+    forms = [f"format_string('%.{places}E', {size})" for places in (14, 15, 16)]
+    choices = " ".join(f"WHEN CAST({form} AS DOUBLE) = {size} THEN {form}" for form in forms)
+    few = f"char_length(replace(substring_index({raw}, 'E', 1), '.', '')) < 16"
+    shown = f"CASE WHEN {few} THEN {raw} {choices} ELSE {raw} END"
+    # The form is bound to a name, because every part below refers to it.
+    exponent = "CAST(nullif(substring_index(form, 'E', -1), form) AS INT)"
+    digits = "trim(TRAILING '0' FROM replace(substring_index(form, 'E', 1), '.', ''))"
     sign = f"if({x} < 0, '-', '')"
     wide = (
         f"concat({sign}, substring(rpad({digits}, 17, '0'), 1, {exponent} + 1), '.', "
@@ -60,13 +70,16 @@ def _double_text(x: str) -> str:
     )
     tiny = f"concat({sign}, '0.', repeat('0', -{exponent} - 1), {digits})"
     scientific = (
-        f"concat({sign}, regexp_replace({mantissa}, '[.]0$', ''), if({exponent} < 0, 'e-', 'e+'), "
-        f"lpad(CAST(abs({exponent}) AS STRING), 2, '0'))"
+        f"concat({sign}, left({digits}, 1), if(char_length({digits}) > 1, concat('.', substring({digits}, 2)), ''), "
+        f"if({exponent} < 0, 'e-', 'e+'), lpad(CAST(abs({exponent}) AS STRING), greatest(2, char_length(CAST(abs({exponent}) AS STRING))), '0'))"
+    )
+    placed = (
+        f"CASE WHEN {exponent} IS NULL THEN CAST(CAST({x} AS DOUBLE) AS STRING) WHEN {exponent} BETWEEN 0 AND 15 THEN {wide} "
+        f"WHEN {exponent} BETWEEN -4 AND -1 THEN {tiny} ELSE {scientific} END"
     )
     return (
         f"CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'nan' WHEN {x} = double('Infinity') THEN 'inf' "
-        f"WHEN {x} = double('-Infinity') THEN '-inf' WHEN {exponent} IS NULL THEN CAST(CAST({x} AS DOUBLE) AS STRING) "
-        f"WHEN {exponent} BETWEEN 0 AND 15 THEN {wide} WHEN {exponent} BETWEEN -4 AND -1 THEN {tiny} ELSE {scientific} END"
+        f"WHEN {x} = double('-Infinity') THEN '-inf' ELSE transform(array({shown}), form -> {placed})[0] END"
     )
 
 

@@ -1,6 +1,7 @@
 """Text, JSON and sort-key forms of typed values; entity ids."""
 
 import json
+import random
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -10,7 +11,9 @@ from relweave.functions import identity
 from relweave.functions.values import as_text, order_text, typed_json
 
 DOUBLES = [0.0, 1.0, -2.5, 1e7, 12345678.9, 1e15, 9.9e15, 1e16, 1.5e16, 1.25e22, 0.001, 0.00012, -0.0005, 1e-5, 1.5e-7, 0.1 + 0.2,
-           float("inf"), float("-inf"), float("nan"), 123456789012345.67]
+           float("inf"), float("-inf"), float("nan"), 123456789012345.67, 2e-3, 1e23, 1.7976931348623157e308, -1.5e-300, 2.0**-44]
+_RNG = random.Random(11)
+DOUBLES += [_RNG.uniform(-1, 1) * 10.0 ** _RNG.randint(-25, 25) for _ in range(300)] + [round(_RNG.uniform(-1e9, 1e9), 2) for _ in range(100)]
 
 
 def test_double_text_is_pythons(spark):
