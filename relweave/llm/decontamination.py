@@ -214,12 +214,13 @@ def _found(documents: DataFrame, benchmark: DataFrame, window: int, block_words:
     frame = documents.withColumns({
         "n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>"),
     })
-    blocks = list(map(spark.sparkContext.broadcast, query_blocks(benchmark, window, block_words)))
-    for block in blocks or [spark.sparkContext.broadcast(_block([(None, None)], window))]:
+    blocks = [spark.sparkContext.broadcast(tuple(b)) for b in query_blocks(benchmark, window, block_words)]
+    for block in blocks or [spark.sparkContext.broadcast(tuple(_block([(None, None)], window)))]:
         def look(batches, block=block):
+            queries = Queries(*block.value)
             for batch in batches:
                 for shard in chunks(batch, limit=SHARD_BYTES):
-                    yield _hits(shard, block.value)
+                    yield _hits(shard, queries)
 
         frame = frame.mapInArrow(look, frame.schema)
     return frame
@@ -265,11 +266,14 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, block_words: int
     spark = documents.sparkSession
     frame = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = []
-    for block in map(spark.sparkContext.broadcast, query_blocks(benchmark, WINDOW, block_words)):
+    for queries in query_blocks(benchmark, WINDOW, block_words):
+        block = spark.sparkContext.broadcast(tuple(queries))
+
         def look(batches, block=block):
+            queries = Queries(*block.value)
             for batch in batches:
                 for shard in chunks(batch, limit=SHARD_BYTES):
-                    yield _longest(shard, block.value)
+                    yield _longest(shard, queries)
 
         parts.append(frame.mapInArrow(look, "item_id string, item_word long, n_words long, doc_id long, doc_word long"))
     if not parts:

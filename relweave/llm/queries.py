@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relweave.llm import decontamination, pii
+from relweave.llm import decontamination, language, pii
 from relweave.llm.tables import read
 
 QUERIES: dict = {}
@@ -45,6 +45,13 @@ FROM dw d LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
 
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from two thirds of them."""
+    documents = read(spark, sf_dir, "documents")
+    return language.identify(documents, language.learn(documents))
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, with its places."""

@@ -19,6 +19,7 @@ CHUNK_BYTES = 2 << 20
 
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+IS_LETTER = ((LOWER >= 97) & (LOWER <= 122)) | (_BYTES >= 128)
 IS_WORD = ((LOWER >= 48) & (LOWER <= 57)) | ((LOWER >= 97) & (LOWER <= 122)) | (_BYTES >= 128)
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -81,10 +82,11 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         yield batch.slice(begin)
 
 
-def words_of(texts: Texts) -> Words:
+def words_of(texts: Texts, kind: np.ndarray = IS_WORD) -> Words:
+    """The runs of bytes of a kind, in lower case."""
     data, offsets = texts
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = IS_WORD[data]
+    inside[1:-1] = kind[data]
     opens = inside[1:-1] & ~inside[:-2]
     closes = inside[1:-1] & ~inside[2:]
     edges = offsets[1:-1]
