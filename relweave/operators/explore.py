@@ -15,7 +15,7 @@ from relweave.functions.labels import business_name, confidence_band, relation_l
 from relweave.functions.text import search_norm, strip_to_null
 from relweave.operators.graph import edge_ends, side_by_side
 from relweave.operators.ranking import grouped_row_number
-from relweave.session import cut_lineage
+from relweave.session import Stored
 
 TOP_HUBS = 24
 STRONG_WEIGHT, WEAK_WEIGHT = 1.0, 0.35
@@ -300,30 +300,32 @@ def graph_overview(tables: DataFrame, nodes: DataFrame, shown_tables: DataFrame,
     return side_by_side(*[part.agg(F.count(F.lit(1)).alias(name)) for name, part in parts.items()])
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable id per node, by alternating large-star and small-star rounds.
-
-    Each round is two aggregations with map-side combine and two joins with one row per key on the
-    other side, so a hub's edges can be split between tasks.  Rounds are cut with reliable
-    checkpoints, and their number grows with the logarithm of the component size.
-    """
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Smallest reachable id per node."""
     _, kept = project_graph(nodes, edge_ends(edges), True)
-    pairs = cut_lineage(
-        kept.where("edge_source <> edge_target").select(F.col("edge_target").alias("u"), F.col("edge_source").alias("v")).distinct()
-    )
-    previous = None
-    for _ in range(max_rounds):
-        pairs = cut_lineage(_small_star(_large_star(pairs)))
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == previous:
-            break
-        previous = state
-    else:
-        raise RuntimeError("connected components did not settle")
-    members = pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    members = smallest_reachable(kept.select(F.col("edge_target").alias("u"), F.col("edge_source").alias("v")))
     return nodes.select("id").join(members, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def smallest_reachable(pairs: DataFrame) -> DataFrame:
+    """Smallest reachable id of every id in the pairs (u, v) that has a smaller one: id, component.
+
+    Alternating large-star and small-star rounds until nothing changes.  Each round is two
+    aggregations with map-side combine and two joins with one row per key on the other side, so a
+    hub's edges can be split between tasks.  Rounds are stored and the one before is removed; their
+    number grows with the logarithm of the component size.
+    """
+    now = Stored(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+    state = None
+    while True:
+        before, previous = now, state
+        state = before.frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if state == previous or state[0] == 0:
+            return before.frame.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        now = Stored(_small_star(_large_star(before.frame)), "star")
+        before.remove()
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest id around the node."""
     both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +15,7 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -41,25 +45,52 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
         configured = tempfile.mkdtemp(prefix="relweave-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         context.setCheckpointDir(configured)
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a narrow frame, for iterations."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+class Stored:
+    """A frame written as Parquet to the shared folder; its owner may remove it when all readers are done.
+
+    Unlike a checkpoint it stays columnar, so every reader scans only the columns it needs, and a
+    lost executor costs a re-read instead of the whole computation.  What nobody removes goes with
+    the application's folder when the driver exits.
+    """
+
+    def __init__(self, df: DataFrame, name: str):
+        self._spark = df.sparkSession
+        self.path = f"{_application_folder(self._spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.frame = self._spark.read.schema(df.schema).parquet(self.path)
+
+    def remove(self) -> None:
+        context = self._spark.sparkContext
+        _delete(context._jvm, context._jsc.hadoopConfiguration(), self.path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame that several steps read as a Parquet table in the shared folder, and read it back.
+    """Store a frame that several steps read, until the driver exits."""
+    return Stored(df, name).frame
 
-    Unlike a checkpoint it stays columnar, so every reader scans only the columns it needs, and a
-    lost executor costs a re-read instead of the whole computation.
-    """
-    path = f"{shared_folder(df.sparkSession)}/relweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+_FOLDERS: dict[str, str] = {}
+
+
+def _application_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        folder = f"{shared_folder(spark)}/relweave-{context.applicationId}"
+        _FOLDERS[context.applicationId] = folder
+        atexit.register(_delete_at_exit, context._jvm, context._jsc.hadoopConfiguration(), folder)
+    return _FOLDERS[context.applicationId]
+
+
+def _delete(jvm, configuration, path: str) -> None:
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(configuration).delete(folder, True)
+
+
+def _delete_at_exit(jvm, configuration, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone, and nothing depends on the folder any more
+        _delete(jvm, configuration, path)
