@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relweave.llm import decontamination, language, pii
+from relweave.llm import decontamination, language, mixing, near_duplicates, pii
 from relweave.llm.tables import read
 
 QUERIES: dict = {}
@@ -45,6 +45,12 @@ FROM dw d LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
 
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents with a weighted Jaccard similarity of 0.8 or more."""
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from two thirds of them."""
@@ -52,6 +58,45 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, language.learn(documents))
 
 
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked sampling probability of every document, and whether it is drawn."""
+    return mixing.calibrated(read(spark, sf_dir, "documents"))
+
+
+def _mixing_sql() -> str:
+    parts = ["""rows AS (
+  SELECT doc_id, source, lang,
+    CASE WHEN contains(coalesce(text, ''), 'License') OR contains(coalesce(text, ''), 'All rights reserved') THEN 'licensed'
+         WHEN contains(coalesce(text, ''), ' | ') THEN 'tabular' WHEN length(coalesce(text, '')) < 1000 THEN 'short' ELSE 'prose' END AS topic,
+    CASE WHEN coalesce(length(text), 0) > 0
+         THEN length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1 ELSE 0 END AS tokens
+  FROM documents),
+cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM rows GROUP BY ALL)"""]
+    for margin in mixing.MARGINS:
+        parts.append(f"""goal_{margin} AS (
+  SELECT {margin} AS v, p / sum(p) OVER () AS share
+  FROM (SELECT {margin}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {mixing.TEMPER}) ELSE 0 END AS p FROM cells GROUP BY ALL))""")
+    joins = " ".join(f"LEFT JOIN goal_{m} g_{m} ON c.{m} IS NOT DISTINCT FROM g_{m}.v" for m in mixing.MARGINS)
+    shares = ", ".join(f"g_{m}.share AS t_{m}" for m in mixing.MARGINS)
+    parts.append(f"step_0 AS MATERIALIZED (SELECT c.*, CAST(tokens AS DOUBLE) AS weight, {shares} FROM cells c {joins})")
+    step = 0
+    for _ in range(mixing.ROUNDS):
+        for margin in mixing.MARGINS:
+            held = f"sum(weight) OVER (PARTITION BY {margin})"
+            parts.append(f"""step_{step + 1} AS MATERIALIZED (
+  SELECT * REPLACE (CASE WHEN {held} > 0 THEN weight * t_{margin} / {held} ELSE 0 END AS weight) FROM step_{step})""")
+            step += 1
+    parts.append(f"chances AS (SELECT *, round(coalesce(weight / nullif(tokens, 0) / (SELECT max(weight / nullif(tokens, 0)) FROM step_{step}), 1), {mixing.DIGITS}) AS probability FROM step_{step})")
+    same = " AND ".join(f"r.{m} IS NOT DISTINCT FROM c.{m}" for m in mixing.MARGINS)
+    drawn = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) / 281474976710656.0 < probability"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, r.source, r.lang, r.topic, r.tokens, probability, {drawn} AS sampled FROM rows r LEFT JOIN chances c ON {same}"""
+
+
+ORACLE["op8_mixing"] = _mixing_sql()
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, with its places."""
