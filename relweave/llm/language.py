@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from relweave.llm.tables import keep
-from relweave.llm.words import IS_LETTER, LOWER, Texts, chunks, mix, powers, texts_of, words_of
+from relweave.llm.words import IS_LETTER, LOWER, Texts, chunks, mix, running_sums, span_codes, texts_of, words_of
 
 #: Vocabulary file: a piece in base64 and its rank on each line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -75,22 +75,7 @@ def vocabulary(path: str = VOCABULARY) -> np.ndarray:
     flat = np.frombuffer(b"".join(kept), dtype=np.uint8)
     length = np.array([len(p) for p in kept])
     end = np.cumsum(length)
-    return np.unique(_span_codes(flat, end - length, end))
-
-
-def _sums(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums of letters times powers of the step, and the inverse powers."""
-    power = powers(len(flat) + 1)
-    sums = np.zeros(len(flat) + 1, dtype=np.uint64)
-    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64, out=sums[1:])
-    inverse = np.full(len(flat) + 1, pow(int(powers(2)[1]), -1, 1 << 64), dtype=np.uint64)
-    inverse[0] = 1
-    return sums, np.cumprod(inverse, dtype=np.uint64)
-
-
-def _span_codes(flat: np.ndarray, start: np.ndarray, end: np.ndarray, prepared=None) -> np.ndarray:
-    sums, inverse = prepared or _sums(flat)
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return np.unique(span_codes(flat, end - length, end))
 
 
 def pieces_of(flat: np.ndarray, first: np.ndarray, length: np.ndarray, codes: np.ndarray) -> Pieces:
@@ -100,11 +85,11 @@ def pieces_of(flat: np.ndarray, first: np.ndarray, length: np.ndarray, codes: np
     inner[np.repeat(first, length) + (np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length))] = (
         np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
     )
-    prepared = _sums(flat)
+    prepared = running_sums(flat)
     piece = np.full((len(flat), PIECE_BYTES), -1, dtype=np.int32)
     for size in range(1, PIECE_BYTES + 1):
         end = np.flatnonzero(inner >= size - 1) + 1
-        code = _span_codes(flat, end - size, end, prepared)
+        code = span_codes(flat, end - size, end, prepared)
         near = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         piece[end - 1, size - 1] = np.where(codes[near] == code, near, -1)
     return Pieces(first, length, piece)
@@ -170,7 +155,7 @@ def letters_of(texts: Texts) -> Letters:
         part = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
         start, end = start[which] + part * (PART_BYTES - 1), end[which]
         end, text = np.minimum(end, start + PART_BYTES - 1), text[which]
-        code = mix(_span_codes(LOWER[texts.data], start, end))
+        code = mix(span_codes(LOWER[texts.data], start, end))
     distinct, one, word = np.unique(code, return_index=True, return_inverse=True)
     begin, size = start[one], end[one] - start[one]
     length = size + 1

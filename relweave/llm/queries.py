@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relweave.llm import decontamination, language, mixing, near_duplicates, pii
+from relweave.llm import decontamination, language, mixing, near_duplicates, pii, repeated_substrings
 from relweave.llm.tables import read
 
 QUERIES: dict = {}
@@ -101,3 +101,9 @@ ORACLE["op8_mixing"] = _mixing_sql()
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, with its places."""
     return pii.find(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 50 bytes that an earlier document has."""
+    return repeated_substrings.repeats(read(spark, sf_dir, "documents")).drop("kept")

@@ -109,3 +109,19 @@ def _codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     letters = LOWER[data[np.repeat(start, length) + place]].astype(np.uint64) + np.uint64(1)
     letters *= powers(int(length.max()))[place]
     return mix(np.add.reduceat(letters, begin) + length.astype(np.uint64))
+
+
+def running_sums(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of bytes times powers of the step, and the inverse powers."""
+    power = powers(len(flat) + 1)
+    sums = np.zeros(len(flat) + 1, dtype=np.uint64)
+    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64, out=sums[1:])
+    inverse = np.full(len(flat) + 1, pow(int(_STEP), -1, 1 << 64), dtype=np.uint64)
+    inverse[0] = 1
+    return sums, np.cumprod(inverse, dtype=np.uint64)
+
+
+def span_codes(flat: np.ndarray, start: np.ndarray, end: np.ndarray, prepared=None) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, by their contents only."""
+    sums, inverse = prepared or running_sums(flat)
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
