@@ -123,27 +123,46 @@ def _prints(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(look, "doc_id long, digest binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (u, v) whose texts reach the threshold."""
-    sides = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text")), "u").join(
-        texts.select(F.col("doc_id").alias("v"), F.col("text").alias("other")), "v"
-    )
-
+def _similar(threshold: float):
+    """A filter of pairs (u, v, text, other) by the weighted Jaccard similarity of their multisets."""
     def look(batches):
         for batch in batches:
             for half in chunks(batch, "text", CHUNK_BYTES):
                 for part in chunks(half, "other", CHUNK_BYTES):
                     left, right = (bags_of(texts_of(part.column(c))) for c in ("text", "other"))
-                    similar = overlaps(left, right, len(part)) >= threshold
-                    yield part.select(["u", "v"]).filter(pa.array(similar))
+                    yield part.select(["u", "v"]).filter(pa.array(overlaps(left, right, len(part)) >= threshold))
+
+    return look
 
-    return sides.select("u", "v", "text", "other").mapInArrow(look, "u long, v long")
+
+def _verified(pairs: DataFrame, texts: DataFrame, similar) -> DataFrame:
+    """Those pairs (u, v) of nodes whose texts are similar."""
+    sides = pairs.join(texts.select(F.col("node").alias("u"), "text"), "u").join(
+        texts.select(F.col("node").alias("v"), F.col("text").alias("other")), "v"
+    )
+    return sides.select("u", "v", "text", "other").mapInArrow(similar, "u long, v long")
 
 
 def _pairs(left: str, right: str):
     return [F.least(left, right).alias("u"), F.greatest(left, right).alias("v")]
 
 
+def linked_classes(live: DataFrame, texts: DataFrame, similar, more: DataFrame | None = None) -> DataFrame:
+    """Classes (id, component) of the nodes of buckets (bucket, node), linked where their texts are similar.
+
+    A bucket's leader is the member with the most company over all its buckets.  All members are compared
+    with it, then those outside the bucket's main class with all members of other classes.
+    """
+    company = live.join(live.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket").groupBy("node").agg(F.sum("size").alias("company"))
+    rank = F.struct("company", (-F.col("node")).alias("order"), "node")
+    leaders = live.join(company, "node").groupBy("bucket").agg(F.max(rank).getField("node").alias("leader"))
+    tried = keep(live.join(leaders, "bucket").where("node <> leader").select(*_pairs("node", "leader")).distinct(), "pairs")
+    links = keep(_verified(tried, texts, similar), "links")
+    known = links if more is None else links.union(more)
+    rest = keep(_between_classes(live, smallest_reachable(known)).join(tried, ["u", "v"], "left_anti"), "other-pairs")
+    return smallest_reachable(known.union(_verified(rest, texts, similar)))
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), kept."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -152,18 +171,12 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     copies = named.groupBy("digest").agg(F.min("doc_id").alias("node"))
     # The representative's bands only: those of its copies are equal.
     banded = named.join(copies, "digest").where("doc_id = node").select("node", F.explode("bands").alias("bucket")).distinct()
-    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    live = keep(banded.join(crowded, "bucket"), "buckets")
-    texts = keep(rows.join(live.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
-    company = live.groupBy("node").agg(F.sum("size").alias("company"))
-    ranked = live.join(company, "node").select("bucket", "node", F.struct("company", -F.col("node")).alias("rank"))
-    leaders = ranked.groupBy("bucket").agg((-F.max("rank").getField("col2")).alias("leader"))
-    tried = keep(live.join(leaders, "bucket").where("node <> leader").select(*_pairs("node", "leader")).distinct(), "pairs")
-    links = keep(verified(tried, texts, threshold), "links")
-    same_id = named.join(copies, "digest").where("doc_id <> node").select(F.col("doc_id").alias("v"), F.col("node").alias("u"))
-    rest = keep(_between_classes(live, smallest_reachable(links)).join(tried, ["u", "v"], "left_anti"), "other-pairs")
-    links = links.union(verified(rest, texts, threshold)).union(same_id.select("u", "v"))
-    classes = smallest_reachable(links).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "class_id")
+    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    live = keep(banded.join(crowded, "bucket", "left_semi"), "buckets")
+    texts = keep(rows.withColumnRenamed("doc_id", "node").join(live.select("node").distinct(), "node", "left_semi"), "candidates")
+    same_id = named.join(copies, "digest").where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
+    classes = linked_classes(live, texts, _similar(threshold), same_id)
+    classes = classes.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "class_id")
     found = prints.select("doc_id").join(classes, "doc_id", "left")
     class_id = F.coalesce("class_id", "doc_id")
     return found.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))

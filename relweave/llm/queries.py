@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relweave.llm import decontamination, language, mixing, near_duplicates, pii, repeated_substrings
+from relweave.llm import decontamination, language, mixing, near_duplicates, paragraphs, pii, repeated_substrings
 from relweave.llm.tables import read
 
 QUERIES: dict = {}
@@ -51,6 +51,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of every document repeat an earlier paragraph nearly or exactly."""
+    return paragraphs.repeated_paragraphs(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from two thirds of them."""
