@@ -60,7 +60,7 @@ class Stored:
 
     def __init__(self, df: DataFrame, name: str):
         self._spark = df.sparkSession
-        self.path = f"{_application_folder(self._spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{application_folder(self._spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.frame = self._spark.read.schema(df.schema).parquet(self.path)
 
@@ -77,7 +77,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 _FOLDERS: dict[str, str] = {}
 
 
-def _application_folder(spark: SparkSession) -> str:
+def application_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.applicationId not in _FOLDERS:
         folder = f"{shared_folder(spark)}/relweave-{context.applicationId}"
