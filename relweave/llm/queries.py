@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relweave.llm import decontamination, language, mixing, near_duplicates, paragraphs, pii, repeated_substrings
-from relweave.llm.tables import read
+from relweave.llm import decontamination, embeddings, language, mixing, near_duplicates, paragraphs, pii, quality, repeated_substrings, token_counts
+from relweave.llm.tables import keep, read
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -16,6 +16,13 @@ def query(function):
     return function
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; its source is the host, and its language in it the path."""
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return quality.judged(documents, labels, F.col("source"), F.col("lang"))
+
+
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold ten words in a row of which benchmark items."""
@@ -45,6 +52,12 @@ FROM dw d LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
 
+@query
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents with a weighted Jaccard similarity of 0.8 or more."""
@@ -57,6 +70,18 @@ def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after all documents came, the same batch came again, and the toxic ones went."""
+    counts = keep(token_counts.counted(read(spark, sf_dir, "documents")), "token-counts")
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    rollup = token_counts.Rollup(spark)
+    rollup.commit("all documents", token_counts.differences(inserted=counts))
+    rollup.commit("all documents", token_counts.differences(inserted=counts))
+    rollup.commit("toxic documents", token_counts.differences(deleted=counts.join(toxic, "doc_id", "left_semi")))
+    return rollup.totals()
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from two thirds of them."""
