@@ -15,8 +15,9 @@ candidate is verified on the whole multisets, so no link is below the threshold.
 
 Equal word sequences are one class representative.  The members of a band's bucket are compared with one leader,
 the member with the most company, and classes are joined; members outside the bucket's main class are then
-compared with all members of other classes.  So pairs inside a class are not expanded, and no link between
-two classes that share a bucket is missed.
+compared with those members of other classes that an upper bound of their similarity allows.  So pairs inside
+a class are not expanded, and no link between two classes that share a bucket is missed.  Large frames are always
+joined by sorting, so that the plan is the same at every size.
 
 Null texts and texts without words link with nothing.  Rows without an id are not compared: their class is
 null and they are kept.  Rows that share an id count as one document.  Empty tables give no rows; other
@@ -137,8 +138,8 @@ def _similar(threshold: float):
 
 def _verified(pairs: DataFrame, texts: DataFrame, similar) -> DataFrame:
     """Those pairs (u, v) of nodes whose texts are similar."""
-    sides = pairs.join(texts.select(F.col("node").alias("u"), "text"), "u").join(
-        texts.select(F.col("node").alias("v"), F.col("text").alias("other")), "v"
+    sides = pairs.join(texts.select(F.col("node").alias("u"), "text").hint("merge"), "u").join(
+        texts.select(F.col("node").alias("v"), F.col("text").alias("other")).hint("merge"), "v"
     )
     return sides.select("u", "v", "text", "other").mapInArrow(similar, "u long, v long")
 
@@ -147,11 +148,28 @@ def _pairs(left: str, right: str):
     return [F.least(left, right).alias("u"), F.greatest(left, right).alias("v")]
 
 
-def linked_classes(live: DataFrame, texts: DataFrame, similar, more: DataFrame | None = None) -> DataFrame:
+def _weighed(batches):
+    """node, code, weight, total: the shingles of every text with their numbers, and the text's number of all."""
+    for batch in batches:
+        for part in chunks(batch):
+            found = bags_of(texts_of(part.column("text")))
+            yield weights_batch(part.column("node"), found)
+
+
+def weights_batch(node: pa.Array, found: Bags) -> pa.RecordBatch:
+    total = np.bincount(found.text, found.count, len(node)).astype(np.int64)
+    return pa.RecordBatch.from_pydict({
+        "node": node.take(pa.array(found.text)), "code": pa.array(found.code.view(np.int64)),
+        "weight": pa.array(found.count, pa.int64()), "total": pa.array(total[found.text]),
+    })
+
+
+def linked_classes(live: DataFrame, texts: DataFrame, similar, weighed, threshold: float, more: DataFrame | None = None) -> DataFrame:
     """Classes (id, component) of the nodes of buckets (bucket, node), linked where their texts are similar.
 
     A bucket's leader is the member with the most company over all its buckets.  All members are compared
-    with it, then those outside the bucket's main class with all members of other classes.
+    with it, then those outside the bucket's main class with all members of other classes that they can be
+    similar to (see ``_between_classes``).
     """
     company = live.join(live.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket").groupBy("node").agg(F.sum("size").alias("company"))
     rank = F.struct("company", (-F.col("node")).alias("order"), "node")
@@ -159,10 +177,42 @@ def linked_classes(live: DataFrame, texts: DataFrame, similar, more: DataFrame |
     tried = keep(live.join(leaders, "bucket").where("node <> leader").select(*_pairs("node", "leader")).distinct(), "pairs")
     links = keep(_verified(tried, texts, similar), "links")
     known = links if more is None else links.union(more)
-    rest = keep(_between_classes(live, smallest_reachable(known)).join(tried, ["u", "v"], "left_anti"), "other-pairs")
+    rest = _between_classes(live, smallest_reachable(known), texts, weighed, threshold)
+    rest = keep(rest.join(tried, ["u", "v"], "left_anti"), "other-pairs")
     return smallest_reachable(known.union(_verified(rest, texts, similar)))
 
 
+def _between_classes(live: DataFrame, classes: DataFrame, texts: DataFrame, weighed, threshold: float) -> DataFrame:
+    """Pairs (u, v) of a bucket in different classes that may be similar.
+
+    At least one of the two lies outside the bucket's most frequent class, so a bucket that holds one class
+    and a few others makes few pairs.  Of a text with total weight n let m be the weight of the shingles that
+    any other text of these buckets has.  No two texts share more than the lesser m, so their similarity is
+    at most m / (n + n' - m): a bound, not an estimate, and no link is lost by it.  It sorts out the distant
+    copies of a common text, which meet in buckets but hold too much of their own.
+    """
+    members = live.join(classes.withColumnRenamed("id", "node"), "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("class")
+    )
+    main = members.groupBy("bucket").agg(F.mode("class", True).alias("main"), F.min("class").alias("low"), F.max("class").alias("high"))
+    mixed = keep(members.join(main.where("low <> high").select("bucket", "main"), "bucket"), "mixed-buckets")
+    chosen = texts.join(mixed.select("node").distinct().hint("merge"), "node", "left_semi")
+    parts = keep(chosen.select("node", "text").mapInArrow(weighed, "node long, code long, weight long, total long"), "weights")
+    lone = parts.groupBy("code").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("texts = 1")
+    own = lone.groupBy("node").agg(F.sum("weight").alias("own"))
+    sizes = parts.select("node", "total").distinct().join(own, "node", "left").select("node", F.col("total").alias("n"), (F.col("total") - F.coalesce("own", F.lit(0))).alias("m"))
+    sized = mixed.join(sizes, "node")
+    largest = F.col("m") * (1 + 1 / threshold) - F.col("n")  # a similar text has no greater weight
+    least = sized.groupBy("bucket").agg(F.min("n").alias("least"))
+    # A hair of tolerance, so that rounding excludes nothing.
+    outside = sized.where("class <> main").join(least, "bucket").where(F.col("least") <= largest + 1e-6)
+    outside = outside.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "class", "n", "m")])
+    shared = F.least("m", "other_m")
+    possible = (F.col("other_class") != F.col("class")) & (shared >= (threshold - 1e-9) * (F.col("n") + F.col("other_n") - shared))
+    once = (F.col("class") == F.col("main")) | (F.col("other_node") < F.col("node"))
+    return outside.join(sized, "bucket").where(possible & once).select(*_pairs("node", "other_node")).distinct()
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), kept."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -173,38 +223,19 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     banded = named.join(copies, "digest").where("doc_id = node").select("node", F.explode("bands").alias("bucket")).distinct()
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     live = keep(banded.join(crowded, "bucket", "left_semi"), "buckets")
-    texts = keep(rows.withColumnRenamed("doc_id", "node").join(live.select("node").distinct(), "node", "left_semi"), "candidates")
+    texts = keep(rows.withColumnRenamed("doc_id", "node").join(live.select("node").distinct().hint("merge"), "node", "left_semi"), "candidates")
     same_id = named.join(copies, "digest").where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
-    classes = linked_classes(live, texts, _similar(threshold), same_id)
+    classes = linked_classes(live, texts, _similar(threshold), _weighed, threshold, same_id)
     classes = classes.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "class_id")
     found = prints.select("doc_id").join(classes, "doc_id", "left")
     class_id = F.coalesce("class_id", "doc_id")
     return found.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _between_classes(live: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different classes.
-
-    At least one of the two lies outside the bucket's most frequent class, so a bucket that holds one
-    class and a few others makes few pairs.
-    """
-    members = live.join(classes.withColumnRenamed("id", "node"), "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("class")
-    )
-    main = members.groupBy("bucket").agg(F.mode("class", True).alias("main"), F.min("class").alias("low"), F.max("class").alias("high"))
-    mixed = members.join(main.where("low <> high").select("bucket", "main"), "bucket")
-    outside = mixed.where("class <> main").select("bucket", F.col("node").alias("other"), F.col("class").alias("other_class"))
-    pairs = outside.join(mixed, "bucket").where((F.col("class") == F.col("main")) & (F.col("other_class") != F.col("class")))
-    among = outside.join(
-        mixed.where("class <> main").select("bucket", "node", "class"), "bucket"
-    ).where((F.col("other") < F.col("node")) & (F.col("other_class") != F.col("class")))
-    return pairs.select(*_pairs("node", "other")).union(among.select(*_pairs("node", "other"))).distinct()
-
-
 def deduplicate(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the smallest id, with all columns."""
     classes = near_duplicates(documents, threshold)
-    gone = classes.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = classes.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct().hint("merge")
     left = documents.join(gone, documents["doc_id"].cast("long") == gone["gone_id"], "left_anti")
     repeated = documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relweave.llm.near_duplicates import THRESHOLD, band_codes, linked_classes
+from relweave.llm.near_duplicates import THRESHOLD, band_codes, linked_classes, weights_batch
 from relweave.llm.shingles import bags, overlaps, shingles_of
 from relweave.llm.tables import keep
 from relweave.llm.words import CHUNK_BYTES, Texts, Words, chunks, mix, texts_of, words_of
@@ -150,6 +150,14 @@ def _similar(threshold: float):
     return look
 
 
+def _weighed(batches):
+    """The shingles of every paragraph, each once."""
+    for batch in batches:
+        for part in chunks(batch):
+            found = bags(*shingles_of(words_of(texts_of(part.column("text")))))
+            yield weights_batch(part.column("node"), found._replace(count=np.ones_like(found.count)))
+
+
 def repeated_paragraphs(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, n_removed, removed (numbers of the lines that go, from 0, comma-joined)."""
     bands, size = tuned(threshold, recall)
@@ -159,8 +167,8 @@ def repeated_paragraphs(documents: DataFrame, threshold: float = THRESHOLD, reca
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
     live = keep(banded.join(crowded, "bucket", "left_semi").distinct(), "paragraph-buckets")
     nodes = live.select("node").distinct()
-    texts = keep(_node_texts(rows).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "paragraph-texts")
-    classes = linked_classes(live, texts, _similar(threshold)).select(F.col("id").alias("node"), F.col("component").alias("class"))
+    texts = keep(_node_texts(rows).join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "paragraph-texts")
+    classes = linked_classes(live, texts, _similar(threshold), _weighed, threshold).select(F.col("id").alias("node"), F.col("component").alias("class"))
     places = keep(_occurrences(rows), "paragraph-places")
     member = places.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     first = member.groupBy("class").agg(F.min(F.struct("id", "place", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
