@@ -26,6 +26,8 @@ from relweave.llm.tables import keep
 TEMPER = 0.7
 #: Rounds of fitting, each over all margins.
 ROUNDS = 8
+#: Rounds in one plan.
+STORED_ROUNDS = 8
 #: Digits kept of a probability, so that the order of additions does not decide about a document.
 DIGITS = 9
 
@@ -68,10 +70,12 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
         frame = frame.join(wanted, F.col(margin).eqNullSafe(F.col("t_value")), "left").drop("t_value")
         frame = frame.withColumn(f"t_{margin}", F.coalesce(f"t_{margin}", F.lit(0.0)))
     frame = keep(frame, "cells")
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         for margin in targets:
             held = F.sum("weight").over(Window.partitionBy(margin))
             frame = frame.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"t_{margin}") / held).otherwise(0.0))
+        if done % STORED_ROUNDS == 0 and done < rounds:  # keeps the plan short
+            frame = keep(frame, "cells")
     return keep(frame.select(*cells.columns, "weight"), "raked")
 
 
