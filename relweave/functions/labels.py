@@ -29,6 +29,13 @@ BUSINESS_LABELS = {
     "reviews": "审核",
 }
 
+# What the client shows beside those for a table edge that has only its relation types.
+TABLE_EDGE_LABELS = {
+    **BUSINESS_LABELS,
+    "人员行为": "关联行为",
+    "工艺涉及零件": "工艺涉及零件",
+}
+
 # Labels that say no more than "related".
 GENERIC_LABELS = (
     "",
@@ -72,6 +79,11 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*entries), key)
 
 
+def relation_type_label(relation_type: Column) -> Column:
+    """Label of a relation type alone, as a table edge shows it."""
+    return F.coalesce(_lookup(TABLE_EDGE_LABELS, F.lower(strip(relation_type))), F.lit(DEFAULT_LABEL))
+
+
 def relation_label(display_label: Column, relation_type: Column) -> Column:
     """The explicit label when it says something, else the label of the type, else the default."""
     candidate = strip(F.coalesce(display_label, F.lit("")))

@@ -11,7 +11,7 @@ from relweave.functions.identity import entity_id, key_order, pair_columns
 from relweave.functions.text import normalize_value
 from relweave.functions.values import as_text, is_floating, is_integral, require_comparable
 from relweave.operators.relations import RELATION_COLUMNS, as_relations, evidence
-from relweave.sources.catalog import Catalog, ForeignKey, union_all
+from relweave.sources.catalog import Catalog, ForeignKey, no_rows, union_all
 
 # Relation types and relation-table names.
 FOREIGN_KEY_TYPE = "外键关联"
@@ -33,6 +33,9 @@ def _present(frame: DataFrame, columns: Sequence[str]) -> Column:
     return condition
 
 
+PAIR_SCHEMA = "source string, target string, label string, confidence double, sequence int"
+
+
 def fk_matches(catalog: Catalog, key: ForeignKey) -> DataFrame:
     """Resolved rows of one foreign key: both entity ids and the text of the key parts.
 
@@ -109,7 +112,7 @@ def fk_edges(catalog: Catalog) -> DataFrame:
                 evidence=F.array(*proofs),
             )
         )
-    return union_all(frames)
+    return union_all(frames, _no_relations(catalog))
 
 
 def fk_pairs(catalog: Catalog) -> DataFrame:
@@ -120,8 +123,9 @@ def fk_pairs(catalog: Catalog) -> DataFrame:
             F.lit(number).alias("sequence"),
         )
         for number, key in enumerate(catalog.foreign_keys)
+        if key.source_table in catalog.tables and key.target_table in catalog.tables
     ]
-    return union_all(frames)
+    return union_all(frames, no_rows(catalog, PAIR_SCHEMA))
 
 
 @dataclass(frozen=True)
@@ -153,7 +157,7 @@ def value_equality_pairs(catalog: Catalog, matches: Sequence[FieldMatch], first_
                 F.lit(first_sequence + number).alias("sequence"),
             )
         )
-    return union_all(frames)
+    return union_all(frames, no_rows(catalog, PAIR_SCHEMA))
 
 
 def value_equality_groups(catalog: Catalog, matches: Sequence[FieldMatch]) -> DataFrame:
@@ -254,7 +258,7 @@ def unique_identifier_edges(catalog: Catalog, plans: Sequence[IdentifierPlan]) -
                 evidence=F.array(proof),
             )
         )
-    return union_all(frames) if frames else _no_relations(catalog)
+    return union_all(frames, _no_relations(catalog))
 
 
 def _single_carriers(catalog: Catalog, table: str, column: str, side: str) -> DataFrame:

@@ -150,8 +150,8 @@ def representatives(documents: DataFrame, groups: DataFrame) -> DataFrame:
     return documents.join(groups.select(F.col("representative_id").alias("entity_id")), "entity_id", "left_semi")
 
 
-def document_conflicts(documents: DataFrame) -> DataFrame:
-    """Ids carried by documents that differ; identical copies are no conflict."""
+def document_versions(documents: DataFrame) -> DataFrame:
+    """Per id: how many different documents carry it, and how many rows there are."""
     content = F.sha2(
         F.to_json(
             F.struct(
@@ -166,13 +166,19 @@ def document_conflicts(documents: DataFrame) -> DataFrame:
         documents.select("entity_id", content.alias("content"))
         .groupBy("entity_id", "content").agg(F.count(F.lit(1)).alias("copies"))
         .groupBy("entity_id").agg(F.count(F.lit(1)).alias("versions"), F.sum("copies").alias("copies"))
-        .where("versions > 1")
     )
 
 
-def distinct_documents(documents: DataFrame) -> DataFrame:
-    """One document per id; raises where an id has conflicting documents."""
-    conflict = document_conflicts(documents).take(1)
-    if conflict:
-        raise ValueError(f"conflicting entity documents for {conflict[0]['entity_id']}")
-    return documents.dropDuplicates(["entity_id"])
+def document_conflicts(documents: DataFrame) -> DataFrame:
+    """Ids carried by documents that differ; identical copies are no conflict."""
+    return document_versions(documents).where("versions > 1")
+
+
+def checked_documents(documents: DataFrame) -> DataFrame:
+    """One document per id; raises where an id has conflicting documents.  Most often nothing is repeated, and nothing is moved."""
+    worst = document_versions(documents).agg(
+        F.max("versions"), F.max("copies"), F.min(F.when(F.col("versions") > 1, F.col("entity_id")))
+    ).first()
+    if (worst[0] or 1) > 1:
+        raise ValueError(f"conflicting entity documents for {worst[2]}")
+    return documents.dropDuplicates(["entity_id"]) if (worst[1] or 1) > 1 else documents

@@ -11,7 +11,7 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relweave.functions.labels import business_name, confidence_band, relation_label, relation_visible
+from relweave.functions.labels import business_name, confidence_band, relation_type_label, relation_visible
 from relweave.functions.text import search_norm, strip_to_null
 from relweave.operators.graph import edge_ends, side_by_side
 from relweave.operators.ranking import grouped_row_number
@@ -111,10 +111,11 @@ def hub_nodes(node_degrees: DataFrame, top: int = TOP_HUBS) -> DataFrame:
     return per_table.union(overall).distinct()
 
 
-def presentations(nodes: DataFrame, node_degrees: DataFrame) -> DataFrame:
-    """Name, distinguishing second line, spoken label and search text of every node.
+def named_nodes(nodes: DataFrame) -> DataFrame:
+    """Name and distinguishing second line of every node.
 
-    Nodes whose names are equal after normalisation show their code, or their number in id order.
+    Nodes whose names are equal after normalisation show their code, or their number in id order among
+    all nodes of that name.  Only names that some node shows with a number are numbered.
     """
     named = nodes.select(
         "id",
@@ -124,26 +125,33 @@ def presentations(nodes: DataFrame, node_degrees: DataFrame) -> DataFrame:
         strip_to_null(F.col("display_code")).alias("code"),
     )
     keyed = named.withColumn("name_key", search_norm(F.col("primary")))
-    sizes = keyed.groupBy("name_key").agg(F.count(F.lit(1)).alias("name_count"))
-    numbered = grouped_row_number(keyed, ["name_key"], "id", "table_id", "number").join(sizes, "name_key")
+    sizes = keyed.groupBy("name_key").agg(F.count(F.lit(1)).alias("name_count"), F.count_if(F.col("code").isNull()).alias("bare"))
+    sized = keyed.join(sizes, "name_key")
+    numbers = grouped_row_number(sized.where("name_count > 1 AND bare > 0").select("id", "name_key", "code"), ["name_key"], "id", "number")
+    numbered = sized.join(numbers.where("code IS NULL").select("id", "number"), "id", "left")
     is_duplicate = F.col("name_count") > 1
     secondary = F.when(
         is_duplicate, F.coalesce("code", F.concat(F.lit("同名 "), F.col("number").cast("string")))
     ).otherwise(F.lit(""))
-    shown = numbered.withColumn("secondary", secondary).join(node_degrees.select("id", "degree"), "id", "left")
-    second = F.nullif(F.col("secondary"), F.lit(""))
-    return shown.select(
+    return numbered.select(
         "id",
         "table_id",
         "class_name",
         "primary",
-        "secondary",
-        F.concat_ws("；", "primary", second, F.concat(F.coalesce("degree", F.lit(0)).cast("string"), F.lit(" 个关系"))).alias("accessible_label"),
-        search_norm(F.concat_ws(" ", "primary", second)).alias("search_text"),
+        secondary.alias("secondary"),
+        search_norm(F.concat_ws(" ", "primary", F.nullif(secondary, F.lit("")))).alias("search_text"),
         is_duplicate.alias("is_duplicate"),
     )
 
 
+def presentations(nodes: DataFrame, node_degrees: DataFrame) -> DataFrame:
+    """Names, second lines and spoken labels, which tell the number of relations, of every node."""
+    shown = named_nodes(nodes).join(node_degrees.select("id", "degree"), "id", "left")
+    relations = F.concat(F.coalesce("degree", F.lit(0)).cast("string"), F.lit(" 个关系"))
+    label = F.concat_ws("；", "primary", F.nullif(F.col("secondary"), F.lit("")), relations)
+    return shown.select("id", "table_id", "class_name", "primary", "secondary", label.alias("accessible_label"), "search_text", "is_duplicate")
+
+
 def node_search(shown: DataFrame, query: str) -> DataFrame:
     """Nodes whose name, second line, class or id contains any word of the query; none for a blank one."""
     words = unicodedata.normalize("NFKC", query).lower().split()
@@ -259,7 +267,7 @@ def table_edge_view(shown_tables: DataFrame, support: DataFrame, edges: DataFram
     by_counts = relation_visible(F.when(F.col("strong_count") > 0, "strong").otherwise("weak"), F.col("average_confidence"), threshold)
     mixed = (F.col("strong_count") > 0) & (F.col("weak_count") > 0)
     type_labels = F.array_join(
-        F.array_sort(F.array_distinct(F.transform("relation_types", lambda t: relation_label(F.lit(None).cast("string"), t)))), LABEL_SEPARATOR
+        F.array_sort(F.array_distinct(F.transform("relation_types", relation_type_label))), LABEL_SEPARATOR
     )
     return joined.where(F.coalesce("any_visible", by_counts)).select(
         "id",

@@ -48,8 +48,11 @@ def entity_edges(edges: DataFrame) -> DataFrame:
     pair travel as one row; what is gathered is bounded by the keys, relation tables and plans.
     """
     keyed = edges.withColumn("sort_key", relation_sort_key(edges))
-    counted = keyed.groupBy("edge_id", "edge_source", "edge_target", "sort_key").agg(
+    # Evidence may quote whole texts, so equal relations meet by a digest of their text.
+    keyed = keyed.withColumn("digest", F.sha2("sort_key", 256))
+    counted = keyed.groupBy("edge_id", "edge_source", "edge_target", "digest").agg(
         F.count(F.lit(1)).alias("copies"),
+        F.min("sort_key").alias("sort_key"),
         F.first("strength").alias("strength"),
         F.first("confidence").alias("confidence"),
         F.first("relation_type").alias("relation_type"),
@@ -201,16 +204,16 @@ NO_RELATIONS_WARNING = "No relationships were found after all planned candidates
 
 
 def run_status(
-    totals: DataFrame, planner_failed: bool = False, structural_failed: bool = False, timed_out: bool = False
+    totals: DataFrame, planner_failed: bool = False, structural_failed: bool = False, timed_out: bool = False, retrieval_failed: bool = False
 ) -> DataFrame:
     """Failed, partial or complete, from the one-row diagnostics."""
     empty = (F.col("strong_edges_created") + F.col("weak_edges_created")) == 0
     all_failed = (F.col("completed_groups") == 0) & (F.col("failed_groups") > 0) & (F.col("pending_groups") == 0)
     incomplete = (
-        F.lit(timed_out or planner_failed or structural_failed) | (F.col("failed_groups") > 0) | (F.col("pending_groups") > 0)
+        F.lit(timed_out or planner_failed or structural_failed or retrieval_failed) | (F.col("failed_groups") > 0) | (F.col("pending_groups") > 0)
     )
     status = (
-        F.when(empty & (F.lit(planner_failed or structural_failed) | all_failed), F.lit("failed"))
+        F.when(empty & (F.lit(planner_failed or structural_failed or retrieval_failed) | all_failed), F.lit("failed"))
         .when(incomplete, F.lit("partial"))
         .otherwise(F.lit("complete"))
     )

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relweave.functions.identity import pair_columns
 from relweave.functions.values import encoded_object
+from relweave.operators.plans import with_plan
 from relweave.operators.relations import as_relations
 from relweave.sources.catalog import union_all
 
@@ -35,6 +36,12 @@ RESPONSE_SCHEMA = (
     "evidence:array<struct<source_field:string,target_field:string,method:string,reason:string>>>>>"
 )
 
+DECISION_SCHEMA = (
+    "plan_id string, source_id string, target_id string, source_table string, target_table string, relation_type string, "
+    "display_label string, direction string, confidence double, explanation string, "
+    "evidence array<struct<source_field:string,target_field:string,method:string,reason:string>>"
+)
+
 COMPLETED, FAILED, PENDING = "completed", "failed", "pending"
 
 
@@ -61,7 +68,7 @@ def candidate_pairs(candidates: DataFrame, plans: DataFrame, documents: DataFram
     pairs = (
         candidates.where("target_id is not null")
         .select("plan_id", "source_id", "target_id", "rank")
-        .join(plans, "plan_id")
+        .transform(with_plan, plans)
         .join(_document_side(documents, "source"), "source_id")
         .join(_document_side(documents, "target"), "target_id")
     )
@@ -172,7 +179,7 @@ def check_responses(responses: DataFrame, plans: DataFrame) -> DataFrame:
     A response must have exactly the expected fields and types, stay inside its group and plan, and
     not contradict itself; otherwise the whole group fails.  The check needs only the row itself.
     """
-    parsed = responses.join(plans, "plan_id").withColumn("decisions", F.from_json("response", RESPONSE_SCHEMA)["decisions"])
+    parsed = with_plan(responses, plans).withColumn("decisions", F.from_json("response", RESPONSE_SCHEMA)["decisions"])
     loose = F.from_json("response", "struct<decisions:array<map<string,string>>>")["decisions"]
     decision_names = F.array(*[F.lit(f) for f in DECISION_FIELDS])
     proof_names = F.array(*[F.lit(f) for f in PROOF_FIELDS])
@@ -285,7 +292,7 @@ def rule_decisions(pairs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 F.lit(rule.explanation).alias("explanation"), proofs.alias("evidence"),
             )
         )
-    return union_all(frames)
+    return union_all(frames, pairs.sparkSession.createDataFrame([], DECISION_SCHEMA))
 
 
 def rule_outcomes(pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relweave.functions.text import safe_label
 from relweave.sources.catalog import Catalog
-from relweave.sources.profile import row_counts
 
 PLAN_LIMIT = 20
 MAX_CANDIDATES = 50
@@ -49,18 +48,44 @@ def plans_frame(spark: SparkSession, plans: Sequence[RelationshipPlan]) -> DataF
     return frame.withColumn("plan_id", F.sha2(F.to_json(F.struct(*frame.columns)), 256).substr(1, 16))
 
 
+def literal(value, kind: str) -> Column:
+    """A driver value, lists included, as a constant of the plan."""
+    if isinstance(value, (list, tuple)):
+        return F.array(*[F.lit(v) for v in value]).cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def plan_constants(plans: DataFrame, **columns: str) -> dict[str, Column]:
+    """The plans by id as constant structs: new field name = column.  Plans are few, and known to the driver."""
+    kinds = {f.name: f.dataType.simpleString() for f in plans.schema}
+    rows = {r["plan_id"]: r for r in plans.collect()}
+    return {
+        plan: F.struct(*[literal(row[c], kinds[c]).alias(name) for name, c in columns.items()]) for plan, row in sorted(rows.items())
+    }
+
+
+def with_plan(df: DataFrame, plans: DataFrame, *columns: str) -> DataFrame:
+    """Rows of known plans with the plan's columns (all by default): constants in the projection, no join."""
+    names = columns or tuple(c for c in plans.columns if c != "plan_id")
+    constants = plan_constants(plans, **{c: c for c in names})
+    if not constants:
+        kinds = {f.name: f.dataType.simpleString() for f in plans.schema}
+        return df.where(F.lit(False)).select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in names])
+    by_id = F.create_map(*[part for plan, value in constants.items() for part in (F.lit(plan), value)])
+    return df.withColumn("_plan", by_id[F.col("plan_id")]).where("_plan IS NOT NULL").select(*[f"`{c}`" for c in df.columns], "_plan.*")
+
+
+def largest_limit(plans: DataFrame) -> int:
+    """The largest number of candidates any of the plans wants."""
+    return max((r[0] for r in plans.select("candidate_limit").collect()), default=1)
+
+
 def check_plans(plans: DataFrame, catalog: Catalog) -> DataFrame:
-    """Every plan with the reason to reject it, if any, and the size of both tables."""
+    """Every plan with the reason to reject it, if any.  It needs metadata only."""
     spark = plans.sparkSession
-    allowed = spark.createDataFrame(
-        [(t, catalog.allowed_dimensions(t)) for t in catalog.tables], "table_name string, allowed array<string>"
-    ).join(row_counts(catalog), "table_name")
-    source = allowed.select(
-        F.col("table_name").alias("source_table"), F.col("allowed").alias("source_allowed"), F.col("row_count").alias("source_rows")
-    )
-    target = allowed.select(
-        F.col("table_name").alias("target_table"), F.col("allowed").alias("target_allowed"), F.col("row_count").alias("target_rows")
-    )
+    allowed = spark.createDataFrame([(t, catalog.allowed_dimensions(t)) for t in catalog.tables], "table_name string, allowed array<string>")
+    source = allowed.select(F.col("table_name").alias("source_table"), F.col("allowed").alias("source_allowed"))
+    target = allowed.select(F.col("table_name").alias("target_table"), F.col("allowed").alias("target_allowed"))
     known = plans.join(source, "source_table", "left").join(target, "target_table", "left")
     problem = (
         F.when(F.col("source_table") == F.col("target_table"), "same table")
@@ -73,7 +98,7 @@ def check_plans(plans: DataFrame, catalog: Catalog) -> DataFrame:
         .when(~F.col("candidate_limit").between(1, MAX_CANDIDATES), "candidate limit out of range")
         .when(~safe_label(F.col("display_label")), "label is not a short business label")
     )
-    return known.select(*plans.columns, "source_rows", "target_rows", problem.alias("problem"))
+    return known.select(*plans.columns, problem.alias("problem"))
 
 
 def validate_plans(plans: DataFrame, catalog: Catalog, limit: int = PLAN_LIMIT) -> DataFrame:

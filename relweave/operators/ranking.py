@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from relweave.session import materialize
+
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column, rank: str) -> DataFrame:
     """First ``k`` rows per key with their rank.
@@ -17,34 +19,36 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int |
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def grouped_row_number(df: DataFrame, keys: Sequence[str], id_column: str, space: str, rank: str) -> DataFrame:
-    """Exact row number by ``id_column`` within ``keys`` without sorting a whole group in one task.
+def ranged(df: DataFrame, keys: Sequence[str], order: str, parts: int | None = None) -> DataFrame:
+    """The rows, stored, with the number of the range partition of (keys, order) they are in.
 
-    Rows are cut into buckets by an id prefix, which follows the id order.  A row's number is the
-    size of the buckets before its own plus its number inside the bucket.  The prefix starts after
-    the part that all ids of a ``space`` (a table) share and takes five characters more, so a group
-    spreads over many buckets; any prefix length gives the same numbers.
+    Spark samples the bounds, so the ranges are of about equal size whatever the values look like, and a
+    large group is cut into several.  They are stored because another sample would number them anew.
     """
-    spaces = df.groupBy(space).agg(F.min(id_column).alias("_lo"), F.max(id_column).alias("_hi"))
-    shared = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(F.char_length("_lo"), F.char_length("_hi")), F.lit(1))),
-        F.lit(0),
-        lambda seen, i: F.when(
-            (seen == i - 1) & (F.substring(F.col("_lo"), i, F.lit(1)) == F.substring(F.col("_hi"), i, F.lit(1))), i
-        ).otherwise(seen),
-    )
-    spaces = spaces.select(space, (shared + 5).alias("_cut"))
-    bucketed = df.join(spaces, space).withColumn("_bucket", F.substring(F.col(id_column), F.lit(1), F.col("_cut")))
-    sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(id_column)
-    numbered = bucketed.withColumn("_inside", F.row_number().over(inside))
-    return (
-        numbered.join(offsets, [*keys, "_bucket"])
-        .withColumn(rank, F.col("_before") + F.col("_inside"))
-        .drop("_bucket", "_cut", "_inside", "_before")
-    )
+    number = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(number, *keys, order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, weight: Column, total: str, parts: int | None = None) -> DataFrame:
+    """Exact running sum of ``weight`` in the order of a column within ``keys``; no group is sorted as a whole.
+
+    It is the sum of the range partitions before a row's own (few rows for each group) plus the running sum within it.
+    """
+    rows = ranged(df.withColumn("_weight", weight), keys, order, parts)
+    sizes = rows.groupBy(*keys, "_part").agg(F.sum("_weight").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum("_weight").over(Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    same = rows["_part"] == offsets["_part"]
+    for key in keys:
+        same = same & rows[key].eqNullSafe(offsets[key])
+    numbered = rows.withColumn("_inside", inside).alias("r").join(offsets.alias("o"), same)
+    return numbered.select("r.*", (F.col("o._before") + F.col("r._inside")).alias(total)).drop("_part", "_weight", "_inside")
+
+
+def grouped_row_number(df: DataFrame, keys: Sequence[str], id_column: str, rank: str, parts: int | None = None) -> DataFrame:
+    """Exact row number by ``id_column`` within ``keys``."""
+    return running_sum(df, keys, id_column, F.lit(1).cast("long"), rank, parts)
 
 
 def nearest_rank_percentile(df: DataFrame, keys: Sequence[str], value: str, percent: int, accuracy: int = 10000) -> DataFrame:
@@ -73,8 +77,8 @@ def nearest_rank_percentile(df: DataFrame, keys: Sequence[str], value: str, perc
     hit = (F.col("_below") < F.col("_rank")) & (F.col("_rank") <= F.col("_below") + F.col("_inside"))
     wanted = _attach(placed, sums, keys).where(inside | ~hit)
     start = F.when(hit, F.col("_below")).otherwise(F.lit(0))
-    running = start + F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))
-    found = wanted.withColumn("_running", running).where(F.col("_running") >= F.col("_rank"))
+    placed = running_sum(wanted.withColumn("_start", start), keys, value, F.col("_n"), "_sum")
+    found = placed.where(F.col("_start") + F.col("_sum") >= F.col("_rank"))
     return found.groupBy(*keys).agg(F.min(value).alias("percentile_value"))
 
 

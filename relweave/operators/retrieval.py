@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from relweave.functions.text import dimension_text, keyword_tokens
 from relweave.functions.vectors import Encoder, embed_text, usable_vector
-from relweave.operators.plans import MAX_CANDIDATES
+from relweave.operators.plans import plan_constants, with_plan
 from relweave.operators.ranking import top_k
 from relweave.operators.vector_search import nearest_vectors
 from relweave.session import materialize
@@ -22,21 +22,27 @@ KEYWORD, SEMANTIC = "keyword", "semantic"
 
 
 def plan_texts(documents: DataFrame, plans: DataFrame, side: str) -> DataFrame:
-    """The dimension text of every document on one side of every plan."""
-    needed = plans.select(
-        "plan_id",
-        F.col(f"{side}_table").alias("table_name"),
-        F.col(f"{side}_dimensions").alias("dims"),
-        F.col("candidate_limit").alias("k"),
-        "retrieval_modes",
-    )
-    return documents.join(needed, "table_name").select(
-        "plan_id",
-        "entity_id",
-        "key_order",
-        "k",
-        "retrieval_modes",
-        dimension_text(F.col("normalized_dimensions"), F.col("dims")).alias("text"),
+    """The dimension text of every document on one side of every plan.
+
+    The plans are constants of the projection: a document meets the plans of its table without a join.
+    """
+    constants = plan_constants(
+        plans, plan_id="plan_id", table=f"{side}_table", dims=f"{side}_dimensions", k="candidate_limit", retrieval_modes="retrieval_modes"
+    )
+    tables = {r["plan_id"]: r[f"{side}_table"] for r in plans.select("plan_id", f"{side}_table").collect()}
+    by_table: dict[str, list] = {}
+    for plan, value in constants.items():
+        by_table.setdefault(tables[plan], []).append(value)
+    if not by_table:
+        return documents.where(F.lit(False)).select(
+            F.lit("").alias("plan_id"), "entity_id", "key_order", F.lit(0).alias("k"),
+            F.array().cast("array<string>").alias("retrieval_modes"), F.lit("").alias("text"),
+        )
+    known = F.create_map(*[part for table, values in by_table.items() for part in (F.lit(table), F.array(*values))])
+    wanted = documents.where(F.col("table_name").isin(*by_table)).withColumn("_plan", F.explode(known[F.col("table_name")]))
+    return wanted.select(
+        "_plan.plan_id", "entity_id", "key_order", "_plan.k", "_plan.retrieval_modes",
+        dimension_text(F.col("normalized_dimensions"), F.col("_plan.dims")).alias("text"),
     )
 
 
@@ -51,13 +57,30 @@ def keyword_index(texts: DataFrame) -> DataFrame:
     )
 
 
-def first_postings(index: DataFrame) -> DataFrame:
-    """The first K postings of each token with their place in the list, stored as the index to search."""
-    ranked = top_k(index, ["plan_id", "token"], [F.col("key_order"), F.col("entity_id")], MAX_CANDIDATES, "place")
+def _limit(frame: DataFrame) -> int:
+    return frame.agg(F.max("k")).first()[0] or 1
+
+
+def source_tokens(sources: DataFrame) -> DataFrame:
+    """The distinct tokens of each plan's sources."""
+    tokens = sources.where(F.array_contains("retrieval_modes", KEYWORD)).select("plan_id", F.explode(keyword_tokens(F.col("text"))).alias("token"))
+    return tokens.distinct()
+
+
+def first_postings(index: DataFrame, limit: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """The first K postings of each token with their place in the list, stored as the index to search.
+
+    ``limit`` is the largest K of the plans, read from the index if not given; ``wanted`` (plan_id, token)
+    leaves out tokens nobody asks for before anything is ranked.
+    """
+    if wanted is not None:
+        index = index.join(wanted, ["plan_id", "token"], "left_semi")
+    most = limit or _limit(index)
+    ranked = top_k(index, ["plan_id", "token"], [F.col("key_order"), F.col("entity_id")], most, "place")
     return materialize(ranked.where(F.col("place") <= F.col("k")).drop("key_order"), "postings")
 
 
-def keyword_candidates(sources: DataFrame, postings: DataFrame) -> DataFrame:
+def keyword_candidates(sources: DataFrame, postings: DataFrame, limit: int | None = None) -> DataFrame:
     """Up to K targets per source, visiting the source's tokens in order.
 
     Tokens after the first one with a full posting list can add nothing, because that list alone
@@ -80,7 +103,7 @@ def keyword_candidates(sources: DataFrame, postings: DataFrame) -> DataFrame:
     first = hits.groupBy("plan_id", "source_id", "target_id").agg(
         F.min(F.struct("token", "place")).alias("seen"), F.first("k").alias("k")
     )
-    ranked = top_k(first, ["plan_id", "source_id"], [F.col("seen"), F.col("target_id")], MAX_CANDIDATES, "rank")
+    ranked = top_k(first, ["plan_id", "source_id"], [F.col("seen"), F.col("target_id")], limit or _limit(sources), "rank")
     return ranked.where(F.col("rank") <= F.col("k")).select(
         "plan_id", "source_id", "target_id", "rank", F.lit(KEYWORD).alias("via")
     )
@@ -90,20 +113,44 @@ def embed_plan_texts(
     texts: DataFrame, make_encoder: Callable[[], Encoder], batch_size: int = 256
 ) -> DataFrame:
     """Unit vectors of the non-empty texts of semantic plans."""
-    wanted = texts.where(F.array_contains("retrieval_modes", SEMANTIC) & (F.col("text") != ""))
-    return wanted.select("plan_id", "entity_id", "key_order", "k", embed_text(F.col("text"), make_encoder, batch_size).alias("vector"))
+    wanted = texts.where(F.array_contains("retrieval_modes", SEMANTIC) & (F.col("text") != "")).select(
+        "plan_id", "entity_id", "key_order", "k", "text", F.sha2("text", 256).alias("digest")
+    )
+    # An encoder may be slow: each distinct text is encoded once, and the vectors are stored before anything reads them.
+    distinct = wanted.groupBy("digest").agg(F.min("text").alias("text"))
+    vectors = materialize(distinct.select("digest", embed_text(F.col("text"), make_encoder, batch_size).alias("vector")), "vectors")
+    return wanted.drop("text").join(vectors, "digest").drop("digest")
+
 
+def _comparable(vectors: DataFrame, dimensions: dict[str, int] | None = None) -> DataFrame:
+    usable = vectors.where(usable_vector(F.col("vector"))).select("plan_id", "entity_id", "vector")
+    if dimensions is None:
+        return usable
+    if not dimensions:
+        return usable.where(F.lit(False))
+    wanted = F.create_map(*[F.lit(part) for pair in dimensions.items() for part in pair])
+    return usable.where(F.size("vector") == wanted[F.col("plan_id")])
 
-def semantic_candidates(sources: DataFrame, targets: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:
-    """Nearest targets by cosine per source and plan.  Vectors that cannot be compared are skipped.
 
-    Both frames have plan_id, entity_id, k and vector.
+def plan_dimensions(targets: DataFrame) -> dict[str, int]:
+    """The usual vector length of each plan's targets: the most frequent one, the smaller of equally frequent ones."""
+    lengths = targets.groupBy("plan_id", F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    best: dict[str, tuple[int, int]] = {}
+    for row in lengths:
+        best[row["plan_id"]] = max(best.get(row["plan_id"], (0, 0)), (row["rows"], -row["n"]))
+    return {plan: -length for plan, (_, length) in best.items()}
+
+
+def semantic_candidates(sources: DataFrame, targets: DataFrame, k: int | None = None) -> DataFrame:
+    """Nearest targets by cosine per source and plan.
+
+    Both frames have plan_id, entity_id, k and vector.  Vectors that cannot be compared are skipped, and so are those of
+    another length than the plan's targets have.
     """
-    near = nearest_vectors(
-        sources.where(usable_vector(F.col("vector"))).select("plan_id", "entity_id", "vector"),
-        targets.where(usable_vector(F.col("vector"))).select("plan_id", "entity_id", "vector"),
-        k,
-    )
+    right = materialize(_comparable(targets), "target-vectors")
+    dimensions = plan_dimensions(right)
+    left = materialize(_comparable(sources, dimensions), "source-vectors")
+    near = nearest_vectors(left, _comparable(right, dimensions), k or _limit(sources))
     limits = sources.select("plan_id", F.col("entity_id").alias("source_id"), "k")
     return (
         near.join(limits, ["plan_id", "source_id"])
@@ -112,7 +159,7 @@ def semantic_candidates(sources: DataFrame, targets: DataFrame, k: int = MAX_CAN
     )
 
 
-def hybrid_candidates(sources: DataFrame, *stages: DataFrame) -> DataFrame:
+def hybrid_candidates(sources: DataFrame, *stages: DataFrame, limit: int | None = None) -> DataFrame:
     """Keyword candidates first, semantic ones after them, distinct, K per source.
 
     A source without candidates keeps one row with a null target, so its group exists.
@@ -123,7 +170,7 @@ def hybrid_candidates(sources: DataFrame, *stages: DataFrame) -> DataFrame:
     )
     groups = sources.select("plan_id", F.col("entity_id").alias("source_id"), "k")
     ranked = (
-        top_k(first, ["plan_id", "source_id"], [F.col("seen"), F.col("target_id")], MAX_CANDIDATES, "place")
+        top_k(first, ["plan_id", "source_id"], [F.col("seen"), F.col("target_id")], limit or _limit(sources), "place")
         .join(groups, ["plan_id", "source_id"])
         .where(F.col("place") <= F.col("k"))
         .select("plan_id", "source_id", "target_id", F.col("place").alias("rank"), F.col("seen.via").alias("via"))
@@ -135,7 +182,7 @@ def retrieval_stats(candidates: DataFrame, plans: DataFrame) -> DataFrame:
     """Per plan: sources, candidates, the longest list and rows beyond K (zero by construction)."""
     per_source = candidates.groupBy("plan_id", "source_id").agg(F.count("target_id").alias("n"))
     return (
-        per_source.join(plans.select("plan_id", "candidate_limit"), "plan_id")
+        with_plan(per_source, plans, "candidate_limit")
         .groupBy("plan_id")
         .agg(
             F.count(F.lit(1)).alias("groups"),

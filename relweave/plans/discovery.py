@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from relweave.functions.vectors import Encoder, hashing_encoder
 from relweave.operators import deterministic, documents as docs, graph, judging, retrieval
-from relweave.operators.plans import RelationshipPlan, plans_frame, validate_plans
+from relweave.operators.plans import PlanError, RelationshipPlan, largest_limit, plans_frame, validate_plans
 from relweave.operators.relations import edge_relations, strong_pairs, union_relations
 from relweave.session import materialize
 from relweave.sources.catalog import Catalog
@@ -18,6 +19,9 @@ MISSING_NAME_WARNING = "缺少业务名称字段。"
 MISSING_CLASS_WARNING = "缺少对象类型信息，无法进行主要关系判断。"
 BLANK_NAME_WARNING = "部分对象缺少业务名称。"
 
+# What a step may fail with and leave the other steps' relations alone.
+STEP_ERRORS = (ValueError, KeyError, PySparkException)
+
 
 @dataclass
 class Analysis:
@@ -53,15 +57,13 @@ def candidates_for(
     """Keyword then semantic candidates of every plan."""
     sources = retrieval.plan_texts(representatives, plans, "source")
     targets = retrieval.plan_texts(representatives, plans, "target")
-    postings = retrieval.first_postings(retrieval.keyword_index(targets))
-    stages = [retrieval.keyword_candidates(sources, postings)]
+    limit = largest_limit(plans)
+    postings = retrieval.first_postings(retrieval.keyword_index(targets), limit, retrieval.source_tokens(sources))
+    stages = [retrieval.keyword_candidates(sources, postings, limit)]
     if plans.where(F.array_contains("retrieval_modes", retrieval.SEMANTIC)).take(1):
-        stages.append(
-            retrieval.semantic_candidates(
-                retrieval.embed_plan_texts(sources, make_encoder), retrieval.embed_plan_texts(targets, make_encoder)
-            )
-        )
-    return retrieval.hybrid_candidates(sources, *stages)
+        embedded = [retrieval.embed_plan_texts(side, make_encoder) for side in (sources, targets)]
+        stages.append(retrieval.semantic_candidates(*embedded, limit))
+    return retrieval.hybrid_candidates(sources, *stages, limit=limit)
 
 
 def analyze(
@@ -77,7 +79,9 @@ def analyze(
 ) -> Analysis:
     """Relations between the rows of the tables in scope, as a graph.
 
-    Judgement uses ``judge`` when given, else ``rules``.
+    Judgement uses ``judge`` when given, else ``rules``.  A plan set that must not be used, unusable relation
+    tables and a failed retrieval or judgement lose their own relations only: the warnings and the status in
+    the diagnostics tell.  Tables without names or classes, and documents that contradict each other, are refused.
     """
     spark = next(iter(catalog.tables.values())).frame.sparkSession
     warnings = []
@@ -88,15 +92,27 @@ def analyze(
     if warnings:
         raise ValueError(" ".join(warnings))
 
-    documents = docs.build_documents(catalog)
+    # The texts are normalised once; everything below reads the stored table.
+    signed = docs.checked_documents(materialize(docs.signed(docs.build_documents(catalog)), "documents"))
+    documents = signed.drop("signature")
     if documents.where("is_blank_name").take(1):
         warnings.append(BLANK_NAME_WARNING)
-    strong = [deterministic.fk_edges(catalog)] if catalog.foreign_keys else []
-    if relation_tables:
-        found = deterministic.find_relation_tables(relation_tables)
-        if found:
-            strong.append(deterministic.relation_table_edges(found, documents, orientation))
+
     usable = [p for p in plans if len(catalog.tables) > 1]
+    plan_rows, failed = plans_frame(spark, usable), {"planner_failed": False, "structural_failed": False, "retrieval_failed": False}
+    try:
+        plan_rows = validate_plans(plan_rows, catalog) if usable else plan_rows
+    except PlanError as error:
+        usable, plan_rows, failed["planner_failed"] = [], plans_frame(spark, []), True
+        warnings.append(str(error))
+
+    strong = [deterministic.fk_edges(catalog)]
+    try:
+        if relation_tables and (found := deterministic.find_relation_tables(relation_tables)):
+            strong.append(materialize(deterministic.relation_table_edges(found, documents, orientation), "structural"))
+    except STEP_ERRORS as error:
+        failed["structural_failed"] = True
+        warnings.append(_reason(error))
     identifiers = [
         deterministic.IdentifierPlan(
             p.source_table, p.source_dimensions[0], p.target_table, p.target_dimensions[0], p.relation_type, p.direction, p.reason
@@ -105,33 +121,17 @@ def analyze(
         if len(p.source_dimensions) == 1 and len(p.target_dimensions) == 1
     ]
     strong.append(deterministic.unique_identifier_edges(catalog, identifiers))
-    deterministic_relations = union_relations(*strong)
+    found = union_relations(*strong)
 
-    plan_rows = plans_frame(spark, usable)
+    outcomes = spark.createDataFrame([], "plan_id string, source_id string, candidate_count int, status string")
     if usable:
-        plan_rows = validate_plans(plan_rows, catalog)
-        planned = sorted({t for p in usable for t in (p.source_table, p.target_table)})
-        # The texts are normalised once; retrieval, judgement and expansion read the stored table.
-        in_plans = materialize(docs.signed(docs.build_documents(catalog, planned)), "documents")
-        groups = docs.signature_groups(in_plans)
-        members = docs.signature_members(in_plans, groups)
-        leaders = docs.representatives(in_plans, groups)
-        candidates = judging.exclude_strong_pairs(
-            candidates_for(leaders, plan_rows, make_encoder), strong_pairs(deterministic_relations)
-        )
-        pairs = judging.candidate_pairs(candidates, plan_rows, leaders)
-        if judge is not None:
-            # The judge may be slow or costly, so its answers are kept before two steps read them.
-            answers = materialize(judging.ask_judge(judging.judge_requests(pairs), judge, deadline, concurrency), "answers")
-            checked = judging.check_responses(answers, plan_rows)
-            outcomes, decisions = judging.judgement_outcomes(checked), judging.approved_decisions(checked)
-        else:
-            outcomes, decisions = judging.rule_outcomes(pairs), judging.rule_decisions(pairs, rules)
-        judged = judging.expand_representatives(decisions, members, in_plans)
-        found = union_relations(deterministic_relations, judged)
-    else:
-        found = deterministic_relations
-        outcomes = spark.createDataFrame([], "plan_id string, source_id string, candidate_count int, status string")
+        try:
+            outcomes, judged = _judged(signed, usable, plan_rows, strong_pairs(found), rules, judge, make_encoder, deadline, concurrency)
+            judged = graph.require_endpoints(materialize(judged, "judged"), documents)
+            found = union_relations(found, judged)
+        except STEP_ERRORS as error:
+            failed["retrieval_failed"] = True
+            warnings.append(_reason(error))
 
     # The graph parts and every later question read the relations; they are found once.
     relations = materialize(found, "relations")
@@ -147,6 +147,29 @@ def analyze(
         table_edges=shown,
         table_edge_support=graph.table_edge_support(edges, shown),
         outcomes=outcomes,
-        diagnostics=graph.run_status(graph.diagnostics(documents, plan_rows, outcomes, relations)),
+        diagnostics=graph.run_status(graph.diagnostics(documents, plan_rows, outcomes, relations), **failed),
         warnings=warnings,
     )
+
+
+def _reason(error: Exception) -> str:
+    return str(error).split("\n")[0][:200]
+
+
+def _judged(signed, plans, plan_rows, strong, rules, judge, make_encoder, deadline, concurrency) -> tuple[DataFrame, DataFrame]:
+    """Outcomes per group, and the weak relations that judgement finds."""
+    planned = sorted({t for p in plans for t in (p.source_table, p.target_table)})
+    in_plans = signed.where(F.col("table_name").isin(planned))
+    groups = docs.signature_groups(in_plans)
+    members = docs.signature_members(in_plans, groups)
+    leaders = docs.representatives(in_plans, groups)
+    candidates = judging.exclude_strong_pairs(candidates_for(leaders, plan_rows, make_encoder), strong)
+    pairs = judging.candidate_pairs(candidates, plan_rows, leaders)
+    if judge is not None:
+        # The judge may be slow or costly, so its answers are kept before two steps read them.
+        answers = materialize(judging.ask_judge(judging.judge_requests(pairs), judge, deadline, concurrency), "answers")
+        checked = judging.check_responses(answers, plan_rows)
+        outcomes, decisions = judging.judgement_outcomes(checked), judging.approved_decisions(checked)
+    else:
+        outcomes, decisions = judging.rule_outcomes(pairs), judging.rule_decisions(pairs, rules)
+    return outcomes, judging.expand_representatives(decisions, members, in_plans)

@@ -100,13 +100,22 @@ PASSAGES = f"""src_all AS (
       'target_to_source' AS direction, '包含段落' AS label, s.text AS source_value, t.lang AS target_value
     FROM approved a JOIN src_sig s ON s.rep = a.sid JOIN tgt_sig t ON t.rep = a.tid)"""
 
-REL = f"rel AS (SELECT {_REL_COLUMNS} FROM fk UNION ALL SELECT {_REL_COLUMNS} FROM bridge UNION ALL SELECT {_REL_COLUMNS} FROM weak)"
+# Second relations of some pairs, against the direction of the first, and a table pair with too few weak ones to be shown.
+EXTRA = """extra AS (
+  SELECT 'orders:' || o_orderkey AS source, 'customer:' || o_custkey AS target, 'orders' AS source_table, 'customer' AS target_table,
+    'places' AS relation_type, 'weak' AS strength, 0.97::DOUBLE AS confidence, 'target_to_source' AS direction, '下单' AS label
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0
+  UNION ALL
+  SELECT 'region:' || r_regionkey, 'benchmark:' || item_id, 'region', 'benchmark', 'mentions', 'weak', 0.7::DOUBLE, 'source_to_target', '相关'
+  FROM region JOIN benchmark ON r_regionkey = item_id WHERE r_regionkey < 2)"""
+
+REL = f"rel AS (SELECT {_REL_COLUMNS} FROM fk UNION ALL SELECT {_REL_COLUMNS} FROM extra UNION ALL SELECT {_REL_COLUMNS} FROM bridge UNION ALL SELECT {_REL_COLUMNS} FROM weak)"
 
 EDGE = """edge AS (SELECT *, least(source, target) AS a, greatest(source, target) AS b,
   'entity:' || length(least(source, target)) || ':' || least(source, target) || length(greatest(source, target)) || ':'
   || greatest(source, target) AS edge_id FROM rel)"""
 
-GRAPH = ", ".join([FK, BRIDGE, PASSAGES, REL, EDGE])
+GRAPH = ", ".join([FK, EXTRA, BRIDGE, PASSAGES, REL, EDGE])
 
 DEGREE = """ends AS (SELECT DISTINCT edge_id, a, b FROM edge),
   degree AS (SELECT entity_id AS id, table_name AS table_id, count(e.node) AS degree FROM ent

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave.operators import documents as docs, explore, graph, ranking, relations as rel
+from relweave.operators.judging import JUDGED_METHOD
 from relweave.plans import views
 from relweave.plans.oracle_views import BRIDGE, DEGREE, ENT, FK, GRAPH, PASSAGES, SHOWN, graph_sql
 from relweave.plans.q_relations import strong_relations
-from relweave.plans.q_retrieval import judged, weak_relations
+from relweave.plans.q_retrieval import english_judge, judged, weak_relations
 from relweave.session import materialize
 
 QUERIES = {}
@@ -26,6 +27,30 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def extra_relations(spark, sf_dir):
+    """Second relations of some pairs, against the direction of the first, and a table pair with too few weak ones to be shown."""
+    customers = views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    orders = views.read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").join(customers, "o_custkey")
+    items = views.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("r_regionkey"))
+    regions = views.read(spark, sf_dir, "region").where("r_regionkey < 2").join(items, "r_regionkey")
+
+    def one(df, source_table, source_key, target_table, target_key, **columns):
+        proof = rel.evidence(source_key, F.col(source_key).cast("string"), target_key, F.col(target_key).cast("string"), JUDGED_METHOD, "stated")
+        return rel.as_relations(
+            df, source=F.concat(F.lit(f"{source_table}:"), source_key), target=F.concat(F.lit(f"{target_table}:"), target_key),
+            source_table=source_table, target_table=target_table, strength="weak", explanation="stated", evidence=F.array(proof), **columns,
+        )
+
+    return rel.union_relations(
+        one(orders, "orders", "o_orderkey", "customer", "o_custkey", relation_type="places", confidence=0.97, direction="target_to_source"),
+        one(regions, "region", "r_regionkey", "benchmark", "r_regionkey", relation_type="mentions", confidence=0.7),
+    )
+
+
+def all_relations(spark, sf_dir):
+    return rel.union_relations(strong_relations(spark, sf_dir), weak_relations(spark, sf_dir), extra_relations(spark, sf_dir))
+
+
 _STORED: dict[tuple[str, str], tuple] = {}
 
 
@@ -36,7 +61,7 @@ def stored_graph(spark, sf_dir):
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
-        relations = rel.union_relations(strong_relations(spark, sf_dir), weak_relations(spark, sf_dir))
+        relations = all_relations(spark, sf_dir)
         nodes = graph.entity_nodes(docs.build_documents(views.catalog(spark, sf_dir)))
         _STORED[key] = (materialize(nodes, "nodes"), materialize(rel.edge_relations(relations), "edges"))
     return _STORED[key]
@@ -58,7 +83,7 @@ def shown_of(spark, sf_dir):
 @query("discover_graph", graph_sql("SELECT relation_type, strength, count(*) AS relations, sum(confidence) AS confidence FROM rel GROUP BY ALL"))
 def discover_graph(spark, sf_dir):
     """All relations found anew from the tables."""
-    found = rel.union_relations(strong_relations(spark, sf_dir), weak_relations(spark, sf_dir))
+    found = all_relations(spark, sf_dir)
     return found.groupBy("relation_type", "strength").agg(
         F.count(F.lit(1)).alias("relations"), F.sum(F.col("confidence").cast("decimal(20,4)")).cast("double").alias("confidence")
     )
@@ -154,9 +179,43 @@ def diagnostics(spark, sf_dir):
     return _run_totals(spark, sf_dir)
 
 
-@query("run_status", _DIAGNOSTICS_SQL.replace("SELECT * ", "SELECT entities_read, weak_edges_created, CASE WHEN weak_edges_created > 0 THEN 'complete' ELSE 'complete' END AS status, NULL AS warning ") + "FROM d")
+_STATUS_SQL = f"""WITH {PASSAGES}, g AS (SELECT sid, count(*) AS n, ends_with(CAST(sid AS VARCHAR), '7') AS bad FROM cand GROUP BY 1),
+  kept AS (SELECT count(*) AS n FROM weak JOIN src_all s ON weak.source = 'benchmark:' || s.id WHERE NOT ends_with(CAST(s.id AS VARCHAR), '7')),
+  runs AS (SELECT 'rules' AS run, (SELECT count(*) FROM weak) AS weak_edges_created, (SELECT count(*) FROM g) AS completed_groups, 0 AS failed_groups
+    UNION ALL SELECT 'judge', (SELECT n FROM kept), count(*) FILTER (NOT bad), count(*) FILTER (bad) FROM g
+    UNION ALL SELECT 'broken judge', 0, 0, count(*) FROM g
+    UNION ALL SELECT 'nothing to judge', 0, 0, 0)
+SELECT *, CASE WHEN weak_edges_created = 0 AND failed_groups > 0 AND completed_groups = 0 THEN 'failed' WHEN failed_groups > 0 THEN 'partial' ELSE 'complete' END AS status,
+  CASE WHEN weak_edges_created = 0 AND failed_groups = 0 THEN '{graph.NO_RELATIONS_WARNING}' END AS warning FROM runs"""
+
+
+@query("run_status", _STATUS_SQL)
 def run_status(spark, sf_dir):
-    return graph.run_status(_run_totals(spark, sf_dir)).select("entities_read", "weak_edges_created", "status", "warning")
+    """Runs that end well, in part, not at all, and without a finding."""
+    from relweave.operators import judging
+
+    documents, rows, members, pairs = judged(spark, sf_dir)
+    requests = judging.judge_requests(pairs)
+
+    def broken_judge(request):
+        raise RuntimeError("no answer")
+
+    def shown(run, outcomes, decisions):
+        weak = judging.expand_representatives(decisions, members, documents)
+        totals = graph.run_status(graph.diagnostics(documents, rows, outcomes, weak))
+        return totals.select(F.lit(run).alias("run"), "weak_edges_created", "completed_groups", "failed_groups", "status", "warning")
+
+    runs = [("rules", judging.rule_outcomes(pairs), judging.rule_decisions(pairs, views.PASSAGE_RULES))]
+    for run, judge in (("judge", english_judge), ("broken judge", broken_judge)):
+        checked = judging.check_responses(materialize(judging.ask_judge(requests, judge), "answers"), rows)
+        runs.append((run, judging.judgement_outcomes(checked), judging.approved_decisions(checked)))
+    none = pairs.where(F.lit(False))
+    runs.append(("nothing to judge", judging.rule_outcomes(none), judging.rule_decisions(none, views.PASSAGE_RULES)))
+    frames = [shown(*run) for run in runs]
+    result = frames[0]
+    for frame in frames[1:]:
+        result = result.union(frame)
+    return result
 
 
 # Labels, directions and weights of edges.
@@ -281,7 +340,7 @@ def duplicate_names(spark, sf_dir):
 )
 def grouped_row_number(spark, sf_dir):
     rows = views.read(spark, sf_dir, "events").select("event_id", "event_type", F.col("event_id").cast("string").alias("id"))
-    return ranking.grouped_row_number(rows, ["event_type"], "id", "event_type", "number").select("event_id", "event_type", "number")
+    return ranking.grouped_row_number(rows, ["event_type"], "id", "number").select("event_id", "event_type", "number")
 
 
 @query(
@@ -292,7 +351,7 @@ def grouped_row_number(spark, sf_dir):
     ),
 )
 def node_search(spark, sf_dir):
-    return explore.node_search(shown_of(spark, sf_dir), "  Widget \n NATION_1 ").select("id", "primary", "secondary")
+    return explore.node_search(explore.named_nodes(stored_graph(spark, sf_dir)[0]), "  Widget \n NATION_1 ").select("id", "primary", "secondary")
 
 
 _CHAIN = """lab AS (SELECT edge_id, a, b, string_agg(DISTINCT label, ' · ' ORDER BY label) AS labels FROM edge GROUP BY ALL)"""

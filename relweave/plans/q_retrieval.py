@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relweave.functions.vectors import hashing_encoder, usable_vector
+from relweave.functions.vectors import hashing_encoder, usable_vector, vector_norm
 from relweave.operators import documents as docs, judging, plans as planning, ranking, retrieval
 from relweave.plans import views
 from relweave.session import materialize
@@ -32,6 +32,13 @@ def _texts(spark, sf_dir, plans=(views.PASSAGE_PLAN,)):
     return documents, rows, retrieval.plan_texts(documents, rows, "source"), retrieval.plan_texts(documents, rows, "target")
 
 
+def _keyword(sources, targets, rows):
+    """Keyword candidates and the postings they come from."""
+    limit = planning.largest_limit(rows)
+    postings = retrieval.first_postings(retrieval.keyword_index(targets), limit, retrieval.source_tokens(sources))
+    return retrieval.keyword_candidates(sources, postings, limit), postings
+
+
 _TARGET = f"SELECT doc_id AS id, unnest({tokens('doc')}) AS token FROM (SELECT doc_id, concat_ws('；', nullif({norm('text')}, ''), nullif({norm('lang')}, '')) AS doc FROM documents)"
 _SOURCE = f"SELECT item_id AS id, unnest({tokens(norm('text'))}) AS token FROM benchmark"
 _KEYWORD = f"""post AS (SELECT token, id, row_number() OVER (PARTITION BY token ORDER BY id) AS place FROM ({_TARGET})),
@@ -47,19 +54,28 @@ def keyword_index(spark, sf_dir):
 
 @query("keyword_topk", f"WITH {_KEYWORD} SELECT 'benchmark:' || sid AS source_id, 'documents:' || tid AS target_id, rk AS rank FROM cand")
 def keyword_topk(spark, sf_dir):
-    _, _, sources, targets = _texts(spark, sf_dir)
-    postings = retrieval.first_postings(retrieval.keyword_index(targets))
-    return retrieval.keyword_candidates(sources, postings).select("source_id", "target_id", "rank")
+    _, rows, sources, targets = _texts(spark, sf_dir)
+    return _keyword(sources, targets, rows)[0].select("source_id", "target_id", "rank")
 
 
-@query("embed_text")
+@query(
+    "embed_text",
+    f"""WITH t AS (SELECT 'documents:' || doc_id AS entity_id, concat_ws('；', nullif({norm('text')}, ''), nullif({norm('lang')}, '')) AS doc FROM documents)
+SELECT entity_id, 16 AS dimension, 1.0::DOUBLE AS length, min(entity_id) OVER (PARTITION BY doc) AS first_equal FROM t WHERE doc <> ''""",
+)
 def embed_text(spark, sf_dir):
+    """Equal texts have equal vectors, different ones here have not; every vector has unit length."""
     from dataclasses import replace
 
     plan = replace(views.PASSAGE_PLAN, retrieval_modes=("semantic",))
     _, _, _, targets = _texts(spark, sf_dir, [plan])
     vectors = retrieval.embed_plan_texts(targets, hashing_encoder)
-    return vectors.select("entity_id", F.size("vector").alias("dimension"), F.array_join(F.transform("vector", lambda x: F.round(x, 4).cast("string")), ",").alias("vector"))
+    shown = vectors.select(
+        "entity_id", F.size("vector").alias("dimension"), F.round(vector_norm(F.col("vector")), 6).alias("length"),
+        F.sha2(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), 256).alias("key"),
+    )
+    first = shown.groupBy("key").agg(F.min("entity_id").alias("first_equal"))
+    return shown.join(first, "key").drop("key")
 
 
 _COSINE = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))"
@@ -105,11 +121,11 @@ def _hybrid(spark, sf_dir):
     documents = docs.build_documents(views.vector_catalog(spark, sf_dir))
     rows = planning.plans_frame(spark, [views.VECTOR_PLAN])
     sources, targets = retrieval.plan_texts(documents, rows, "source"), retrieval.plan_texts(documents, rows, "target")
-    keyword = retrieval.keyword_candidates(sources, retrieval.first_postings(retrieval.keyword_index(targets)))
+    keyword, _ = _keyword(sources, targets, rows)
     plan = F.lit(rows.first()["plan_id"])
     left, right = (side.withColumn("plan_id", plan) for side in _vector_sides(spark, sf_dir, 50))
     semantic = retrieval.semantic_candidates(left, right, 50)
-    return documents, rows, retrieval.hybrid_candidates(sources, keyword, semantic)
+    return documents, rows, retrieval.hybrid_candidates(sources, keyword, semantic, limit=planning.largest_limit(rows))
 
 
 @query(
@@ -118,8 +134,8 @@ def _hybrid(spark, sf_dir):
 )
 def retrieval_stats(spark, sf_dir):
     _, rows, sources, targets = _texts(spark, sf_dir)
-    found = retrieval.keyword_candidates(sources, retrieval.first_postings(retrieval.keyword_index(targets)))
-    return retrieval.retrieval_stats(retrieval.hybrid_candidates(sources, found), rows).drop("plan_id")
+    found, _ = _keyword(sources, targets, rows)
+    return retrieval.retrieval_stats(retrieval.hybrid_candidates(sources, found, limit=planning.largest_limit(rows)), rows).drop("plan_id")
 
 
 @query(
@@ -129,9 +145,8 @@ SELECT 'benchmark:' || s.id AS source_id, count(*) AS postings_examined FROM ({_
 LEFT JOIN stop ON stop.sid = s.id WHERE stop.sid IS NULL OR struct_pack(a := s.token, b := p.place) <= stop.seen GROUP BY 1""",
 )
 def postings_examined(spark, sf_dir):
-    _, _, sources, targets = _texts(spark, sf_dir)
-    postings = retrieval.first_postings(retrieval.keyword_index(targets))
-    found = retrieval.keyword_candidates(sources, postings)
+    _, rows, sources, targets = _texts(spark, sf_dir)
+    found, postings = _keyword(sources, targets, rows)
     return retrieval.postings_examined(sources, postings, found).drop("plan_id")
 
 
@@ -156,7 +171,7 @@ def judged(spark, sf_dir):
     members = docs.signature_members(documents, groups)
     leaders = docs.representatives(documents, groups)
     sources, targets = retrieval.plan_texts(leaders, rows, "source"), retrieval.plan_texts(leaders, rows, "target")
-    found = retrieval.keyword_candidates(sources, retrieval.first_postings(retrieval.keyword_index(targets)))
+    found, _ = _keyword(sources, targets, rows)
     pairs = judging.candidate_pairs(found, rows, leaders)
     return documents, rows, members, pairs
 
@@ -271,7 +286,7 @@ def rule_judge_equal(spark, sf_dir):
     documents = docs.build_documents(views.vector_catalog(spark, sf_dir))
     rows = planning.plans_frame(spark, [views.VECTOR_PLAN])
     sources, targets = retrieval.plan_texts(documents, rows, "source"), retrieval.plan_texts(documents, rows, "target")
-    found = retrieval.keyword_candidates(sources, retrieval.first_postings(retrieval.keyword_index(targets)))
+    found, _ = _keyword(sources, targets, rows)
     pairs = judging.candidate_pairs(found, rows, documents)
     return judging.rule_decisions(pairs, views.VECTOR_RULES).select("source_id", "target_id", "confidence")
 

@@ -467,7 +467,12 @@ UNION ALL SELECT 'same', (SELECT count(*) FROM part), (SELECT count(*) FROM part
 UNION ALL SELECT 'keyed', (SELECT count(*) FROM part), (SELECT count(*) FROM orders), 'target dimension out of scope'""",
 )
 def validate_plans(spark, sf_dir):
-    checked = check_plans(plans_frame(spark, _PLAN_ROWS), views.catalog(spark, sf_dir))
+    catalog = views.catalog(spark, sf_dir)
+    checked = check_plans(plans_frame(spark, _PLAN_ROWS), catalog)
+    counts = profile.row_counts(catalog)
+    for side in ("source", "target"):
+        sizes = counts.select(F.col("table_name").alias(f"{side}_table"), F.col("row_count").alias(f"{side}_rows"))
+        checked = checked.join(sizes, f"{side}_table", "left")
     return checked.select("relation_type", "source_rows", "target_rows", "problem")
 
 

@@ -13,7 +13,7 @@ from relweave.functions.text import (
 )
 from relweave.functions.values import as_text, typed_json
 from relweave.operators.ranking import top_k
-from relweave.sources.catalog import Catalog, EntityTable, column_catalog, union_all
+from relweave.sources.catalog import Catalog, EntityTable, column_catalog, no_rows, union_all
 
 SAMPLE_LIMIT = 3
 SAMPLE_LENGTH = 80
@@ -190,7 +190,7 @@ def plan_samples(catalog: Catalog) -> DataFrame:
             .withColumn("type", types[F.col("dimension")])
             .withColumn("table_name", F.lit(table))
         )
-    return union_all(frames)
+    return union_all(frames, no_rows(catalog, "dimension string, sample_value string, type string, table_name string"))
 
 
 def search_tables(summary: DataFrame, query: str) -> DataFrame:

@@ -20,9 +20,9 @@ def small(spark):
 
 
 def test_roles():
-    assert cat.is_name_column(" Name ") and not cat.is_name_column("user_name")
-    assert all(cat.is_class_column(c) for c in ("class_name", "className", "class", "ClassName"))
-    assert [cat.code_priority(c) for c in ("partCode", "serial_no", "modelId", "code_number", "nodes")] == [0, 2, 4, 0, None]
+    assert cat.NAME in cat.column_roles(" Name ") and cat.NAME not in cat.column_roles("user_name")
+    assert all(cat.CLASS in cat.column_roles(c) for c in ("class_name", "className", "class", "ClassName", "CLASSNAME", "classname"))
+    assert [cat.column_roles(c).get(cat.CODE) for c in ("partCode", "serial_no", "modelId", "code_number", "nodes")] == [0, 2, 4, 0, None]
 
 
 def test_scan_and_dimensions(spark):
@@ -103,8 +103,8 @@ def test_document_conflicts(spark):
     documents = docs.build_documents(Catalog.of([EntityTable("t", df, ("id",), ("v",))]))
     assert [(r["entity_id"], r["versions"]) for r in docs.document_conflicts(documents).collect()] == [("t:2", 2)]
     with pytest.raises(ValueError):
-        docs.distinct_documents(documents)
-    assert docs.distinct_documents(documents.where("entity_id = 't:1'")).count() == 1
+        docs.checked_documents(documents)
+    assert docs.checked_documents(documents.where("entity_id = 't:1'")).count() == 1
 
 
 def test_snapshot_round_trip(spark, tmp_path):

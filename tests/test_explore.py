@@ -91,7 +91,7 @@ def test_row_numbers_of_a_hot_group(spark):
     rng = random.Random(4)
     rows = [("hot", "t", f"t:{i}") for i in rng.sample(range(10**7), 3000)] + [("hot", "u", f"u:{i:05d}") for i in range(500)] + [(f"g{i % 7}", "t", f"t:x{i}") for i in range(40)]
     df = spark.createDataFrame(rows, "g string, space string, id string")
-    got = {r["id"]: r["n"] for r in ranking.grouped_row_number(df, ["g"], "id", "space", "n").collect()}
+    got = {r["id"]: r["n"] for r in ranking.grouped_row_number(df, ["g"], "id", "n").collect()}
     expected = {}
     for group in {r[0] for r in rows}:
         for position, identifier in enumerate(sorted(r[2] for r in rows if r[0] == group), 1):
@@ -99,6 +99,14 @@ def test_row_numbers_of_a_hot_group(spark):
     assert got == expected
 
 
+def test_ranges_split_keys_that_look_alike(spark):
+    rows = spark.range(6000).selectExpr("'same' AS g", "concat(if(id % 3 = 0, 'http', 'https'), '://www.example.org/item/', id) AS id")
+    sizes = [r["count"] for r in ranking.ranged(rows, ["g"], "id", 32).groupBy("_part").count().collect()]
+    assert max(sizes) < 600 and sum(sizes) == 6000
+    got = {r["id"]: r["n"] for r in ranking.grouped_row_number(rows, ["g"], "id", "n", 32).collect()}
+    assert got == {i: n for n, i in enumerate(sorted(got), 1)}
+
+
 def test_percentiles(spark):
     rng = random.Random(6)
     rows = [("a", float(rng.choice([1, 1, 1, 5, 9]))) for _ in range(300)] + [("b", rng.random() ** 20 * 1e9) for _ in range(500)] + [("c", 4.0), ("d", None)]
@@ -112,6 +120,14 @@ def test_percentiles(spark):
         assert got == expected
 
 
+def test_ranges_split_keys_that_look_alike(spark):
+    rows = spark.range(6000).selectExpr("'same' AS g", "concat(if(id % 3 = 0, 'http', 'https'), '://www.example.org/item/', id) AS id")
+    sizes = [r["count"] for r in ranking.ranged(rows, ["g"], "id", 32).groupBy("_part").count().collect()]
+    assert max(sizes) < 600 and sum(sizes) == 6000
+    got = {r["id"]: r["n"] for r in ranking.grouped_row_number(rows, ["g"], "id", "n", 32).collect()}
+    assert got == {i: n for n, i in enumerate(sorted(got), 1)}
+
+
 def test_search(spark):
     shown = spark.createDataFrame([("a:1", "主轴 A", "", "Part"), ("a:2", "端盖", "C-9", "Cover"), ("a:3", "螺钉", "", None)], "id string, primary string, secondary string, class_name string")
     find = lambda q: [r["id"] for r in explore.node_search(shown, q).collect()]
