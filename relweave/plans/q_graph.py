@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from relweave.operators import documents as docs, explore, graph, ranking, relations as rel
+from relweave.operators import documents as docs, explore, graph, judging, ranking, relations as rel
 from relweave.operators.judging import JUDGED_METHOD
 from relweave.plans import views
 from relweave.plans.oracle_views import BRIDGE, DEGREE, ENT, FK, GRAPH, PASSAGES, SHOWN, graph_sql
 from relweave.plans.q_relations import strong_relations
 from relweave.plans.q_retrieval import english_judge, judged, weak_relations
-from relweave.session import materialize
+from relweave.session import application_folder, materialize
+from relweave.sources import snapshot
 
 QUERIES = {}
 ORACLE = {}
@@ -167,8 +170,6 @@ _DIAGNOSTICS_SQL = f"""WITH {FK}, {BRIDGE}, {PASSAGES}, d AS (SELECT (SELECT cou
 
 
 def _run_totals(spark, sf_dir):
-    from relweave.operators import judging
-
     documents, rows, members, pairs = judged(spark, sf_dir)
     weak = judging.expand_representatives(judging.rule_decisions(pairs, views.PASSAGE_RULES), members, documents)
     return graph.diagnostics(documents, rows, judging.rule_outcomes(pairs), weak)
@@ -192,8 +193,6 @@ SELECT *, CASE WHEN weak_edges_created = 0 AND failed_groups > 0 AND completed_g
 @query("run_status", _STATUS_SQL)
 def run_status(spark, sf_dir):
     """Runs that end well, in part, not at all, and without a finding."""
-    from relweave.operators import judging
-
     documents, rows, members, pairs = judged(spark, sf_dir)
     requests = judging.judge_requests(pairs)
 
@@ -218,6 +217,48 @@ def run_status(spark, sf_dir):
     return result
 
 
+_PARTS_SQL = """SELECT 'table_nodes' AS part, count(DISTINCT table_name) AS stored_rows FROM ent UNION ALL SELECT 'entity_nodes', count(*) FROM ent
+UNION ALL SELECT 'table_edges', count(*) FROM te WHERE is_shown UNION ALL SELECT 'table_edge_support', count(*) FROM support
+UNION ALL SELECT 'relations', count(*) FROM edge UNION ALL SELECT 'diagnostics', 1 UNION ALL SELECT 'warnings', 1"""
+
+
+@query("export_snapshot", graph_sql(f"SELECT part, stored_rows, stored_rows AS json_rows, 0 AS differing_rows FROM ({_PARTS_SQL})", _TABLES_SQL, _SUPPORT_SQL))
+def export_snapshot(spark, sf_dir):
+    """Writes all parts of a snapshot in both formats, reads them back, and compares every row with what was written."""
+    nodes, edges = stored_graph(spark, sf_dir)
+    shown = materialize(graph.table_edges(edges), "table-edges")
+    documents, rows, _, pairs = judged(spark, sf_dir)
+    parts = {
+        "table_nodes": graph.table_nodes(nodes), "entity_nodes": nodes, "table_edges": shown, "table_edge_support": graph.table_edge_support(edges, shown),
+        "relations": edges, "diagnostics": graph.run_status(graph.diagnostics(documents, rows, judging.rule_outcomes(pairs), edges)),
+        "warnings": spark.createDataFrame([("none",)], "warning string"),
+    }
+    folder = f"{application_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    for format in ("parquet", "json"):
+        snapshot.write_snapshot(parts, f"{folder}/{format}", format)
+    stored = snapshot.read_snapshot(spark, f"{folder}/parquet")
+
+    def digests(part, df, texts, sign):
+        lines = df.select("value") if texts else snapshot.public_json(df)
+        return lines.groupBy(F.xxhash64("value").alias("digest")).agg((F.count(F.lit(1)) * sign).alias("n")).withColumn("part", F.lit(part))
+
+    compared = []
+    for part in snapshot.PARTS:
+        lines = spark.read.text(f"{folder}/json/{part}")
+        own, back = digests(part, stored[part], False, 1), digests(part, lines, True, -1)
+        both = own.withColumn("json", F.lit(False)).union(back.withColumn("json", F.lit(True)))
+        compared.append(both)
+    every = compared[0]
+    for frame in compared[1:]:
+        every = every.union(frame)
+    each = every.groupBy("part", "digest").agg(
+        F.sum(F.when(~F.col("json"), F.col("n")).otherwise(0)).alias("stored"), F.sum(F.when(F.col("json"), -F.col("n")).otherwise(0)).alias("json")
+    )
+    return each.groupBy("part").agg(
+        F.sum("stored").alias("stored_rows"), F.sum("json").alias("json_rows"), F.sum(F.abs(F.col("stored") - F.col("json"))).alias("differing_rows")
+    )
+
+
 # Labels, directions and weights of edges.
 
 

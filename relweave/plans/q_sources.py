@@ -197,8 +197,8 @@ def summary_merge(spark, sf_dir):
     return profile.merge_inferred_names(summary, inferred).drop("name_samples")
 
 
-@query("export_snapshot", f"SELECT table_name AS id, table_name AS display_name, row_count AS entity_count FROM ({COUNTS_SQL})")
-def export_snapshot(spark, sf_dir):
+@query("snapshot_table_nodes", f"SELECT table_name AS id, table_name AS display_name, row_count AS entity_count FROM ({COUNTS_SQL})")
+def snapshot_table_nodes(spark, sf_dir):
     """Writes the node tables as a snapshot and reads the table nodes back."""
     from relweave.operators import graph
 
