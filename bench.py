@@ -20,7 +20,7 @@ from relweave import Catalog, EntityTable
 from relweave.functions.vectors import hashing_encoder
 from relweave.operators import documents as docs, judging
 from relweave.operators.plans import RelationshipPlan, plans_frame
-from relweave.plans import registry
+from relweave.plans import q_graph, registry
 from relweave.plans.discovery import candidates_for
 from relweave.session import local_session, materialize
 
@@ -29,6 +29,7 @@ HEADLINES = (
     "keyword_topk", "vector_topk", "expand_representatives", "discover_graph", "entity_edges", "table_edges", "degrees", "connected_components",
     "duplicate_names", "node_search", "alias_tagging",
 )
+GRAPH_HEADLINES = ("entity_edges", "table_edges", "degrees", "connected_components", "duplicate_names", "node_search")
 PLAN_TABLES = ((0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (4, 5), (5, 6), (6, 0))
 
 
@@ -57,6 +58,12 @@ def shape(spark, rows: int):
     return judging.ask_judge(requests, lambda request: {"decisions": []})
 
 
+def build_seconds(spark, sf_dir: str) -> float:
+    started = time.perf_counter()
+    q_graph.stored_graph(spark, sf_dir)
+    return round(time.perf_counter() - started, 3)
+
+
 def timed(run) -> float:
     started = time.perf_counter()
     run().write.format("noop").mode("overwrite").save()
@@ -74,6 +81,10 @@ def main() -> None:
     timings = {}
     if not only or "shape_7000" in only:
         timings[f"shape_{7 * rows}"] = timed(lambda: shape(spark, rows))
+    if not only or set(only) & set(GRAPH_HEADLINES):
+        # The graph queries read one stored graph; building it is a line of its own.
+        timings["graph_build"] = build_seconds(spark, sf_dir)
+        print("graph_build", timings["graph_build"], file=sys.stderr, flush=True)
     for name in HEADLINES:
         if not only or name in only:
             timings[name] = timed(lambda: registry.QUERIES[name](spark, sf_dir))
