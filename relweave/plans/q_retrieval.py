@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave.functions.vectors import hashing_encoder, usable_vector, vector_norm
-from relweave.operators import documents as docs, judging, plans as planning, ranking, retrieval
+from relweave.operators import documents as docs, judging, plans as planning, ranking, retrieval, vector_search
 from relweave.plans import views
 from relweave.session import materialize
 from relweave.plans.oracle_views import PASSAGES, norm, tokens
@@ -103,6 +103,20 @@ def vector_topk(spark, sf_dir):
     return retrieval.semantic_candidates(sources, targets, 10).select("source_id", "target_id", "rank")
 
 
+@query("approximate_topk", "SELECT count(*) * 10 AS wanted, 0 AS wrongly_scored, true AS recall_reached FROM embeddings")
+def approximate_topk(spark, sf_dir):
+    """The approximate search against the exact one: no similarity differs, and the documented recall is reached."""
+    sources, targets = (materialize(x.select("plan_id", "entity_id", "vector"), "vectors") for x in _vector_sides(spark, sf_dir, 10))
+    exact = vector_search.nearest_vectors(sources, targets, 10)
+    found = vector_search.approximate_nearest(sources, targets, 10)
+    pair = ["source_id", "target_id"]
+    near = exact.select(*pair, F.col("similarity").alias("exact")).join(found.select(*pair, F.col("similarity").alias("told")), pair, "left")
+    return near.agg(
+        F.count(F.lit(1)).alias("wanted"), F.count_if(F.abs(F.col("told") - F.col("exact")) > 1e-9).alias("wrongly_scored"),
+        (F.count("told") >= vector_search.LEAST_RECALL * F.count(F.lit(1))).alias("recall_reached"),
+    )
+
+
 @query(
     "hybrid_topk",
     f"""WITH kw AS (SELECT q.vec_id AS sid, c.vec_id AS tid, 0 AS stage, c.place AS rk FROM embeddings q JOIN
