@@ -39,6 +39,8 @@ from relweave.operators.explore import smallest_reachable
 THRESHOLD = 0.8
 BANDS = 20
 ROWS = 4
+#: A shingle of at most so many of the texts in question is rare; it only decides how pairs are found.
+RARE = 20
 
 _DRAW = np.uint64(0xA0761D6478BD642F)
 _UNIT = 1.0 / (1 << 53)
@@ -183,13 +185,18 @@ def linked_classes(live: DataFrame, texts: DataFrame, similar, weighed, threshol
 
 
 def _between_classes(live: DataFrame, classes: DataFrame, texts: DataFrame, weighed, threshold: float) -> DataFrame:
-    """Pairs (u, v) of a bucket in different classes that may be similar.
+    """Pairs (u, v) of nodes that share a bucket, in different classes, that may be similar.
 
-    At least one of the two lies outside the bucket's most frequent class, so a bucket that holds one class
-    and a few others makes few pairs.  Of a text with total weight n let m be the weight of the shingles that
-    any other text of these buckets has.  No two texts share more than the lesser m, so their similarity is
-    at most m / (n + n' - m): a bound, not an estimate, and no link is lost by it.  It sorts out the distant
-    copies of a common text, which meet in buckets but hold too much of their own.
+    Distant copies of a common text meet in many buckets without being similar, so the members of mixed buckets
+    are paired in two ways that lose no link.  Of a text with total weight n let m be the weight of the shingles
+    another of these texts has, and c that of the shingles more than ``RARE`` of them have.
+
+    * Texts that share a shingle of at most ``RARE`` texts: a join on the shingle makes RARE pairs for each at most.
+      They share no more than the lesser m, so their similarity is at most m / (n + n' - m).
+    * Texts that share none of those share no more than the lesser c.  One of the two lies outside the bucket's
+      most frequent class, and only those are paired whose c is large enough for any text of the bucket.
+
+    Both are bounds, not estimates.
     """
     members = live.join(classes.withColumnRenamed("id", "node"), "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("class")
@@ -198,19 +205,28 @@ def _between_classes(live: DataFrame, classes: DataFrame, texts: DataFrame, weig
     mixed = keep(members.join(main.where("low <> high").select("bucket", "main"), "bucket"), "mixed-buckets")
     chosen = texts.join(mixed.select("node").distinct().hint("merge"), "node", "left_semi")
     parts = keep(chosen.select("node", "text").mapInArrow(weighed, "node long, code long, weight long, total long"), "weights")
-    lone = parts.groupBy("code").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("texts = 1")
-    own = lone.groupBy("node").agg(F.sum("weight").alias("own"))
-    sizes = parts.select("node", "total").distinct().join(own, "node", "left").select("node", F.col("total").alias("n"), (F.col("total") - F.coalesce("own", F.lit(0))).alias("m"))
-    sized = mixed.join(sizes, "node")
-    largest = F.col("m") * (1 + 1 / threshold) - F.col("n")  # a similar text has no greater weight
+    counted = keep(parts.join(parts.groupBy("code").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").hint("merge"), "code"), "shared-weights")
+    sums = counted.groupBy("node").agg(F.sum("weight").alias("m"), F.sum(F.when(F.col("texts") > RARE, F.col("weight"))).alias("c"))
+    none = F.lit(0)
+    sizes = parts.select("node", F.col("total").alias("n")).distinct().join(sums, "node", "left").join(mixed.select("node", "class").distinct(), "node")
+    sizes = keep(sizes.select("node", "class", "n", F.coalesce("m", none).alias("m"), F.coalesce("c", none).alias("c")), "weight-sums")
+
+    def possible(shared):
+        # A hair of tolerance, so that rounding excludes nothing.
+        return (F.col("other_class") != F.col("class")) & (shared >= (threshold - 1e-9) * (F.col("n") + F.col("other_n") - shared))
+
+    other_sizes = sizes.select(*[F.col(c).alias(f"other_{c}") for c in sizes.columns])
+    rare = counted.where(F.col("texts") <= RARE).select("code", "node")
+    meeting = rare.join(rare.select("code", F.col("node").alias("other_node")), "code").where("other_node < node").select("node", "other_node").distinct()
+    first = meeting.join(sizes, "node").join(other_sizes, "other_node").where(possible(F.least("m", "other_m")))
+    sized = mixed.select("bucket", "node", "main").join(sizes, "node")
     least = sized.groupBy("bucket").agg(F.min("n").alias("least"))
-    # A hair of tolerance, so that rounding excludes nothing.
+    largest = F.col("c") * (1 + 1 / threshold) - F.col("n")  # a text that is similar by c has no greater weight
     outside = sized.where("class <> main").join(least, "bucket").where(F.col("least") <= largest + 1e-6)
-    outside = outside.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "class", "n", "m")])
-    shared = F.least("m", "other_m")
-    possible = (F.col("other_class") != F.col("class")) & (shared >= (threshold - 1e-9) * (F.col("n") + F.col("other_n") - shared))
+    outside = outside.select("bucket", *[F.col(c).alias(f"other_{c}") for c in sizes.columns])
     once = (F.col("class") == F.col("main")) | (F.col("other_node") < F.col("node"))
-    return outside.join(sized, "bucket").where(possible & once).select(*_pairs("node", "other_node")).distinct()
+    second = outside.join(sized, "bucket").where(possible(F.least("c", "other_c")) & once)
+    return first.select(*_pairs("node", "other_node")).union(second.select(*_pairs("node", "other_node"))).distinct()
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
