@@ -326,6 +326,18 @@ def hydrate_evidence(decisions: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def representative_decisions(decisions: DataFrame, members: DataFrame) -> DataFrame:
+    """Decisions between representatives with the number of documents each stands for: the linear form.
+
+    ``expand_representatives`` gives all pairs of members instead, quadratically many for two large groups.
+    """
+    sizes = members.groupBy("representative_id").agg(F.count(F.lit(1)).alias("n"))
+    sources = sizes.select(F.col("representative_id").alias("source_id"), F.col("n").alias("source_members"))
+    targets = sizes.select(F.col("representative_id").alias("target_id"), F.col("n").alias("target_members"))
+    counted = decisions.join(sources, "source_id").join(targets, "target_id")
+    return counted.withColumn("pair_count", F.col("source_members") * F.col("target_members"))
+
+
 def expand_representatives(decisions: DataFrame, members: DataFrame, documents: DataFrame) -> DataFrame:
     """A decision between representatives applied to all members of both signatures.
 

@@ -324,6 +324,18 @@ def expand_representatives(spark, sf_dir):
     return weak_relations(spark, sf_dir).selectExpr(*_SHOW)
 
 
+@query(
+    "representative_decisions",
+    f"""WITH {PASSAGES}, s AS (SELECT rep, count(*) AS n FROM src_sig GROUP BY 1), t AS (SELECT rep, count(*) AS n FROM tgt_sig GROUP BY 1)
+SELECT 'benchmark:' || sid AS source_id, 'documents:' || tid AS target_id, s.n AS source_members, t.n AS target_members, s.n * t.n AS pair_count
+FROM approved JOIN s ON s.rep = sid JOIN t ON t.rep = tid""",
+)
+def representative_decisions(spark, sf_dir):
+    _, _, members, pairs = judged(spark, sf_dir)
+    found = judging.representative_decisions(judging.rule_decisions(pairs, views.PASSAGE_RULES), members)
+    return found.select("source_id", "target_id", "source_members", "target_members", "pair_count")
+
+
 def weak_relations(spark, sf_dir):
     documents, _, members, pairs = judged(spark, sf_dir)
     return judging.expand_representatives(judging.rule_decisions(pairs, views.PASSAGE_RULES), members, documents)

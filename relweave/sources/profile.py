@@ -91,7 +91,8 @@ def table_samples(catalog: Catalog) -> DataFrame:
             strip_to_null(as_text(class_name, schema[class_name].dataType)).alias("class_sample"),
             key_order(spec.frame, spec.primary_key).alias("key_order"),
         ).where("name_sample is not null and class_sample is not null")
-        frames.append(shown.withColumn("table_name", F.lit(table)))
+        # Three rows of each task leave it; the table is not sorted.
+        frames.append(shown.orderBy("key_order").limit(SAMPLE_LIMIT).withColumn("table_name", F.lit(table)))
     ranked = top_k(union_all(frames), ["table_name"], [F.col("key_order")], SAMPLE_LIMIT, "sample_rank")
     return ranked.select(
         "table_name",
