@@ -35,7 +35,7 @@ SAMPLE = 60_000
 #: Vectors of the table a leaf should have.
 LEAF = 400
 #: Share of a node's vectors on the other side of the median that a child gets too.
-SPILL = 0.1
+SPILL = 0.07
 #: Mean cosine within a node from which it is not split.
 TIGHT = 0.4
 #: Vectors of a leaf that are compared at once.
@@ -152,7 +152,7 @@ def _placed(vectors: DataFrame, forest: list[tuple]) -> DataFrame:
                 })
 
     return vectors.select("node", "copies", "embedding").mapInArrow(
-        place, "node long, copies long, embedding array<double>, leaf int, leaves array<int>"
+        place, f"node long, copies long, embedding {vectors.schema['embedding'].dataType.simpleString()}, leaf int, leaves array<int>"
     )
 
 
@@ -166,6 +166,20 @@ def _blocked(placed: DataFrame) -> DataFrame:
     )
 
 
+def _earlier(leaves: pa.Array, leaf: int) -> np.ndarray:
+    """For each row a set of bits, one for each earlier leaf that two rows or more are in."""
+    flat = leaves.flatten().to_numpy()
+    row = np.repeat(np.arange(len(leaves)), np.diff(leaves.offsets.to_numpy()))
+    row, flat = row[flat < leaf], flat[flat < leaf]
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    kept = count[number] > 1
+    row, bit = row[kept], place[number[kept]]
+    out = np.zeros((len(leaves), int((count > 1).sum()) // 64 + 1), dtype=np.uint64)
+    np.bitwise_or.at(out, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    return out
+
+
 def _compared(threshold: float):
     def compare(key, table):
         leaf, a, b = (k.as_py() for k in key)
@@ -173,9 +187,7 @@ def _compared(threshold: float):
         block = table.column("block").to_numpy()
         unit = _unit(table.column("embedding").combine_chunks())
         node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        lists = table.column("leaves").to_pylist()
-        width = max(map(len, lists))
-        earlier = np.array([[x if x < leaf else -1 for x in own] + [-1] * (width - len(own)) for own in lists])
+        earlier = _earlier(table.column("leaves").combine_chunks(), leaf)
         left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
         links, root = np.zeros(len(node), dtype=np.int64), np.arange(len(node))
         edges: list[tuple[int, int]] = []
@@ -193,9 +205,8 @@ def _compared(threshold: float):
             fresh = (i < j) if a == b else np.ones(len(i), dtype=bool)
             i, j = i[fresh], j[fresh]
             seen = np.zeros(len(i), dtype=bool)
-            for k in range(width):
-                own = earlier[i, k]
-                seen |= (own >= 0) & (earlier[j] == own[:, None]).any(axis=1)
+            for word in range(earlier.shape[1]):
+                seen |= (earlier[i, word] & earlier[j, word]) != 0
             i, j = i[~seen], j[~seen]
             links += np.bincount(i, copies[j], len(node)).astype(np.int64) + np.bincount(j, copies[i], len(node)).astype(np.int64)
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
@@ -215,11 +226,13 @@ def _compared(threshold: float):
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, seed: int = 7) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reached), kept."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"  # half the bytes; compared in double precision
+    vector = F.col("embedding").cast("array<float>" if single else "array<double>")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"))
     good = rows.where(F.col("vec_id").isNotNull() & _usable("embedding"))
     common = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     good = good.where(F.size("embedding") == (common["n"] if common else 0))
-    key = F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x + 0.0).cast("string"))), 256)
+    key = F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x.cast("double") + 0.0).cast("string"))), 256)
     named = keep(good.withColumn("key", key), "vectors")
     distinct = keep(
         named.groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")), "distinct-vectors"
