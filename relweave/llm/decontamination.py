@@ -171,7 +171,9 @@ def _hits(batch: pa.RecordBatch, queries: Queries) -> pa.RecordBatch:
     spans: list[list[int]] = batch.column("spans").to_pylist()
     items: list[list[str]] = batch.column("items").to_pylist()
     if len(some):
-        _, one, which = np.unique(low[some], return_index=True, return_inverse=True)
+        # Windows of several lengths can begin at one suffix of the shard; start and length tell the words.
+        key = low[some] * (int(queries.window.max()) + 1) + queries.window[some]
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
         owners: list[set] = [set() for _ in one]
         for suffix, group in zip(some.tolist(), which.tolist(), strict=True):
             if (name := queries.ids[queries.item[suffix]]) is not None:

@@ -68,6 +68,19 @@ def test_contamination(spark, odd, block_words):
     assert {r[0] for r in left.collect()} == clean
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_short_items_that_begin_longer_windows(spark, turned):
+    """Windows of several lengths share the lower end of their intervals."""
+    items = [(1, "a b"), (2, "a b c d e f g h i j"), (3, "z"), (4, "a b c"), (5, "a b")]
+    items = items[::-1] if turned else items
+    docs = [(1, "a b c d e f g h i j"), (2, "a b z"), (3, "q a b c d q"), (4, "a b c d e f g h i j k a b z"), (5, "a q b")]
+    documents = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {}
+    for i, *rest in decontamination.contamination(documents, spark.createDataFrame(items, "item_id long, text string").coalesce(1)).collect():
+        got.setdefault(i, []).append(tuple(rest))
+    assert got == contaminated(docs, items)
+
+
 def test_contamination_of_empty_tables(spark, odd, none):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contamination(odd, items).where("contaminated").count() == 0
