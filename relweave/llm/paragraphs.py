@@ -9,6 +9,13 @@ Equal paragraphs (the same words) are one node, so a passage that a third of all
 task before the first shuffle.  As with documents, a bucket's nodes are compared with one leader first, and
 pairs inside a class are not expanded.
 
+Lines say nothing about a passage inside a longer line or laid out in short ones.  So every run of
+``PASSAGE_WORDS`` words, wherever the lines end, is a passage too: of equal passages the first one no word of
+which went with a line stays, and all later ones are cut, also those that lost some lines already.  Only a
+passage with an anchor (its run of ``PASSAGE_GRAM`` words with the least hash) that occurs again is looked at;
+equal passages have equal anchors, so none is lost.  Passages are told apart by 64-bit hashes.  Inside one
+document a passage that overlaps the first stays.
+
 A null text has no paragraphs.  Rows with the same id and text count as one document; a document without an id
 comes after all others.  Empty tables give no rows; other columns are ignored.
 """
@@ -22,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from relweave.llm.near_duplicates import THRESHOLD, band_codes, linked_classes, weights_batch
+from relweave.llm.repeated_substrings import anchors_of
 from relweave.llm.shingles import bags, overlaps, shingles_of
 from relweave.llm.tables import keep
-from relweave.llm.words import CHUNK_BYTES, Texts, Words, chunks, mix, texts_of, words_of
+from relweave.llm.words import CHUNK_BYTES, Texts, Words, chunks, mix, running_sums, span_codes, texts_of, words_of
 
 #: Words a paragraph needs to count.
 LEAST_WORDS = 10
 #: Wanted chance that a pair at the threshold shares a band, and the most bands for it.
 RECALL = 0.999
 MOST_BANDS = 10
+#: Words of a passage that is cut wherever it stands, and of its anchor.
+PASSAGE_WORDS = 50
+PASSAGE_GRAM = 26
 
 _SEED = np.uint64(0xE7037ED1A0B428DB)
 _LAST_ID = (1 << 63) - 1
@@ -158,11 +169,105 @@ def _weighed(batches):
             yield weights_batch(part.column("node"), found._replace(count=np.ones_like(found.count)))
 
 
-def repeated_paragraphs(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, n_paragraphs, n_removed, removed (numbers of the lines that go, from 0, comma-joined)."""
-    bands, size = tuned(threshold, recall)
+def _anchors(words: Words):
+    return anchors_of(Texts(words.code, words.first), PASSAGE_WORDS, PASSAGE_GRAM)
+
+
+def _anchor_counts(batches):
+    """Anchors of passages with their number in a batch of texts."""
+    for batch in batches:
+        for part in chunks(batch):
+            code, n = np.unique(_anchors(words_of(texts_of(part.column("text")))).code, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"anchor": pa.array(code.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+
+def _anchor_places(batches):
+    """Anchors of passages with their text and their number there."""
+    for batch in batches:
+        for part in chunks(batch):
+            found = _anchors(words_of(texts_of(part.column("text"))))
+            number = np.arange(len(found.text)) - np.searchsorted(found.text, found.text)
+            yield pa.RecordBatch.from_pydict({
+                "anchor": pa.array(found.code.view(np.int64)), "row": part.column("row").take(pa.array(found.text)), "number": pa.array(number, pa.int32()),
+            })
+
+
+def _passages(batches):
+    """Passages of the wanted anchors that lines have left a word of: bytes in the text, and whether it is whole."""
+    for batch in batches:
+        for part in chunks(batch):
+            data, offsets = texts_of(part.column("text"))
+            words = words_of(Texts(data, offsets))
+            found = _anchors(words)
+            base = np.searchsorted(found.text, np.arange(len(part)))
+            wanted = np.unique(np.concatenate([np.asarray(x, np.int64) + base[i] for i, x in enumerate(part.column("numbers").to_pylist())]))
+            size = found.last[wanted] - found.first[wanted] + 1
+            start = np.arange(int(size.sum())) + np.repeat(found.first[wanted] - (np.cumsum(size) - size), size)
+            breaks = np.flatnonzero(data == 10)
+            line = np.searchsorted(breaks, words.start) - np.searchsorted(breaks, offsets[:-1])[words.text]
+            lost = np.zeros(len(words.code) + 1, dtype=np.int64)
+            for i, gone in enumerate(part.column("removed").to_pylist()):
+                if gone:
+                    inside = slice(words.first[i], words.first[i + 1])
+                    lost[1:][inside] = np.isin(line[inside], gone)
+            lost = np.cumsum(lost)
+            without = lost[start + PASSAGE_WORDS] - lost[start]
+            start, without = start[without < PASSAGE_WORDS], without[without < PASSAGE_WORDS]
+            text = words.text[start]
+            at = pa.array(text)
+            yield pa.RecordBatch.from_pydict({
+                "code": pa.array(span_codes(words.code, start, start + PASSAGE_WORDS, running_sums(words.code)).view(np.int64)),
+                "id": part.column("id").take(at), "row": part.column("row").take(at),
+                "begin": pa.array(words.start[start] - offsets[text]), "end": pa.array(words.end[start + PASSAGE_WORDS - 1] - offsets[text]),
+                "whole": pa.array(without == 0),
+            })
+
+
+def _merged(batches):
+    """The bytes under a text's passages: as many as there are stretches, and each as begin-end."""
+    for batch in batches:
+        cuts = []
+        for spans in batch.column("spans").to_pylist():
+            out: list[list[int]] = []
+            for begin, end in sorted((x["begin"], x["end"]) for x in spans):
+                if out and begin <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], end)
+                else:
+                    out.append([begin, end])
+            cuts.append(out)
+        yield pa.RecordBatch.from_pydict({
+            "row": batch.column("row"), "n_cut": pa.array(map(len, cuts), pa.int64()),
+            "cut": pa.array([",".join(f"{b}-{e}" for b, e in c) for c in cuts], pa.string()),
+        })
+
+
+def _cuts(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """row, n_cut, cut: the passages that go besides the lines that do."""
+    texts = rows.select("row", "text")
+    again = texts.select("text").mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    # Written first, so that a skewed join has a shuffle on both sides and can be split.
+    again = keep(again.select("anchor"), "passage-anchors")
+    places = texts.mapInArrow(_anchor_places, "anchor long, row long, number int").join(again, "anchor", "left_semi")
+    numbers = places.groupBy("row").agg(F.collect_set("number").alias("numbers"))
+    looked = rows.select("row", "id", "text").join(numbers, "row").join(gone, "row", "left").select("row", "id", "text", "numbers", "removed")
+    passages = keep(looked.mapInArrow(_passages, "code long, id long, row long, begin long, end long, whole boolean"), "passages")
+    first = F.min(F.when(F.col("whole"), F.struct("id", "row", "begin", "end")))
+    firsts = keep(passages.groupBy("code").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").drop("n"), "passage-firsts")
+    later = (F.col("row") != F.col("first.row")) & (F.struct("id", "row") > F.struct("first.id", "first.row"))
+    later = later | ((F.col("row") == F.col("first.row")) & (F.col("begin") >= F.col("first.end")))
+    cut = passages.join(firsts, "code").where(later).select("row", "begin", "end")
+    # A document's own passages only: as many as it has words at most.
+    return cut.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).mapInArrow(_merged, "row long, n_cut long, cut string")
+
+
+def _rows(documents: DataFrame, *columns) -> DataFrame:
     identity = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
-    rows = documents.select("doc_id", identity.alias("id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    return documents.select("doc_id", identity.alias("id"), F.xxhash64("doc_id", "text").alias("row"), "text", *columns)
+
+
+def _repeats(rows: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """By row: the paragraphs counted, the lines that go, the passages that go."""
+    bands, size = tuned(threshold, recall)
     banded = keep(_banded(rows, bands, size), "paragraph-bands")
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
     live = keep(banded.join(crowded, "bucket", "left_semi").distinct(), "paragraph-buckets")
@@ -175,22 +280,58 @@ def repeated_paragraphs(documents: DataFrame, threshold: float = THRESHOLD, reca
     again = member.join(first.where("size > 1"), "class").where(F.struct("id", "place", "row") != F.col("first"))
     # A document's own paragraphs only: the list is as long as its text at most.
     gone = again.select("row", "place").distinct().groupBy("row").agg(F.array_sort(F.collect_list("place")).alias("removed"))
+    gone = keep(gone, "paragraph-lines")
     counts = places.distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_paragraphs"))
-    found = rows.select("doc_id", "row").join(counts, "row", "left").join(gone, "row", "left")
+    return counts, gone, _cuts(rows, gone)
+
+
+def repeated_paragraphs(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per document.
+
+    doc_id, n_paragraphs, n_removed, removed (numbers of the lines that go, from 0, comma-joined), n_cut, cut (the
+    stretches of passages that go, as begin-end in bytes of the text, comma-joined; they may run into lines that go).
+    """
+    rows = _rows(documents)
+    counts, gone, cuts = _repeats(rows, threshold, recall)
+    found = rows.select("doc_id", "row").join(counts, "row", "left").join(gone, "row", "left").join(cuts, "row", "left")
     return found.select(
         "doc_id", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"),
+        F.coalesce("n_cut", F.lit(0)).alias("n_cut"), F.coalesce("cut", F.lit("")).alias("cut"),
     )
 
 
+def _left(text: str, removed: list[int], cut: str) -> str:
+    data = text.encode()
+    stays = np.ones(len(data) + 1, dtype=bool)
+    for span in filter(None, cut.split(",")):
+        begin, end = map(int, span.split("-"))
+        stays[begin:end] = False
+    out, at, joint, gone = [], 0, b"", set(removed)
+    for number, line in enumerate(data.split(b"\n")):
+        end = at + len(line)
+        if number not in gone:
+            out += [joint, np.frombuffer(line, np.uint8)[stays[at:end]].tobytes()]
+            joint = b"\n" if stays[end] else b""
+        at = end + 1
+    return b"".join(out).decode()
+
+
 def without_repeats(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with all columns; ``text`` lacks the paragraphs that go, lines being joined again."""
-    gone = repeated_paragraphs(documents, threshold).where("n_removed > 0").select(F.col("doc_id").alias("gone_id"), F.col("removed").alias("gone_lines")).distinct()
-    joined = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-    lines = F.split("text", "\n")
-    numbers = F.split(F.coalesce("gone_lines", F.lit("")), ",")
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(numbers, i.cast("string")), x)), lambda x: x.isNotNull())
-    return joined.withColumn("text", F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(
-        *[f"`{c}`" for c in documents.columns]
-    )
+    """The documents with all columns; ``text`` lacks the paragraphs and passages that go, lines being joined again."""
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    rows = _rows(documents, F.struct(*columns).alias("document"))
+    _, gone, cuts = _repeats(rows.drop("document"), threshold, RECALL)
+    joined = rows.select("row", "text", "document").join(gone, "row", "left").join(cuts, "row", "left")
+    joined = joined.select("document", "text", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"), F.coalesce("cut", F.lit("")).alias("cut"))
+
+    def look(batches):
+        for batch in batches:
+            told = zip(*(batch.column(c).to_pylist() for c in ("text", "removed", "cut")), strict=True)
+            left = [t if t is None or not (r or c) else _left(t, r, c) for t, r, c in told]
+            yield pa.RecordBatch.from_pydict({"document": batch.column("document"), "left": pa.array(left, pa.string())})
+
+    kind = joined.schema["document"].dataType.simpleString()
+    left = joined.mapInArrow(look, f"document {kind}, left string")
+    return left.select(*[F.col("left").alias(c) if c == "text" else F.col(f"document.`{c}`") for c in documents.columns])

@@ -90,6 +90,53 @@ def test_paragraphs(spark, odd, none):
     assert paragraphs.repeated_paragraphs(none).count() == 0
 
 
+def passages_left(docs, removed):
+    """Brute force: the words of every document that are left."""
+    size, places, gone = paragraphs.PASSAGE_WORDS, {}, {}
+    for i, text in sorted(docs):
+        w = [(x, n) for n, line in enumerate(text.split("\n")) for x in small.words(line)]
+        lost = [n in removed.get(i, []) for _, n in w]
+        gone[i] = (w, lost, [False] * len(w))
+        for p in range(len(w) - size + 1):
+            places.setdefault(tuple(x for x, _ in w[p : p + size]), []).append((i, p))
+    for found in places.values():
+        whole = [(i, p) for i, p in found if not any(gone[i][1][p : p + size])]
+        for i, p in found:
+            if whole and (i > whole[0][0] or i == whole[0][0] and p >= whole[0][1] + size) and not all(gone[i][1][p : p + size]):
+                gone[i][2][p : p + size] = [True] * size
+    return {i: [x for (x, _), a, b in zip(*g, strict=True) if not (a or b)] for i, g in gone.items()}
+
+
+def test_passages_wherever_lines_end(spark):
+    """A passage inside longer lines, across short lines, with a repeated line in it, and twice in one document."""
+    passage, other = small.prose(21, 60), small.prose(22, 70)
+    short = "\n".join(" ".join(passage.split(" ")[k : k + 7]) for k in range(0, 60, 7))
+    mixed = "\n".join(" ".join(other.split(" ")[a:b]) for a, b in ((0, 8), (8, 30), (30, 38), (38, 60), (60, 70)))
+    docs = [
+        (1, f"{small.prose(23, 100)} {passage}, {small.prose(24, 90)}"), (2, f"{small.prose(25, 150)} {passage.replace("o", "O")} {small.prose(26, 12)}"),
+        (3, f"{small.prose(27, 5)}\n{short}\n{small.prose(28, 6)}"), (4, mixed), (5, f"é {mixed}\nä"), (6, "le " * 400),
+        (7, f"{small.prose(29, 30)} {other} {small.prose(30, 30)} {other}"), (8, " ".join(passage.split(" ")[:49])), (9, f"{small.prose(31, 60)} {small.prose(31, 60)}"),
+    ]
+    frame = spark.createDataFrame([(i, t, i) for i, t in docs], "doc_id long, text string, row long").repartition(3)
+    lines = removed_lines(docs)
+    rows = {r.doc_id: r for r in paragraphs.repeated_paragraphs(frame).collect()}
+    assert {i: r.removed for i, r in rows.items()} == {i: ",".join(map(str, lines.get(i, []))) for i, _ in docs}
+    assert {i for i, r in rows.items() if r.n_cut} == {2, 3, 5, 6, 7, 9}
+    left = paragraphs.without_repeats(frame).collect()
+    expected = passages_left(docs, lines)
+    assert {r.doc_id: small.words(r.text) for r in left} == expected and all(r.row == r.doc_id for r in left)
+    assert not set(small.words(passage)[:50]) <= set(expected[2]) and len(expected[3]) == 11 and len(expected[2]) == 162
+
+
+def test_passages_of_documents_table(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["doc_id"]).limit(150).cache()
+    docs = [(r.doc_id, r.text) for r in documents.collect()]
+    found = paragraphs.repeated_paragraphs(documents).collect()
+    lines = {r.doc_id: [int(x) for x in r.removed.split(",") if x] for r in found}
+    got = {r.doc_id: small.words(r.text) for r in paragraphs.without_repeats(documents).collect()}
+    assert got == passages_left(docs, lines)
+
+
 def test_bands_are_tuned():
     bands, rows = paragraphs.tuned(0.8, 0.999, 10)
     assert bands <= 10 and 1 - (1 - 0.8**rows) ** bands >= 0.999
