@@ -103,7 +103,7 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int,
             if at >= done["ip"] and at >= no_quad_before:
                 if m := _QUAD.match(text, at):
                     done["ip"] = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+                    if all(len(q) <= 3 and int(q or "0") <= 255 for q in (p.lstrip("0") for p in m.groups())):
                         found["ip"].append(m.span())
                 else:  # no later digit of the same run can start a match either
                     no_quad_before = _DIGITS.match(text, at).end()

@@ -146,6 +146,16 @@ def test_spans_keep_the_base_patterns():
         assert [s for s in pii.spans_of(text, anchors) if s[0] in pii.BASE_KINDS] == base_spans(text), text
 
 
+def test_address_parts_with_very_many_zeros():
+    """Python's int() refuses over 4,300 digits, leading zeros included."""
+    zeros = "0" * 5_000
+    anchors = pii.automaton()
+    for part, good in (("", True), ("255", True), ("256", False), ("1000", False)):
+        text = f"at {zeros}{part}.1.{zeros}.7 end"
+        found = [s for s in pii.spans_of(text, anchors) if s[0] == "ip"]
+        assert found == ([("ip", 3, len(text) - 4)] if good else [])
+
+
 def test_methods_own_spans():
     anchors = pii.automaton()
     found = {(k, t[b:e]) for t in TRICKY for k, b, e in pii.spans_of(t, anchors)}
