@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relweave.llm import decontamination, embeddings, language, mixing, near_duplicates, paragraphs, pii, quality, repeated_substrings, token_counts
+from relweave.llm import decontamination, embeddings, exact_duplicates, language, mixing, near_duplicates, paragraphs, pii, quality, repeated_substrings, token_counts
 from relweave.llm.tables import keep, read
 
 QUERIES: dict = {}
@@ -138,3 +138,17 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 50 bytes that an earlier document has."""
     return repeated_substrings.repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays of every group of equal texts."""
+    return exact_duplicates.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+ORACLE["op11_exact_duplicates"] = r"""
+WITH rows AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM rows
+"""
