@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relweave.llm import decontamination, embeddings, exact_duplicates, language, mixing, near_duplicates, paragraphs, pii, quality, repeated_substrings, token_counts
+from relweave.llm import decontamination, embeddings, exact_duplicates, language, manifest, mixing, near_duplicates, paragraphs, pii, quality, repeated_substrings, token_counts
 from relweave.llm.tables import keep, read
 
 QUERIES: dict = {}
@@ -152,3 +152,51 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM rows
 """
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in the hash tree of all, and whether it holds after some were tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    claimed = F.when(tampered, manifest.leaf_hash(n_chars=more)).otherwise(manifest.leaf_hash())
+    return manifest.proofs(manifest.leaves(read(spark, sf_dir, "documents"), claimed))
+
+
+def _manifest_sql() -> str:
+    def leaf(n_chars: str) -> str:
+        values = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+        return "sha256(concat(" + ", ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + "))"
+
+    bits = "list_transform(range(8 * length(s)), lambda i: CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+    grow = """SELECT g, lvl + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM {0} WHERE n > 1 GROUP BY g, lvl, p // 2, n"""
+    steps = """SELECT l.r, {1} + t.lvl AS step, s.h AS partner, t.p % 2 AS odd FROM leaves l {2} JOIN {0} t ON {3} AND t.n > 1
+  LEFT JOIN {0} s ON s.g = t.g AND s.lvl = t.lvl AND s.p = xor(t.p, 1)"""
+    return f"""
+WITH RECURSIVE crcs AS (SELECT *, CASE WHEN doc_id IS NOT NULL THEN {crc} END AS crc FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+hashed AS (SELECT doc_id, lang, {leaf('n_chars')} AS leaf, CASE WHEN crc % 7 = 0 THEN {leaf('n_chars + 1')} ELSE {leaf('n_chars')} END AS claimed FROM crcs),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p,
+    count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) AS g
+  FROM hashed),
+tree(g, lvl, p, n, h) AS (SELECT g, 0, p, n, leaf FROM leaves UNION ALL {grow.format('tree')}),
+tops(g, lvl, p, n, h) AS (
+  SELECT 0, 0, row_number() OVER (ORDER BY g) - 1, count(*) OVER (), h FROM tree WHERE n = 1 UNION ALL {grow.format('tops')}),
+steps AS (
+  {steps.format('tree', 0, '', 't.g = l.g AND t.p = l.p >> t.lvl')}
+  UNION ALL {steps.format('tops', 1000, '', 't.p = (l.g - 1) >> t.lvl')}),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY r ORDER BY step) AS k FROM steps),
+folded(r, k, h) AS (
+  SELECT r, 0, claimed FROM leaves
+  UNION ALL
+  SELECT f.r, f.k + 1, sha256(CASE WHEN partner IS NULL THEN h WHEN odd = 1 THEN partner || h ELSE h || partner END)
+  FROM folded f JOIN numbered s ON s.r = f.r AND s.k = f.k + 1),
+proofs AS (SELECT r, sha256(coalesce(string_agg(partner, '' ORDER BY k), '')) AS proof, count(*) AS depth FROM numbered GROUP BY r)
+SELECT l.doc_id, l.leaf, t.h AS subroot, root.h AS root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified
+FROM leaves l JOIN tree t ON t.g = l.g AND t.n = 1 CROSS JOIN (SELECT h FROM tops WHERE n = 1) root
+LEFT JOIN proofs p ON p.r = l.r JOIN folded f ON f.r = l.r AND f.k = coalesce(depth, 0)
+"""
+
+
+ORACLE["op12_manifest"] = _manifest_sql()
