@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relweave.llm import decontamination, embeddings, exact_duplicates, language, manifest, mixing, near_duplicates, paragraphs, pii, quality, repeated_substrings, token_counts
+from relweave.llm import decontamination, embeddings, exact_duplicates, language, lexical, manifest, mixing, near_duplicates, paragraphs, pii, quality, repeated_substrings, token_counts
 from relweave.llm.tables import keep, read
 
 QUERIES: dict = {}
@@ -200,3 +200,25 @@ LEFT JOIN proofs p ON p.r = l.r JOIN folded f ON f.r = l.r AND f.k = coalesce(de
 
 
 ORACLE["op12_manifest"] = _manifest_sql()
+
+
+@query
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for every benchmark item."""
+    return lexical.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_lexical"] = f"""
+WITH dt AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS t FROM documents),
+dtf AS (SELECT doc_id, t, count(*) AS tf FROM dt GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM dtf GROUP BY ALL),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM dtf, total GROUP BY t, nd),
+parts AS (
+  SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nd) // l)))) AS part
+  FROM dtf JOIN sizes USING (doc_id) JOIN weights USING (t), total),
+it AS (SELECT DISTINCT item_id, unnest({_WORDS.format('text')}) AS t FROM benchmark),
+scores AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM it JOIN parts USING (t) GROUP BY ALL HAVING sum(part) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {lexical.TOP}
+"""
