@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relweave.functions.vectors import embed_text, hashing_encoder, l2_normalize, usable_vector
-from relweave.operators import retrieval, vector_search
+from relweave.operators import cell_index, retrieval, vector_search
 from relweave.operators.plans import PlanError, RelationshipPlan, plans_frame, validate_field_matches, validate_plans
 from relweave.sources.catalog import Catalog, EntityTable
 
@@ -120,12 +120,12 @@ def test_approximate_search_finds_the_obvious(spark):
     base = rng.normal(size=(30, 8))
     schema = "plan_id string, entity_id string, vector array<double>"
     df = spark.createDataFrame(vectors((f"v{i}", v) for i, v in enumerate(base)), schema)
-    got = vector_search.approximate_nearest(df, df, 1, bits=3, block_rows=4)
+    got = cell_index.approximate_nearest(df, df, 1, cell_rows=4, block_rows=4)
     assert {(r["source_id"], r["target_id"]) for r in got.collect()} == {(f"v{i}", f"v{i}") for i in range(30)}
     other = df.withColumn("plan_id", F.lit("q")).where("entity_id < 'v2'")
-    both = vector_search.approximate_nearest(df.union(other), df.union(other), 30, bits=2)
+    both = cell_index.approximate_nearest(df.union(other), df.union(other), 30, cell_rows=4)
     assert both.where("plan_id = 'q'").count() == other.count() ** 2 or both.where("plan_id = 'q' AND target_id >= 'v2'").count() == 0
-    assert vector_search.approximate_nearest(df, df.where("false"), 1).count() == 0
+    assert cell_index.approximate_nearest(df, df.where("false"), 1).count() == 0
 
 
 def make_plan(**changes):
