@@ -147,7 +147,7 @@ def value_equality_pairs(catalog: Catalog, matches: Sequence[FieldMatch], first_
     """
     frames = []
     for number, match in enumerate(matches):
-        left, right = _value_sides(catalog, match)
+        left, right = value_sides(catalog, match)
         frames.append(
             left.join(right, "value").select(
                 F.col("source_id").alias("source"),
@@ -164,7 +164,7 @@ def value_equality_groups(catalog: Catalog, matches: Sequence[FieldMatch]) -> Da
     """Per field match and shared value: how many rows carry it on each side, and the pair count."""
     frames = []
     for match in matches:
-        left, right = _value_sides(catalog, match)
+        left, right = value_sides(catalog, match)
         sources = left.groupBy("value").agg(F.count(F.lit(1)).alias("source_rows"))
         targets = right.groupBy("value").agg(F.count(F.lit(1)).alias("target_rows"))
         frames.append(
@@ -180,7 +180,7 @@ def value_equality_groups(catalog: Catalog, matches: Sequence[FieldMatch]) -> Da
     return union_all(frames)
 
 
-def _value_sides(catalog: Catalog, match: FieldMatch) -> tuple[DataFrame, DataFrame]:
+def value_sides(catalog: Catalog, match: FieldMatch) -> tuple[DataFrame, DataFrame]:
     source, target = catalog.tables[match.source_table], catalog.tables[match.target_table]
     require_comparable(
         source.frame.schema[match.source_field].dataType,

@@ -103,7 +103,12 @@ def table_pair_types(edges: DataFrame) -> DataFrame:
 
 def table_edge_candidates(edges: DataFrame) -> DataFrame:
     """Every cross-table pair with its totals and whether it has enough support to be shown."""
-    totals = table_pair_types(edges).groupBy("table_a", "table_b").agg(
+    return rolled_up(table_pair_types(edges))
+
+
+def rolled_up(types: DataFrame) -> DataFrame:
+    """Table pairs from their counts by relation type; rows without a type only add edges."""
+    totals = types.groupBy("table_a", "table_b").agg(
         F.array_sort(F.collect_set("relation_type")).alias("relation_types"),
         F.sum("strong").alias("strong_count"),
         F.sum("weak").alias("weak_count"),

@@ -76,14 +76,19 @@ def analyze(
     make_encoder: Callable[[], Encoder] = hashing_encoder,
     deadline: float | None = None,
     concurrency: int | None = None,
+    fingerprint: str | None = None,
 ) -> Analysis:
     """Relations between the rows of the tables in scope, as a graph.
 
+    With the ``fingerprint`` the catalog had when the scope was chosen, a catalog that has changed since is refused.
+
     Judgement uses ``judge`` when given, else ``rules``.  A plan set that must not be used, unusable relation
     tables and a failed retrieval or judgement lose their own relations only: the warnings and the status in
     the diagnostics tell.  Tables without names or classes, and documents that contradict each other, are refused.
     """
     spark = next(iter(catalog.tables.values())).frame.sparkSession
+    if fingerprint is not None:
+        catalog.require_fingerprint(fingerprint)
     warnings = []
     if any(t.name_column is None for t in catalog.tables.values()):
         warnings.append(MISSING_NAME_WARNING)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
 
-from relweave.operators import documents as docs, explore, graph, judging, ranking, relations as rel
+from relweave.operators import documents as docs, explore, factored, graph, judging, ranking, relations as rel
 from relweave.operators.judging import JUDGED_METHOD
 from relweave.plans import views
 from relweave.plans.oracle_views import BRIDGE, DEGREE, ENT, FK, GRAPH, PASSAGES, SHOWN, graph_sql
@@ -54,20 +55,21 @@ def all_relations(spark, sf_dir):
     return rel.union_relations(strong_relations(spark, sf_dir), weak_relations(spark, sf_dir), extra_relations(spark, sf_dir))
 
 
-_STORED: dict[tuple[str, str], tuple] = {}
-
-
 def stored_graph(spark, sf_dir):
-    """Nodes and relations of the whole test data, found once per session and read from storage.
+    """Nodes and relations of the whole test data, from a snapshot that is made anew when tables or metadata changed.
 
     Exploring a graph means asking a stored snapshot, here as in the analysis.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        relations = all_relations(spark, sf_dir)
-        nodes = graph.entity_nodes(docs.build_documents(views.catalog(spark, sf_dir)))
-        _STORED[key] = (materialize(nodes, "nodes"), materialize(rel.edge_relations(relations), "edges"))
-    return _STORED[key]
+    catalog = views.catalog(spark, sf_dir)
+    tables = snapshot.tables_state(spark, [f"{sf_dir}/{name}.parquet" for name in (*catalog.tables, "lineitem")])
+    fingerprint = hashlib.sha256("\n".join([catalog.fingerprint(), *tables]).encode()).hexdigest()
+    folder = f"{application_folder(spark)}/graph-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    try:
+        parts = snapshot.open_snapshot(spark, folder, fingerprint)
+    except (snapshot.NoSnapshot, snapshot.StaleSnapshot):
+        nodes, edges = graph.entity_nodes(docs.build_documents(catalog)), rel.edge_relations(all_relations(spark, sf_dir))
+        parts = snapshot.commit_snapshot(spark, {"entity_nodes": nodes, "relations": edges}, folder, fingerprint).parts(spark)
+    return parts["entity_nodes"], parts["relations"]
 
 
 def edges_of(spark, sf_dir):
@@ -233,10 +235,10 @@ def export_snapshot(spark, sf_dir):
         "relations": edges, "diagnostics": graph.run_status(graph.diagnostics(documents, rows, judging.rule_outcomes(pairs), edges)),
         "warnings": spark.createDataFrame([("none",)], "warning string"),
     }
-    folder = f"{application_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    folder, fingerprint = f"{application_folder(spark)}/snapshot-{uuid.uuid4().hex}", views.catalog(spark, sf_dir).fingerprint()
     for format in ("parquet", "json"):
-        snapshot.write_snapshot(parts, f"{folder}/{format}", format)
-    stored = snapshot.read_snapshot(spark, f"{folder}/parquet")
+        snapshot.commit_snapshot(spark, parts, f"{folder}/{format}", fingerprint, format)
+    stored, texts = (snapshot.open_snapshot(spark, f"{folder}/{format}", fingerprint) for format in ("parquet", "json"))
 
     def digests(part, df, texts, sign):
         lines = df.select("value") if texts else snapshot.public_json(df)
@@ -244,8 +246,7 @@ def export_snapshot(spark, sf_dir):
 
     compared = []
     for part in snapshot.PARTS:
-        lines = spark.read.text(f"{folder}/json/{part}")
-        own, back = digests(part, stored[part], False, 1), digests(part, lines, True, -1)
+        own, back = digests(part, stored[part], False, 1), digests(part, texts[part], True, -1)
         both = own.withColumn("json", F.lit(False)).union(back.withColumn("json", F.lit(True)))
         compared.append(both)
     every = compared[0]
@@ -353,6 +354,32 @@ def connected_components(spark, sf_dir):
     return explore.connected_components(nodes.select("id"), edges)
 
 
+def factored_graph(spark, sf_dir):
+    """The same graph with the judged relations left as decisions between groups."""
+    documents, _, members, pairs = judged(spark, sf_dir)
+    family = factored.decided(judging.rule_decisions(pairs, views.PASSAGE_RULES), members, documents)
+    explicit = rel.union_relations(strong_relations(spark, sf_dir), extra_relations(spark, sf_dir))
+    nodes = graph.entity_nodes(docs.build_documents(views.catalog(spark, sf_dir)))
+    return materialize(nodes.select("id", "table_id"), "nodes"), materialize(rel.edge_relations(explicit), "edges"), [family]
+
+
+@query("factored_table_edges", ORACLE["table_edges"])
+def factored_table_edges(spark, sf_dir):
+    """``table_edges`` without expanding a decision."""
+    _, edges, families = factored_graph(spark, sf_dir)
+    return _flat_tables(factored.table_edges(edges, families))
+
+
+@query("factored_degrees", ORACLE["degrees"])
+def factored_degrees(spark, sf_dir):
+    return factored.degrees(*factored_graph(spark, sf_dir))
+
+
+@query("factored_components", ORACLE["connected_components"])
+def factored_components(spark, sf_dir):
+    return factored.connected_components(*factored_graph(spark, sf_dir))
+
+
 @query(
     "hub_nodes",
     graph_sql(

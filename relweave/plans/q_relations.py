@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave.functions import identity, labels
-from relweave.operators import deterministic as det, documents as docs, graph, judging, relations as rel
+from relweave.operators import deterministic as det, documents as docs, factored, graph, judging, relations as rel
 from relweave.plans import views
 from relweave.plans.oracle_views import BRIDGE, ENT, FK, norm
 
@@ -91,6 +91,24 @@ def value_equality_groups(spark, sf_dir):
     return det.value_equality_groups(views.catalog(spark, sf_dir), matches)
 
 
+_SHARED = [("orders", "o_orderkey", "o_custkey", "events", "event_id", "user_id"), ("events", "event_id", "user_id", "customer", "c_custkey", "c_custkey"),
+           ("orders", "o_orderkey", "o_orderkey", "events", "event_id", "event_id")]
+_SHARED_SQL = " UNION ".join(
+    f"SELECT '{s}:' || s.{sk} AS a, '{t}:' || t.{tk} AS b FROM {s} s JOIN {t} t ON s.{sc} = t.{tc}" for s, sk, sc, t, tk, tc in _SHARED
+)
+
+
+@query(
+    "value_equality_degrees",
+    f"WITH pairs AS ({_SHARED_SQL}) SELECT id, count(*) AS degree FROM (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY 1",
+)
+def value_equality_degrees(spark, sf_dir):
+    """Distinct neighbours by equal values, some pairs by two of them, from the groups of each value."""
+    catalog = views.catalog(spark, sf_dir, "orders", "events", "customer")
+    families = [factored.equal_values(catalog, det.FieldMatch(s, sc, t, tc)) for s, _, sc, t, _, tc in _SHARED]
+    return factored.neighbour_counts(families).groupBy(F.col("entity_id").alias("id")).agg(F.sum("neighbours").alias("degree"))
+
+
 @query(
     "merge_labels",
     f"""WITH {FK}, eq AS ({_EQUAL_SQL}), pairs AS (SELECT source, target, '外键关联' AS label, 1.0 AS confidence FROM fk UNION ALL SELECT * FROM eq)

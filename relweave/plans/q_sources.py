@@ -140,7 +140,23 @@ def eligible_tables(spark, sf_dir):
 _TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "FLOAT[]": "array<float>"}
 
 
-@query("schema_fingerprint")
+def _fingerprint_sql() -> str:
+    """The same JSON from what DuckDB tells of the views, and its digest."""
+    tables = []
+    for table, sql in VIEW_SQL.items():
+        kind = "CASE column_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items()) + " ELSE lower(column_type) END"
+        keys = "', '".join(PRIMARY_KEYS[table].split(","))
+        flags = ", ".join(f"""'"{name}": ' || CAST({test} AS VARCHAR)""" for name, test in (
+            ("is_class_name", "column_name = 'class_name'"), ("is_foreign_key", f"column_name = '{SOURCE_KEYS.get(table, '')}'"),
+            ("is_name", "column_name = 'name'"), ("is_primary_key", f"column_name IN ('{keys}')"),
+        ))
+        column = f"""'{{' || concat_ws(', ', {flags}, '"name": ' || to_json(column_name), '"type": ' || to_json({kind})) || '}}'"""
+        tables.append(f"""SELECT '{table}' AS t, '{{"columns": [' || string_agg(c, ', ' ORDER BY n) || '], "name": "{table}"}}' AS j
+  FROM (SELECT {column} AS c, row_number() OVER () AS n FROM (DESCRIBE {sql}))""")
+    return f"SELECT table_name, row_count, 'sha256:' || (SELECT sha256('[' || string_agg(j, ', ' ORDER BY t) || ']') FROM ({_union(tables)})) AS fingerprint FROM ({COUNTS_SQL})"
+
+
+@query("schema_fingerprint", _fingerprint_sql())
 def schema_fingerprint(spark, sf_dir):
     return profile.schema_fingerprint(views.catalog(spark, sf_dir))
 

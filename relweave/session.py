@@ -65,8 +65,7 @@ class Stored:
         self.frame = self._spark.read.schema(df.schema).parquet(self.path)
 
     def remove(self) -> None:
-        context = self._spark.sparkContext
-        _delete(context._jvm, context._jsc.hadoopConfiguration(), self.path)
+        delete_folder(self._spark, self.path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -86,6 +85,11 @@ def application_folder(spark: SparkSession) -> str:
     return _FOLDERS[context.applicationId]
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    _delete(context._jvm, context._jsc.hadoopConfiguration(), path)
+
+
 def _delete(jvm, configuration, path: str) -> None:
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(configuration).delete(folder, True)

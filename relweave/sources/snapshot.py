@@ -1,10 +1,23 @@
-"""Writing and reading a graph snapshot."""
+"""Writing and reading a graph snapshot.
+
+``write_snapshot`` exports parts to a folder.  ``commit_snapshot`` makes them the current version of a snapshot in one step: they go to
+a fresh folder first, and a manifest, a small file with a running number, is renamed into place last.  Readers follow
+the newest manifest, so they see a whole version or the one before; of two writers that claim one number, the file system lets
+one rename succeed and the other is refused.  The manifest holds the fingerprint of what the version was made from, and readers that
+expect another one are refused.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from relweave.functions.values import encoded_object, typed_json
+from relweave.session import delete_folder
 
 PARTS = ("table_nodes", "entity_nodes", "table_edges", "table_edge_support", "relations", "diagnostics", "warnings")
 
@@ -54,3 +67,133 @@ def write_snapshot(parts: dict[str, DataFrame], path: str, format: str = "parque
 def read_snapshot(spark: SparkSession, path: str, format: str = "parquet") -> dict[str, DataFrame]:
     """The parts of a snapshot; columns added since it was written are absent and read as null."""
     return {name: spark.read.format(format).load(f"{path}/{name}") for name in PARTS}
+
+
+class NoSnapshot(LookupError):
+    """Nothing was committed to the folder yet."""
+
+
+class StaleSnapshot(ValueError):
+    """The current version was made from other data or metadata than the reader has."""
+
+
+class LostCommit(RuntimeError):
+    """Another writer committed first."""
+
+
+@dataclass(frozen=True)
+class Version:
+    number: int
+    folder: str
+    format: str
+    fingerprint: str
+    schemas: dict[str, dict]
+
+    def parts(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """The parts with the schemas they were written with (texts, if they are JSON)."""
+        reader = spark.read.format("text" if self.format == "json" else self.format)
+        schemas = {name: "value string" if self.format == "json" else StructType.fromJson(s) for name, s in self.schemas.items()}
+        return {name: reader.schema(schema).load(f"{self.folder}/{name}") for name, schema in schemas.items()}
+
+
+class _Files:
+    """The few file operations of a commit, through the file system that Spark uses for the folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        context = spark.sparkContext
+        self._jvm = context._jvm
+        self._fs = self.path(folder).getFileSystem(context._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(name)
+
+    def write(self, name: str, text: str) -> None:
+        stream = self._fs.create(self.path(name), False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self.path(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def rename(self, old: str, new: str) -> bool:
+        target = self.path(new)
+        return not self._fs.exists(target) and self._fs.rename(self.path(old), target)
+
+    def names(self, folder: str) -> list[str]:
+        path = self.path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def states(self, name: str) -> list[str]:
+        """Path, length and time of change of every file in a table's folder, or of the table that is one file."""
+        found, files = [], self._fs.listFiles(self.path(name), True)
+        while files.hasNext():
+            status = files.next()
+            found.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+        return sorted(found)
+
+
+def _manifests(files: _Files, path: str) -> list[int]:
+    return [int(name[:-5]) for name in files.names(f"{path}/manifests") if name.endswith(".json") and name[:-5].isdigit()]
+
+
+def current_version(spark: SparkSession, path: str) -> Version:
+    files = _Files(spark, path)
+    numbers = _manifests(files, path)
+    if not numbers:
+        raise NoSnapshot(path)
+    return _version(files, path, max(numbers))
+
+
+def _version(files: _Files, path: str, number: int) -> Version:
+    manifest = json.loads(files.read(f"{path}/manifests/{number:012d}.json"))
+    return Version(number, f"{path}/{manifest['folder']}", manifest["format"], manifest["fingerprint"], manifest["schemas"])
+
+
+def commit_snapshot(spark: SparkSession, parts: dict[str, DataFrame], path: str, fingerprint: str, format: str = "parquet") -> Version:
+    """Make the parts the current version.  Whatever fails on the way, the version before stays current and readable."""
+    files, name = _Files(spark, path), f"versions/{uuid.uuid4().hex}"
+    number = max(_manifests(files, path), default=0) + 1
+    manifest = {
+        "folder": name, "format": format, "fingerprint": fingerprint, "schemas": {part: df.schema.jsonValue() for part, df in parts.items()},
+    }
+    try:
+        write_snapshot(parts, f"{path}/{name}", format)
+        staged = f"{path}/{name}/manifest"
+        files.write(staged, json.dumps(manifest, ensure_ascii=False))
+        files._fs.mkdirs(files.path(f"{path}/manifests"))
+        if not files.rename(staged, f"{path}/manifests/{number:012d}.json"):
+            raise LostCommit(f"version {number} of {path}")
+    except BaseException:
+        delete_folder(spark, f"{path}/{name}")
+        raise
+    return _version(files, path, number)
+
+
+def open_snapshot(spark: SparkSession, path: str, fingerprint: str | None = None) -> dict[str, DataFrame]:
+    """The parts of the current version; refused when it was not made from what the fingerprint stands for."""
+    version = current_version(spark, path)
+    if fingerprint is not None and version.fingerprint != fingerprint:
+        raise StaleSnapshot(f"version {version.number} of {path} was made from {version.fingerprint}, not {fingerprint}")
+    return version.parts(spark)
+
+
+def remove_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Remove all but the newest versions, manifests first, and tell which went.  Readers of a removed one fail."""
+    files = _Files(spark, path)
+    old = sorted(_manifests(files, path))[: -keep or None]
+    for number in old:
+        version = _version(files, path, number)
+        delete_folder(spark, f"{path}/manifests/{number:012d}.json")
+        delete_folder(spark, version.folder)
+    return old
+
+
+def tables_state(spark: SparkSession, paths: list[str]) -> list[str]:
+    """What tells one state of stored tables from another: their files with lengths and times."""
+    return [line for path in sorted(paths) for line in _Files(spark, path).states(path)]
