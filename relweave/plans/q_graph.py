@@ -8,13 +8,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from relweave.operators import documents as docs, explore, factored, graph, judging, ranking, relations as rel
+from relweave.operators.deterministic import fk_edges
 from relweave.operators.judging import JUDGED_METHOD
 from relweave.plans import views
-from relweave.plans.oracle_views import BRIDGE, DEGREE, ENT, FK, GRAPH, PASSAGES, SHOWN, graph_sql
+from relweave.plans.oracle_views import BRIDGE, DEGREE, ENT, EXTRA, FK, GRAPH, PASSAGES, SHOWN, graph_sql
 from relweave.plans.q_relations import strong_relations
-from relweave.plans.q_retrieval import english_judge, judged, weak_relations
+from relweave.plans.q_retrieval import CHECKED, answers_in_time, judged, weak_relations
 from relweave.session import application_folder, materialize
 from relweave.sources import snapshot
+from relweave.sources.catalog import union_all
 
 QUERIES = {}
 ORACLE = {}
@@ -165,58 +167,93 @@ def stable_order(spark, sf_dir):
     return shown.select("id", "relation_types", F.row_number().over(Window.orderBy("source_table", "target_table")).alias("position"))
 
 
-_DIAGNOSTICS_SQL = f"""WITH {FK}, {BRIDGE}, {PASSAGES}, d AS (SELECT (SELECT count(*) FROM benchmark) + (SELECT count(*) FROM documents) AS entities_read, 1 AS plans_created,
-  (SELECT count(*) FROM cand) AS candidates_retrieved, (SELECT count(*) FROM cand) AS candidates_completed, 0 AS candidates_pending,
-  (SELECT count(DISTINCT sid) FROM cand) AS completed_groups, 0 AS failed_groups, 0 AS pending_groups, 0 AS strong_edges_created,
-  (SELECT count(*) FROM weak) AS weak_edges_created) SELECT * """
+# Runs over the whole catalog: every table's entities, all strong relations, and what each way of judging adds.
+
+_STRONG_SQL = "strong AS (SELECT source_table, relation_type FROM fk UNION ALL SELECT source_table, relation_type FROM bridge)"
+_OF_STATUS = ", ".join(
+    f"count(*) FILTER (status = '{s}') AS {s}_groups, coalesce(sum(n) FILTER (status = '{s}'), 0) AS {s}_candidates" for s in ("completed", "failed", "pending")
+)
+_RUNS_SQL = f"""g AS (SELECT sid, count(*) AS n, {CHECKED} AS judge, 'completed' AS rules FROM cand GROUP BY sid),
+  judged_weak AS (SELECT count(*) AS n FROM weak JOIN src_all s ON weak.source = 'benchmark:' || s.id JOIN g ON g.sid = s.id WHERE g.judge = 'completed'),
+  of_judge AS (SELECT {_OF_STATUS} FROM (SELECT judge AS status, n FROM g)), of_rules AS (SELECT {_OF_STATUS} FROM (SELECT rules AS status, n FROM g)),
+  of_none AS (SELECT {_OF_STATUS} FROM (SELECT judge AS status, n FROM g WHERE false)),
+  of_broken AS (SELECT {_OF_STATUS} FROM (SELECT 'failed' AS status, n FROM g)),
+  both_strong AS (SELECT count(*) AS n FROM strong), keys_only AS (SELECT count(*) AS n FROM fk)"""
 
 
-def _run_totals(spark, sf_dir):
+@query(
+    "diagnostics",
+    f"""WITH {ENT}, {FK}, {BRIDGE}, {EXTRA}, {PASSAGES}, {_STRONG_SQL}, {_RUNS_SQL}
+SELECT (SELECT count(*) FROM ent) AS entities_read, 1 AS plans_created,
+  completed_candidates + failed_candidates + pending_candidates AS candidates_retrieved, completed_candidates AS candidates_completed,
+  failed_candidates + pending_candidates AS candidates_pending, completed_groups, failed_groups, pending_groups,
+  (SELECT n FROM both_strong) AS strong_edges_created, (SELECT n FROM judged_weak) + (SELECT count(*) FROM extra) AS weak_edges_created FROM of_judge""",
+)
+def diagnostics(spark, sf_dir):
+    """Counters of a run over every table, with groups that complete, fail and come too late."""
     documents, rows, members, pairs = judged(spark, sf_dir)
-    weak = judging.expand_representatives(judging.rule_decisions(pairs, views.PASSAGE_RULES), members, documents)
-    return graph.diagnostics(documents, rows, judging.rule_outcomes(pairs), weak)
+    checked = judging.check_responses(materialize(answers_in_time(pairs), "answers"), rows)
+    weak = judging.expand_representatives(judging.approved_decisions(checked), members, documents)
+    found = rel.union_relations(strong_relations(spark, sf_dir), weak, extra_relations(spark, sf_dir))
+    return graph.diagnostics(docs.build_documents(views.catalog(spark, sf_dir)), rows, judging.judgement_outcomes(checked), found)
 
 
-@query("diagnostics", _DIAGNOSTICS_SQL + "FROM d")
-def diagnostics(spark, sf_dir):
-    return _run_totals(spark, sf_dir)
+def _run_sql(run: str, strong: str, weak: str, outcomes: str, step_failed: bool = False) -> str:
+    return (
+        f"SELECT '{run}' AS run, ({strong}) AS strong_edges_created, ({weak}) AS weak_edges_created, completed_groups, failed_groups, pending_groups, "
+        f"{str(step_failed).lower()} AS step_failed FROM {outcomes}"
+    )
 
 
-_STATUS_SQL = f"""WITH {PASSAGES}, g AS (SELECT sid, count(*) AS n, ends_with(CAST(sid AS VARCHAR), '7') AS bad FROM cand GROUP BY 1),
-  kept AS (SELECT count(*) AS n FROM weak JOIN src_all s ON weak.source = 'benchmark:' || s.id WHERE NOT ends_with(CAST(s.id AS VARCHAR), '7')),
-  runs AS (SELECT 'rules' AS run, (SELECT count(*) FROM weak) AS weak_edges_created, (SELECT count(*) FROM g) AS completed_groups, 0 AS failed_groups
-    UNION ALL SELECT 'judge', (SELECT n FROM kept), count(*) FILTER (NOT bad), count(*) FILTER (bad) FROM g
-    UNION ALL SELECT 'broken judge', 0, 0, count(*) FROM g
-    UNION ALL SELECT 'nothing to judge', 0, 0, 0)
-SELECT *, CASE WHEN weak_edges_created = 0 AND failed_groups > 0 AND completed_groups = 0 THEN 'failed' WHEN failed_groups > 0 THEN 'partial' ELSE 'complete' END AS status,
-  CASE WHEN weak_edges_created = 0 AND failed_groups = 0 THEN '{graph.NO_RELATIONS_WARNING}' END AS warning FROM runs"""
+_NONE, _STRONG_N, _KEYS_N, _WEAK_N = "SELECT count(*) FROM fk WHERE false", "SELECT n FROM both_strong", "SELECT n FROM keys_only", "SELECT count(*) FROM weak"
 
 
-@query("run_status", _STATUS_SQL)
+@query(
+    "run_status",
+    f"""WITH {FK}, {BRIDGE}, {PASSAGES}, {_STRONG_SQL}, {_RUNS_SQL}, runs AS (""" + " UNION ALL ".join([
+        _run_sql("rules", _STRONG_N, _WEAK_N, "of_rules"), _run_sql("judge", _STRONG_N, "SELECT n FROM judged_weak", "of_judge"),
+        _run_sql("broken judge", _STRONG_N, _NONE, "of_broken"), _run_sql("broken judge, no keys", _NONE, _NONE, "of_broken"),
+        _run_sql("planner failed", _STRONG_N, _NONE, "of_none", True), _run_sql("planner failed, no keys", _NONE, _NONE, "of_none", True),
+        _run_sql("relation tables failed", _KEYS_N, _WEAK_N, "of_rules", True), _run_sql("nothing to judge", _NONE, _NONE, "of_none"),
+    ]) + f""")
+SELECT * EXCLUDE (step_failed), CASE WHEN strong_edges_created + weak_edges_created = 0 AND (step_failed OR (failed_groups > 0 AND completed_groups = 0 AND pending_groups = 0)) THEN 'failed'
+    WHEN step_failed OR failed_groups > 0 OR pending_groups > 0 THEN 'partial' ELSE 'complete' END AS status,
+  CASE WHEN strong_edges_created + weak_edges_created = 0 AND NOT step_failed AND failed_groups = 0 AND pending_groups = 0 THEN '{graph.NO_RELATIONS_WARNING}' END AS warning
+FROM runs""",
+)
 def run_status(spark, sf_dir):
-    """Runs that end well, in part, not at all, and without a finding."""
+    """Runs that end well, in part, not at all, and without a finding; some lose a step, some have no keys to fall back on."""
     documents, rows, members, pairs = judged(spark, sf_dir)
-    requests = judging.judge_requests(pairs)
+    requests, catalog = materialize(judging.judge_requests(pairs), "requests"), views.catalog(spark, sf_dir)
+    entities = docs.build_documents(catalog)
+    strong, keys_only = materialize(strong_relations(spark, sf_dir), "strong"), fk_edges(catalog)
 
     def broken_judge(request):
         raise RuntimeError("no answer")
 
-    def shown(run, outcomes, decisions):
-        weak = judging.expand_representatives(decisions, members, documents)
-        totals = graph.run_status(graph.diagnostics(documents, rows, outcomes, weak))
-        return totals.select(F.lit(run).alias("run"), "weak_edges_created", "completed_groups", "failed_groups", "status", "warning")
+    def asked(answers):
+        checked = judging.check_responses(materialize(answers, "answers"), rows)
+        return judging.judgement_outcomes(checked), judging.approved_decisions(checked)
 
-    runs = [("rules", judging.rule_outcomes(pairs), judging.rule_decisions(pairs, views.PASSAGE_RULES))]
-    for run, judge in (("judge", english_judge), ("broken judge", broken_judge)):
-        checked = judging.check_responses(materialize(judging.ask_judge(requests, judge), "answers"), rows)
-        runs.append((run, judging.judgement_outcomes(checked), judging.approved_decisions(checked)))
     none = pairs.where(F.lit(False))
-    runs.append(("nothing to judge", judging.rule_outcomes(none), judging.rule_decisions(none, views.PASSAGE_RULES)))
-    frames = [shown(*run) for run in runs]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.union(frame)
-    return result
+    by_rules = judging.rule_outcomes(pairs), judging.rule_decisions(pairs, views.PASSAGE_RULES)
+    nothing = judging.rule_outcomes(none), judging.rule_decisions(none, views.PASSAGE_RULES)
+    broken = asked(judging.ask_judge(requests, broken_judge))
+    no_keys = strong.where(F.lit(False))
+    runs = [
+        ("rules", strong, by_rules, {}), ("judge", strong, asked(answers_in_time(pairs)), {}), ("broken judge", strong, broken, {}),
+        ("broken judge, no keys", no_keys, broken, {}), ("planner failed", strong, nothing, {"planner_failed": True}),
+        ("planner failed, no keys", no_keys, nothing, {"planner_failed": True}), ("relation tables failed", keys_only, by_rules, {"structural_failed": True}),
+        ("nothing to judge", no_keys, nothing, {}),
+    ]
+    frames = []
+    for run, certain, (outcomes, decisions), failed in runs:
+        found = rel.union_relations(certain, judging.expand_representatives(decisions, members, documents))
+        totals = graph.run_status(graph.diagnostics(entities, rows, outcomes, found), **failed)
+        frames.append(totals.select(
+            F.lit(run).alias("run"), "strong_edges_created", "weak_edges_created", "completed_groups", "failed_groups", "pending_groups", "status", "warning"
+        ))
+    return union_all(frames)
 
 
 _PARTS_SQL = """SELECT 'table_nodes' AS part, count(DISTINCT table_name) AS stored_rows FROM ent UNION ALL SELECT 'entity_nodes', count(*) FROM ent

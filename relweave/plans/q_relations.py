@@ -8,6 +8,7 @@ from relweave.functions import identity, labels
 from relweave.operators import deterministic as det, documents as docs, factored, graph, judging, relations as rel
 from relweave.plans import views
 from relweave.plans.oracle_views import BRIDGE, ENT, FK, norm
+from relweave.sources.catalog import Catalog, EntityTable, ForeignKey
 
 QUERIES = {}
 ORACLE = {}
@@ -45,12 +46,56 @@ def fk_edges(spark, sf_dir):
     )
 
 
+_ODD_FK_SQL = """orders2 AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS buyer FROM orders),
+  packs AS (SELECT l_orderkey AS o, l_linenumber AS n, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_linenumber + l_partkey % 2 END AS next FROM lineitem),
+  segments AS (SELECT c_mktsegment AS segment, max(c_custkey) AS last FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1),
+  odd AS (SELECT 'orders2:' || id AS source, 'customer2:' || c_custkey AS target, 'buyer' AS source_field, 'c_custkey' AS target_field FROM orders2 JOIN customer ON buyer = c_custkey
+      WHERE c_custkey % 3 <> 0
+    UNION ALL SELECT 'packs:' || o || '|' || n, 'packs2:' || o || '|' || next, 'o,next', 'o,n' FROM packs WHERE (o, next) IN (SELECT (o, n) FROM packs)
+    UNION ALL SELECT 'customer:' || c_custkey, 'customer2:' || last, 'c_mktsegment', 'c_mktsegment' FROM customer JOIN segments ON c_mktsegment = segment)"""
+
+
+def odd_keys_catalog(spark, sf_dir):
+    """Keys with nulls and dangling values, of two columns with a null part, and on a column that is no key and repeats."""
+    orders, customers, lines = (views.read(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
+    buyer = F.expr("case when o_orderkey % 7 = 0 then null when o_orderkey % 11 = 0 then o_custkey + 10000000 else o_custkey end")
+    named = {"name": F.lit("n"), "class_name": F.lit("C")}
+    packs = lines.select(
+        F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"),
+        F.expr("case when l_partkey % 4 = 0 then null else l_linenumber + l_partkey % 2 end").alias("next"),
+    ).withColumns(named)
+    tables = [
+        EntityTable("orders2", orders.select(F.col("o_orderkey").alias("id"), buyer.alias("buyer")).withColumns(named), ("id",)),
+        EntityTable("customer2", customers.where("c_custkey % 3 <> 0").withColumns(named), ("c_custkey",)),
+        EntityTable("customer", customers.withColumns(named), ("c_custkey",)),
+        EntityTable("packs", packs, ("o", "n")), EntityTable("packs2", packs, ("o", "n")),
+    ]
+    return Catalog.of(tables, [
+        ForeignKey("orders2", ("buyer",), "customer2", ("c_custkey",)), ForeignKey("packs", ("o", "next"), "packs2", ("o", "n")),
+        ForeignKey("customer", ("c_mktsegment",), "customer2", ("c_mktsegment",)),
+    ])
+
+
+@query("fk_edges_odd_keys", f"WITH {_ODD_FK_SQL} SELECT source, target, source_field, target_field FROM odd")
+def fk_edges_odd_keys(spark, sf_dir):
+    """What does not resolve has no relation; a key of two columns needs both; of repeated targets the last row counts."""
+    fields = [F.array_join(f"evidence.{f}", ",").alias(f) for f in ("source_field", "target_field")]
+    return det.fk_edges(odd_keys_catalog(spark, sf_dir)).select("source", "target", *fields)
+
+
 @query(
     "fk_edges_legacy_merge",
-    f"WITH {FK} SELECT source, target, '外键关联' AS labels, 1.0::DOUBLE AS confidence FROM fk",
+    f"""WITH {FK}, {_ODD_FK_SQL}, labelled AS (SELECT source, target, '外键关联' AS label, 1.0::DOUBLE AS confidence FROM (SELECT source, target FROM fk UNION ALL SELECT source, target FROM odd)
+  UNION ALL SELECT 'events:' || event_id, 'customer:' || c_custkey, '值相等(user_id↔c_custkey)', 0.9 FROM events JOIN customer ON user_id = c_custkey WHERE event_id % 3 = 0)
+SELECT source, target, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(confidence) AS confidence FROM labelled GROUP BY 1, 2""",
 )
 def fk_edges_legacy_merge(spark, sf_dir):
-    merged = det.merge_labels(det.fk_pairs(views.catalog(spark, sf_dir)))
+    """Declared keys, odd ones too, merged with equal values of some of the same pairs."""
+    events = views.catalog(spark, sf_dir, "events", "customer")
+    some = Catalog.of([EntityTable(t.name, t.frame.where("event_id % 3 = 0") if t.name == "events" else t.frame, t.primary_key) for t in events.tables.values()])
+    equal = det.value_equality_pairs(some, views.FIELD_MATCHES[:1])
+    pairs = det.fk_pairs(views.catalog(spark, sf_dir)).unionByName(det.fk_pairs(odd_keys_catalog(spark, sf_dir))).unionByName(equal)
+    merged = det.merge_labels(pairs).withColumn("labels", F.array_sort("labels"))
     return merged.select("source", "target", F.array_join("labels", ",").alias("labels"), "confidence")
 
 
@@ -160,10 +205,21 @@ def relation_orientation(spark, sf_dir):
 
 @query(
     "relation_dedupe",
-    f"""WITH {BRIDGE} SELECT source, target, relation_type, count(*) AS evidence_count FROM bridge GROUP BY ALL""",
+    f"""WITH {BRIDGE}, again AS (SELECT DISTINCT 'orders:' || o_orderkey AS source, 'part:' || p_partkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2), every AS (
+  SELECT source, target, relation_type, reason FROM bridge UNION ALL SELECT source, target, 'contains', 'relation_id records Part to Order' FROM again)
+SELECT source, target, relation_type, count(*) AS evidence_count, string_agg(reason, '; ' ORDER BY reason) AS reasons FROM every GROUP BY ALL""",
 )
 def relation_dedupe(spark, sf_dir):
-    return bridge_relations(spark, sf_dir).select("source", "target", "relation_type", F.size("evidence").alias("evidence_count"))
+    """A third relation table records some pairs again, the other way round: one relation with two proofs."""
+    catalog, lines = views.catalog(spark, sf_dir, "orders", "part", "supplier", "customer"), views.read(spark, sf_dir, "lineitem")
+    again = lines.where("l_linenumber <= 2").select(
+        F.col("l_partkey").alias("left_id"), F.col("l_orderkey").alias("right_id"), F.lit("Part").alias("left_class"), F.lit("Order").alias("right_class"),
+    )
+    tables = det.find_relation_tables({**views.relation_tables(spark, sf_dir), "relation_id": again})
+    merged = det.relation_table_edges(tables, docs.build_documents(catalog), views.ORIENTATION)
+    reasons = F.array_join(F.array_sort(F.transform("evidence", lambda e: e["reason"])), "; ")
+    return merged.select("source", "target", "relation_type", F.size("evidence").alias("evidence_count"), reasons.alias("reasons"))
 
 
 _STRONG = f"WITH {FK}, {BRIDGE}, strong AS (SELECT DISTINCT least(source, target) AS low, greatest(source, target) AS high FROM (SELECT source, target FROM fk UNION ALL SELECT source, target FROM bridge)) "

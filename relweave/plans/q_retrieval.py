@@ -188,8 +188,8 @@ def top_k_per_source(spark, sf_dir):
 # Judgement, over representatives of the passage plan.
 
 
-def judged(spark, sf_dir):
-    """Everything the passage plan leads to, up to expanded weak relations."""
+def found_candidates(spark, sf_dir):
+    """Documents, plan, signature members, representatives and their keyword candidates."""
     catalog = views.catalog(spark, sf_dir, "benchmark", "documents")
     documents = materialize(docs.signed(docs.build_documents(catalog)), "documents")
     rows = planning.validate_plans(planning.plans_frame(spark, [views.PASSAGE_PLAN]), catalog)
@@ -198,17 +198,26 @@ def judged(spark, sf_dir):
     leaders = docs.representatives(documents, groups)
     sources, targets = retrieval.plan_texts(leaders, rows, "source"), retrieval.plan_texts(leaders, rows, "target")
     found, _ = _keyword(sources, targets, rows)
-    pairs = judging.candidate_pairs(found, rows, leaders)
-    return documents, rows, members, pairs
+    return documents, rows, members, leaders, found
+
+
+def judged(spark, sf_dir):
+    """Everything the passage plan leads to, up to expanded weak relations."""
+    documents, rows, members, leaders, found = found_candidates(spark, sf_dir)
+    return documents, rows, members, judging.candidate_pairs(found, rows, leaders)
 
 
 @query(
     "validate_groups",
-    f"WITH {PASSAGES} SELECT 'benchmark:' || sid AS source_id, count(*) AS candidate_count, true AS is_valid FROM cand GROUP BY 1",
+    f"""WITH {PASSAGES} SELECT 'benchmark:' || sid AS source_id, count(*) AS candidate_count, bool_and(source IS DISTINCT FROM 'src3') AS is_valid
+FROM cand JOIN documents ON doc_id = tid GROUP BY 1""",
 )
 def validate_groups(spark, sf_dir):
-    _, _, _, pairs = judged(spark, sf_dir)
-    return judging.validate_groups(pairs).drop("plan_id")
+    """Groups are refused when a candidate lacks a planned dimension: here the documents of one source do."""
+    _, rows, _, leaders, found = found_candidates(spark, sf_dir)
+    lacking = F.coalesce(F.col("display_name") == "src3", F.lit(False))
+    fewer = F.when(lacking, F.map_filter("dimensions", lambda name, _: name != "lang")).otherwise(F.col("dimensions"))
+    return judging.validate_groups(judging.candidate_pairs(found, rows, leaders.withColumn("dimensions", fewer))).drop("plan_id")
 
 
 @query(
@@ -257,15 +266,33 @@ def english_judge(request: dict) -> dict:
     return {"decisions": decisions}
 
 
+def moody_judge(request: dict) -> dict:
+    """The same judge, without an answer for sources whose key ends in 5."""
+    if request["source"]["entity_id"].endswith("5"):
+        raise RuntimeError("no answer")
+    return english_judge(request)
+
+
+def answers_in_time(pairs):
+    """Sources whose key ends in 3 come after the deadline."""
+    requests, late = judging.judge_requests(pairs), F.col("source_id").endswith("3")
+    in_time = judging.ask_judge(requests.where(~late), moody_judge)
+    return in_time.union(judging.ask_judge(requests.where(late), moody_judge, deadline=0.0))
+
+
 def _answers(spark, sf_dir):
     documents, rows, members, pairs = judged(spark, sf_dir)
-    answers = judging.ask_judge(judging.judge_requests(pairs), english_judge)
-    return documents, rows, members, answers
+    return documents, rows, members, answers_in_time(pairs)
+
+
+_OUTCOME = "CASE WHEN ends_with(CAST(sid AS VARCHAR), '3') THEN 'pending' WHEN ends_with(CAST(sid AS VARCHAR), '5'){} THEN 'failed' ELSE 'completed' END"
+#: The status of a group before and after its answer is checked: a contradiction fails it.
+ANSWERED, CHECKED = _OUTCOME.format(""), _OUTCOME.format(" OR ends_with(CAST(sid AS VARCHAR), '7')")
 
 
 @query(
     "judge_candidates",
-    f"WITH {PASSAGES} SELECT 'benchmark:' || sid AS source_id, count(*) AS candidate_count, 'completed' AS status FROM cand GROUP BY 1",
+    f"WITH {PASSAGES} SELECT 'benchmark:' || sid AS source_id, count(*) AS candidate_count, {ANSWERED} AS status FROM cand GROUP BY sid",
 )
 def judge_candidates(spark, sf_dir):
     return _answers(spark, sf_dir)[3].select("source_id", "candidate_count", "status")
@@ -274,7 +301,7 @@ def judge_candidates(spark, sf_dir):
 @query(
     "validate_judgements",
     f"""WITH {PASSAGES} SELECT 'benchmark:' || sid AS source_id, 'documents:' || tid AS target_id, 0.94::DOUBLE AS confidence FROM approved
-WHERE NOT ends_with(CAST(sid AS VARCHAR), '7')""",
+WHERE {CHECKED} = 'completed'""",
 )
 def validate_judgements(spark, sf_dir):
     _, rows, _, answers = _answers(spark, sf_dir)
@@ -283,9 +310,10 @@ def validate_judgements(spark, sf_dir):
 
 @query(
     "outcome_counts",
-    f"""WITH {PASSAGES}, g AS (SELECT sid, count(*) AS n, ends_with(CAST(sid AS VARCHAR), '7') AS bad FROM cand GROUP BY 1)
-SELECT count(*) FILTER (NOT bad) AS completed_groups, coalesce(sum(n) FILTER (NOT bad), 0) AS completed_candidates, count(*) FILTER (bad) AS failed_groups,
-  coalesce(sum(n) FILTER (bad), 0) AS failed_candidates, 0 AS pending_groups, 0 AS pending_candidates FROM g""",
+    f"""WITH {PASSAGES}, g AS (SELECT sid, count(*) AS n, {CHECKED} AS status FROM cand GROUP BY 1)
+SELECT """ + ", ".join(
+        f"count(*) FILTER (status = '{s}') AS {s}_groups, coalesce(sum(n) FILTER (status = '{s}'), 0) AS {s}_candidates" for s in ("completed", "failed", "pending")
+    ) + " FROM g",
 )
 def outcome_counts(spark, sf_dir):
     from relweave.operators import graph

@@ -137,7 +137,7 @@ def eligible_tables(spark, sf_dir):
     return profile.eligible_tables(_with_lines(spark, sf_dir))
 
 
-_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "FLOAT[]": "array<float>"}
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "FLOAT[]": "array<float>", "TIMESTAMP": "timestamp_ntz"}
 
 
 def _fingerprint_sql() -> str:

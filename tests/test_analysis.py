@@ -145,3 +145,14 @@ def test_plans_meet_documents_without_a_join(spark):
     texts = retrieval.plan_texts(documents, rows, "source")
     assert texts.count() == 6
     assert "Join" not in texts._jdf.queryExecution().toString() and "Exchange" not in texts._jdf.queryExecution().toString()
+
+
+def test_a_catalog_that_changed_is_refused(spark):
+    from relweave.plans.discovery import analyze
+    from relweave.sources.catalog import Catalog, EntityTable
+
+    rows = spark.createDataFrame([(1, "n", "A")], "id int, name string, class_name string")
+    catalog = Catalog.of([EntityTable("a", rows, ("id",))])
+    assert analyze(catalog, fingerprint=catalog.fingerprint()).documents.count() == 1
+    with pytest.raises(ValueError, match="changed"):
+        analyze(catalog, fingerprint="sha256:0")
