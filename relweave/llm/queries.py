@@ -137,7 +137,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 50 bytes that an earlier document has."""
-    return repeated_substrings.repeats(read(spark, sf_dir, "documents")).drop("kept")
+    return repeated_substrings.repeats(read(spark, sf_dir, "documents"), with_kept=False)
 
 
 @query

@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relweave.llm.words import Texts, chunks, mix, running_sums, span_codes, texts_of
+from relweave.llm.words import Texts, chunks, mix, span_codes, texts_of
 
 #: Bytes of a repeated string.
 LENGTH = 50
@@ -99,6 +99,7 @@ class Shard:
     def __init__(self, rows: pa.Table, buckets: int):
         self.buckets = buckets
         self.ids, self.texts, parts, base = [], [], [], 0
+        self.edges = [0]  # where the pieces of about CHUNK_BYTES begin that arrays of every byte or window are made for
         for batch in rows.combine_chunks().to_batches():
             for chunk in chunks(batch):
                 texts = texts_of(chunk.column("text"))
@@ -107,6 +108,7 @@ class Shard:
                 self.texts.append(texts)
                 parts.append((found, base, sum(map(len, self.ids[:-1]))))
                 base += len(texts.data)
+                self.edges.append(base)
         fields = [
             np.concatenate([getattr(a, f) + shift for a, *shifts in parts for shift in [_shift(f, *shifts)]] or [np.zeros(0, np.int64)])
             for f in Anchors._fields
@@ -139,9 +141,10 @@ class Shard:
         """Find the distinct suffix tuples of the shared anchors."""
         self.chosen = np.flatnonzero(self.answered(replies))
         a = self.anchors
-        first, last = a.first[self.chosen], a.last[self.chosen] + LENGTH
-        prepared = running_sums(self.data)
-        code = span_codes(self.data, first, last, prepared)
+        code = np.zeros(len(self.chosen), dtype=np.uint64)
+        for begin, end, some in self._pieces():
+            own = self.chosen[some]
+            code[some] = span_codes(self.data[begin:end], a.first[own] - begin, a.last[own] + LENGTH - begin)
         order = np.lexsort((code, self.key[self.chosen] >> np.uint64(32)))
         bucket, code = (self.key[self.chosen] >> np.uint64(32))[order], code[order]
         fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])]) if len(order) else np.zeros(0, bool)
@@ -155,6 +158,12 @@ class Shard:
         self.bits = np.cumsum(windows) - windows
         self.windows = windows
 
+    def _pieces(self) -> Iterator[tuple[int, int, slice]]:
+        """First and last byte of each piece, and which of the chosen anchors stand for its windows."""
+        at = np.searchsorted(self.anchors.first[self.chosen], self.edges)
+        for k in range(len(self.edges) - 1):
+            yield self.edges[k], self.edges[k + 1], slice(int(at[k]), int(at[k + 1]))
+
     def packed(self) -> Iterator[dict]:
         a = self.anchors
         for bucket, begin, end in _slices(self.bucket):
@@ -175,16 +184,19 @@ class Shard:
         for bucket, begin, end in _slices(self.bucket):
             low, high = self.bits[begin], self.bits[end - 1] + self.windows[end - 1]
             bits[low:high] = np.unpackbits(np.frombuffer(replies[bucket], np.uint8), count=high - low)
-        a, chosen = self.anchors, self.chosen
-        count = self.windows[self.tuple_of] if len(chosen) else np.zeros(0, np.int64)
-        inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        gone = bits[np.repeat(self.bits[self.tuple_of], count) + inner] if len(chosen) else np.zeros(0, bool)
-        gone |= np.repeat(self.id[a.text[chosen]] > self.smallest[self.tuple_of], count) if len(chosen) else False
-        start = (np.repeat(a.first[chosen], count) + inner)[gone]
-        edge = np.zeros(len(self.data) + 1, dtype=np.int32)
-        edge[: len(self.data)] += np.bincount(start, minlength=len(self.data)).astype(np.int32)[: len(self.data)]
-        edge -= np.bincount(start + LENGTH, minlength=len(self.data) + 1).astype(np.int32)
-        return np.cumsum(edge[:-1]) > 0
+        a, out = self.anchors, np.zeros(len(self.data), dtype=bool)
+        for begin, end, some in self._pieces():
+            chosen, tuple_of = self.chosen[some], self.tuple_of[some]
+            if not len(chosen):
+                continue
+            count = self.windows[tuple_of]
+            inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            gone = bits[np.repeat(self.bits[tuple_of], count) + inner]
+            gone |= np.repeat(self.id[a.text[chosen]] > self.smallest[tuple_of], count)
+            start = (np.repeat(a.first[chosen] - begin, count) + inner)[gone]
+            edge = np.bincount(start, minlength=end - begin + 1) - np.bincount(start + LENGTH, minlength=end - begin + 1)
+            out[begin:end] = np.cumsum(edge[:-1]) > 0
+        return out
 
 
 def _shift(field: str, bytes_before: int, texts_before: int):
@@ -332,12 +344,13 @@ def _unpacked(row: dict, number: int) -> tuple[np.ndarray, int]:
     return out, int(windows.sum())
 
 
-def repeats(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
+def repeats(documents: DataFrame, shard_bytes: int = SHARD_BYTES, with_kept: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if wanted kept (the remaining bytes)."""
     total = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(total) // shard_bytes + 1
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
-    rows = documents.select("doc_id", known.alias("id"), "text", F.pmod(F.xxhash64(known), F.lit(shards)).alias("shard"))
+    dealt_by = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit("no id"))).otherwise(F.xxhash64(known))  # they take no bytes from others
+    rows = documents.select("doc_id", known.alias("id"), "text", F.pmod(dealt_by, F.lit(shards)).alias("shard"))
     dealt = rows.groupBy("shard")
 
     def send(key, table):
@@ -374,8 +387,8 @@ def repeats(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         with tempfile.TemporaryDirectory() as folder:
             queue = SuffixQueue(folder)
             sizes = []
-            for number, row in enumerate(table.to_pylist()):
-                tuples, windows = _unpacked(row, number)
+            for number in range(table.num_rows):
+                tuples, windows = _unpacked({c: table.column(c)[number].as_py() for c in table.column_names}, number)
                 sizes.append(windows)
                 queue.push(tuples)
             offset = np.cumsum([0, *sizes])
@@ -395,11 +408,11 @@ def repeats(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     def cut(key, table, replies):
         shard = Shard(table, shards)
         shard.tuples(_by_bucket(replies, 1))
-        return _cut(table, shard, shard.removed(_by_bucket(replies, 2)))
+        done = _cut(table, shard, shard.removed(_by_bucket(replies, 2)), with_kept)
+        return done if with_kept else done.drop_columns(["kept"])
 
-    return dealt.cogroup(known_anchors.union(found).groupBy("shard")).applyInArrow(
-        cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+    columns = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    return dealt.cogroup(known_anchors.union(found).groupBy("shard")).applyInArrow(cut, columns)
 
 
 REPLY = "shard long, bucket long, step int, bits binary"
@@ -422,17 +435,19 @@ def _by_bucket(replies: pa.Table, step: int) -> dict[int, bytes]:
     return {bucket: bits for of, bucket, bits in rows if of == step}
 
 
-def _cut(table: pa.Table, shard: Shard, gone: np.ndarray) -> pa.Table:
+def _cut(table: pa.Table, shard: Shard, gone: np.ndarray, with_kept: bool) -> pa.Table:
     edges = np.cumsum([0, *(int(n) for t in shard.texts for n in np.diff(t.offsets))])
-    kept, removed, spans = [], [], []
+    kept, digests, removed, spans = [], [], [], []
     for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         out = gone[begin:end]
-        kept.append(shard.data[begin:end][~out].tobytes())
+        rest = shard.data[begin:end][~out].tobytes()
+        digests.append(hashlib.sha256(rest).hexdigest())
+        kept.append(rest if with_kept else None)
         removed.append(int(out.sum()))
         spans.append(int((out[1:] & ~out[:-1]).sum()) + int(out[:1].sum()))
     ids = table.combine_chunks().column("doc_id")
     return pa.table({
         "doc_id": ids, "n_bytes": pa.array(np.diff(edges), pa.int64()), "n_removed": pa.array(removed, pa.int64()),
         "n_spans": pa.array(spans, pa.int64()),
-        "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept": pa.array(kept, pa.binary()),
+        "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.binary()),
     })
