@@ -152,18 +152,33 @@ def presentations(nodes: DataFrame, node_degrees: DataFrame) -> DataFrame:
     return shown.select("id", "table_id", "class_name", "primary", "secondary", label.alias("accessible_label"), "search_text", "is_duplicate")
 
 
+def search_words(query: str) -> list[str]:
+    return unicodedata.normalize("NFKC", query).lower().split()
+
+
+def searched_text() -> Column:
+    """What a search looks at: name, second line, class and id."""
+    return search_norm(F.concat_ws(" ", "primary", F.nullif(F.col("secondary"), F.lit("")), F.nullif(F.col("class_name"), F.lit("")), "id"))
+
+
 def node_search(shown: DataFrame, query: str) -> DataFrame:
-    """Nodes whose name, second line, class or id contains any word of the query; none for a blank one."""
-    words = unicodedata.normalize("NFKC", query).lower().split()
+    """Nodes whose name, second line, class or id contains any word of the query; none for a blank one.
+
+    This scans all nodes; ``search_index`` answers the same from postings.
+    """
+    words = search_words(query)
     if not words:
         return shown.limit(0)
-    text = search_norm(F.concat_ws(" ", "primary", F.nullif(F.col("secondary"), F.lit("")), F.nullif(F.col("class_name"), F.lit("")), "id"))
-    found = shown.withColumns({"_text": text, "_name": search_norm(F.col("primary"))})
+    return found_in_order(shown.withColumn("_text", searched_text()), words)
+
+
+def found_in_order(texts: DataFrame, words: list[str]) -> DataFrame:
+    """The nodes whose ``_text`` contains any of the words, by name."""
     any_word = F.lit(False)
     for word in words:
         any_word = any_word | F.contains(F.col("_text"), F.lit(word))
-    ordered = found.where(any_word).orderBy(F.collate(F.col("_name"), "UNICODE"), F.collate(F.col("id"), "UNICODE"))
-    return ordered.drop("_text", "_name")
+    found = texts.withColumn("_name", search_norm(F.col("primary"))).where(any_word)
+    return found.orderBy(F.collate(F.col("_name"), "UNICODE"), F.collate(F.col("id"), "UNICODE")).drop("_text", "_name")
 
 
 def label_lists(edges: DataFrame, keys: list[str]) -> DataFrame:

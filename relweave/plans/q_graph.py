@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from relweave.operators import documents as docs, explore, factored, graph, judging, ranking, relations as rel
+from relweave.operators import documents as docs, explore, factored, graph, judging, ranking, relations as rel, search_index
 from relweave.operators.deterministic import fk_edges
 from relweave.operators.judging import JUDGED_METHOD
 from relweave.plans import views
@@ -459,6 +459,28 @@ def node_search(spark, sf_dir):
     return explore.node_search(explore.named_nodes(stored_graph(spark, sf_dir)[0]), "  Widget \n NATION_1 ").select("id", "primary", "secondary")
 
 
+def _search_index(spark, sf_dir):
+    return search_index.build(explore.named_nodes(nodes_of(spark, sf_dir)), f"{application_folder(spark)}/search-{uuid.uuid4().hex}")
+
+
+@query("indexed_node_search", ORACLE["node_search"])
+def indexed_node_search(spark, sf_dir):
+    """``node_search`` from trigram postings."""
+    return search_index.node_search(spark, _search_index(spark, sf_dir), "  Widget \n NATION_1 ").select("id", "primary", "secondary")
+
+
+@query(
+    "indexed_short_search",
+    graph_sql(
+        """SELECT id, "primary" FROM shown WHERE contains(lower(concat_ws(' ', "primary", nullif(secondary, ''), class_name, id)), 'n7')
+  OR contains(lower(concat_ws(' ', "primary", nullif(secondary, ''), class_name, id)), 'q')""", SHOWN,
+    ),
+)
+def indexed_short_search(spark, sf_dir):
+    """Words of two letters and one."""
+    return search_index.node_search(spark, _search_index(spark, sf_dir), "N7 q").select("id", "primary")
+
+
 _CHAIN = """lab AS (SELECT edge_id, a, b, string_agg(DISTINCT label, ' · ' ORDER BY label) AS labels FROM edge GROUP BY ALL)"""
 
 
