@@ -1,9 +1,14 @@
 """Near-duplicate embeddings by a forest of random-projection trees with spill overlap.
 
 A tree splits the vectors of a node along a random direction; each child gets one side of the median and a
-margin of the other side, so near vectors are seldom parted.  A node whose vectors already point one way is
-not split, since any split would part near neighbours.  Trees are fitted on the driver, on a sample of at most
-about ``SAMPLE`` vectors; every vector of the table is then sent down every tree.
+margin of the other side.  The margin follows from how far vectors that link can lie apart against how far the node's
+vectors do, so near vectors are seldom parted in narrow nodes either.  A node whose mean cosine is that of a link is not
+split: there, most pairs are links.  Trees are fitted on the driver, on a sample of at most about ``SAMPLE`` vectors; every vector of
+the table is then sent down every tree.  Leaves that are still too full are split further by Spark jobs, each
+by trees fitted on a sample of its own, until all are small; a large leaf is cut into blocks for that.
+
+Each length of vectors has trees of its own, so vectors of two models do not meet; lengths too rare for the sample have one
+leaf.  Vectors are scaled by their largest component before anything is squared.
 
 Vectors of a leaf are compared by cosine in double precision.  A leaf of more than ``BLOCK`` vectors is cut into
 blocks and each pair of blocks is a task of its own, so no group is held at once however large a leaf is.  A pair
@@ -11,13 +16,14 @@ that shares several leaves counts in the first of them only.  Tasks return numbe
 spanning forest of what they linked; linked pairs are never listed.
 
 Equal vectors are compared once and counted with their number.  Vectors that are null, zero, or hold null or
-non-finite components, or are of another length than most, link with nothing.  Of rows with equal ids and vectors
+non-finite components link with nothing, and vectors of different lengths not with each other.  Of rows with equal ids and vectors
 each counts as a vector; a row without an id is not compared, and has itself no component.  Empty tables give no rows;
 other columns are ignored.  The search is approximate by its nature; ``tests/llm`` measures its recall.
 """
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from relweave.llm.tables import keep
 from relweave.operators.explore import smallest_reachable
+from relweave.operators.ranking import top_k
 
 #: Cosine of a link.
 THRESHOLD = 0.9
@@ -34,10 +41,13 @@ TREES = 8
 SAMPLE = 60_000
 #: Vectors of the table a leaf should have.
 LEAF = 400
-#: Share of a node's vectors on the other side of the median that a child gets too.
-SPILL = 0.07
-#: Mean cosine within a node from which it is not split.
-TIGHT = 0.4
+#: Part of the distance of linked vectors that the overlap of two children is wide.
+OVERLAP = 0.8
+#: A leaf of the table is split further beyond so many times ``LEAF`` vectors, on a sample of so many of them.
+OVERFULL = 8
+LEAF_SAMPLE = 4_096
+#: Vectors of one task of that.
+SPLIT_BLOCK = 50_000
 #: Vectors of a leaf that are compared at once.
 BLOCK = 1_500
 #: Smallest number of sampled vectors of a leaf.
@@ -54,7 +64,19 @@ class Tree(NamedTuple):
     right: np.ndarray
 
 
-def grow(vectors: np.ndarray, generator: np.random.Generator, leaf: int, first_leaf: int) -> tuple[Tree, np.ndarray, int]:
+def spill(spread: float, threshold: float) -> float:
+    """Share of a node's vectors that a child gets from the other side of the median.
+
+    ``spread`` is one less the node's mean cosine.  In a random direction linked vectors differ by as much of the node's deviation
+    as their distance is of its spread; the overlap is a part of that, and its share that of a normal distribution.
+    """
+    width = OVERLAP * math.sqrt(2 * (1 - threshold) / max(spread, 1e-9))
+    return 0.5 * math.erf(width / 2 / math.sqrt(2))
+
+
+def grow(
+    vectors: np.ndarray, generator: np.random.Generator, leaf: int, first_leaf: int, threshold: float = THRESHOLD
+) -> tuple[Tree, np.ndarray, int]:
     """One tree on unit vectors, its directions, and the next free leaf number."""
     rows, directions = [], []
 
@@ -63,10 +85,12 @@ def grow(vectors: np.ndarray, generator: np.random.Generator, leaf: int, first_l
         here = len(rows)
         rows.append([-1, 0.0, 0.0, first_leaf, -1])
         mean = vectors[members].mean(axis=0)
-        if len(members) > leaf and float(mean @ mean) < TIGHT:
+        spread = 1 - float(mean @ mean)
+        if len(members) > leaf and spread > 1 - threshold:
             direction = generator.standard_normal(vectors.shape[1])
             cast = vectors[members] @ direction
-            high, low = np.quantile(cast, [0.5 - SPILL, 0.5 + SPILL])
+            margin = spill(spread, threshold)
+            high, low = np.quantile(cast, [0.5 - margin, 0.5 + margin])
             if low > high:
                 directions.append(direction)
                 number = len(directions) - 1
@@ -104,56 +128,113 @@ def leaves_of(vectors: np.ndarray, tree: Tree, directions: np.ndarray) -> tuple[
 def _unit(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     vectors = flat.reshape(len(column), -1)
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def _usable(vector: str):
-    squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)) & (squares > 0) & (squares < float("inf"))
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(F.col(vector).isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def _fitted(points: np.ndarray, trees: int, seed: int, leaf: int, free: int, threshold: float) -> tuple[list[tuple], int]:
+    forest = []
+    for k in range(trees):
+        tree, directions, free = grow(points, np.random.default_rng([seed, k]), leaf, free, threshold)
+        forest.append((tuple(tree), directions))
+    return forest, free
 
 
-def _forest(vectors: DataFrame, trees: int, seed: int) -> list[tuple]:
+def _forest(vectors: DataFrame, trees: int, seed: int, threshold: float) -> dict[int, list[tuple]]:
+    """For each length of vectors its trees.  Their leaves are numbered from 1 on, through all of them."""
     total = vectors.count()
     share = min(1.0, SAMPLE / max(total, 1))
     # Cut by a hash, so that a second run takes the same vectors.
     sample = vectors.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < share * (1 << 30)).orderBy("node").select("embedding").toArrow()
-    if not sample.num_rows:
-        return []
-    points = _unit(sample.column("embedding").combine_chunks())
-    leaf = max(LEAST_SAMPLED, int(LEAF * len(points) / total))
-    forest, free = [], 0
-    for k in range(trees):
-        tree, directions, free = grow(points, np.random.default_rng([seed, k]), leaf, free)
-        forest.append((tuple(tree), directions))
+    column, forest, free = sample.column("embedding").combine_chunks(), {}, 1
+    sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
+    for size in np.unique(sizes).tolist():
+        points = _unit(column.filter(pa.array(sizes == size)))
+        leaf = max(LEAST_SAMPLED, int(LEAF * share))
+        if len(points) > leaf:
+            forest[size], free = _fitted(points, trees, seed, leaf, free, threshold)
     return forest
 
 
-def _placed(vectors: DataFrame, forest: list[tuple]) -> DataFrame:
-    """node, copies, embedding, leaf, leaves: a row for each leaf of each vector."""
+def _down(unit: np.ndarray, forest: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Vector and leaf of every place in a forest, by vector."""
+    found = [leaves_of(unit, Tree(*tree), directions) for tree, directions in forest]
+    which, leaf = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order = np.lexsort((leaf, which))
+    return which[order], leaf[order]
+
+
+def _placed(vectors: DataFrame, forest: dict[int, list[tuple]]) -> DataFrame:
+    """node, copies, embedding, leaf: a row for each leaf of each vector.  A length without trees is one leaf, below zero."""
     shared = vectors.sparkSession.sparkContext.broadcast(forest)
 
     def place(batches):
         for batch in batches:
             for begin in range(0, len(batch), 2_000):
                 part = batch.slice(begin, 2_000)
-                unit = _unit(part.column("embedding"))
-                found = [leaves_of(unit, Tree(*tree), directions) for tree, directions in shared.value]
-                which = np.concatenate([w for w, _ in found])
-                leaf = np.concatenate([x for _, x in found])
-                order = np.lexsort((leaf, which))
-                which, leaf = which[order], leaf[order]
-                counts = np.bincount(which, minlength=len(part))
-                places = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                lists = pa.ListArray.from_arrays(places, pa.array(leaf, pa.int32()))
-                rows = pa.array(which)
-                yield pa.RecordBatch.from_pydict({
-                    **{c: part.column(c).take(rows) for c in ("node", "copies", "embedding")},
-                    "leaf": pa.array(leaf, pa.int32()), "leaves": lists.take(rows),
-                })
-
-    return vectors.select("node", "copies", "embedding").mapInArrow(
-        place, f"node long, copies long, embedding {vectors.schema['embedding'].dataType.simpleString()}, leaf int, leaves array<int>"
-    )
+                sizes = np.diff(part.column("embedding").offsets.to_numpy())
+                for size in np.unique(sizes).tolist():
+                    own = part.filter(pa.array(sizes == size))
+                    if size in shared.value:
+                        which, leaf = _down(_unit(own.column("embedding")), shared.value[size])
+                    else:
+                        which, leaf = np.arange(len(own)), np.full(len(own), -size)
+                    yield _rows(own, which, leaf)
+
+    return vectors.select("node", "copies", "embedding").mapInArrow(place, _schema(vectors))
+
+
+def _schema(vectors: DataFrame) -> str:
+    return f"node long, copies long, embedding {vectors.schema['embedding'].dataType.simpleString()}, leaf long, solid boolean"
+
+
+def _rows(part: pa.RecordBatch, which: np.ndarray, leaf: np.ndarray, solid: bool = False) -> pa.RecordBatch:
+    rows = pa.array(which)
+    return pa.RecordBatch.from_pydict({
+        **{c: part.column(c).take(rows) for c in ("node", "copies", "embedding")}, "leaf": pa.array(leaf, pa.int64()), "solid": pa.array([solid] * len(which)),
+    })
+
+
+def _refined(placed: DataFrame, seed: int, threshold: float) -> DataFrame:
+    """The rows with leaves of about ``LEAF`` vectors: fuller ones are split again and again, unless nothing parts their vectors."""
+    for level in range(1, 4):
+        sizes = placed.where("NOT solid").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVERFULL * LEAF)
+        full = keep(sizes.select("leaf", F.ceil(F.col("n") / SPLIT_BLOCK).cast("int").alias("blocks")), "full-leaves")
+        if full.isEmpty():
+            break
+        rows = placed.join(full, "leaf")
+        sample = top_k(rows, ["leaf"], [F.xxhash64("node"), F.col("node")], LEAF_SAMPLE, "place").drop("place")
+        asked = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(level)), F.col("blocks")).cast("int"))
+        copies = sample.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+        def split(key: tuple, table: pa.Table, fitting: pa.Table) -> pa.Table:
+            leaf, shape = key[0].as_py(), pa.schema([*(table.schema.field(c) for c in ("node", "copies", "embedding")), ("leaf", pa.int64()), ("solid", pa.bool_())])
+            if not table.num_rows:
+                return shape.empty_table()
+            points = _unit(fitting.sort_by("fit_node").combine_chunks().column("fit_embedding").combine_chunks())
+            # A leaf of a tree takes part in one tree further down: every tree of the forest leads to it once already.
+            forest, free = _fitted(points, 1, (seed + leaf) % (1 << 31), max(LEAST_SAMPLED, min(LEAF, len(points) // 8)), 1, threshold)
+            batch = table.combine_chunks().to_batches()[0]
+            which, sub = _down(_unit(batch.column("embedding")), forest)
+            return pa.Table.from_batches([_rows(batch, which, (leaf << 12) + sub, free <= 2)]).cast(shape)
+
+        fitting = copies.select(*[F.col(c).alias(f"fit_{c}") for c in ("node", "embedding", "leaf", "block")])
+        groups = asked.select("node", "copies", "embedding", "leaf", "block").groupBy("leaf", "block")
+        below = groups.cogroup(fitting.groupBy("fit_leaf", "fit_block")).applyInArrow(split, _schema(placed))
+        rest = placed.join(full, "leaf", "left_anti").withColumn("leaf", F.shiftleft("leaf", 12)).select(below.columns)
+        placed = keep(rest.union(below), "placed")
+    return placed
+
+
+def _with_leaves(placed: DataFrame) -> DataFrame:
+    """The rows with all leaves of their vector in order; a vector is in a few leaves of each tree."""
+    leaves = placed.groupBy("node").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
+    return placed.drop("solid").join(leaves, "node")
 
 
 def _blocked(placed: DataFrame) -> DataFrame:
@@ -230,18 +311,16 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, trees: int
     vector = F.col("embedding").cast("array<float>" if single else "array<double>")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"))
     good = rows.where(F.col("vec_id").isNotNull() & _usable("embedding"))
-    common = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    good = good.where(F.size("embedding") == (common["n"] if common else 0))
     key = F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x.cast("double") + 0.0).cast("string"))), 256)
     named = keep(good.withColumn("key", key), "vectors")
     distinct = keep(
         named.groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")), "distinct-vectors"
     )
-    forest = _forest(distinct, trees, seed)
+    placed = _refined(keep(_placed(distinct, _forest(distinct, trees, seed, threshold)), "placed"), seed, threshold)
     found = keep(
-        _blocked(keep(_placed(distinct, forest), "placed")).groupBy("leaf", "a", "b").applyInArrow(_compared(threshold), "node long, other long, links long"),
+        _blocked(keep(_with_leaves(placed), "placed-with-leaves")).groupBy("leaf", "a", "b").applyInArrow(_compared(threshold), "node long, other long, links long"),
         "vector-links",
-    ) if forest else embeddings.sparkSession.createDataFrame([], "node long, other long, links long")
+    )
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     members = named.select("vec_id", "key").join(distinct.select("key", "node", "copies"), "key")
     edges = found.where("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")).union(
