@@ -100,13 +100,71 @@ def text_sql(x: str, dtype: T.DataType) -> str:
         return _double_text(x)
     if isinstance(dtype, _TIMESTAMPS):
         return _timestamp_text(x, " ")
-    if isinstance(dtype, T.BinaryType):
-        return f"base64({x})"
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return f"to_json({x})"
+    if isinstance(dtype, (T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+        return f"if({x} IS NULL, NULL, {repr_sql(x, dtype)})"
     return f"CAST({x} AS STRING)"
 
 
+def repr_sql(x: str, dtype: T.DataType, depth: int = 0) -> str:
+    """SQL for a value as it stands inside a list or mapping in Python's notation; a struct is a mapping of its fields."""
+    item = f"v{depth}"
+    if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
+        shown = _quoted_text(x, item)
+    elif isinstance(dtype, T.BinaryType):
+        shown = _quoted_bytes(x, item)
+    elif isinstance(dtype, T.DecimalType):
+        shown = f"concat('Decimal(\\'', CAST({x} AS STRING), '\\')')"
+    elif isinstance(dtype, T.DateType):
+        shown = f"concat('datetime.date(', concat_ws(', ', year({x}), month({x}), day({x})), ')')"
+    elif isinstance(dtype, _TIMESTAMPS):
+        micro = f"CAST(date_format({x}, 'SSSSSS') AS INT)"
+        rest = f"if({micro} > 0, concat(', ', second({x}), ', ', {micro}), if(second({x}) > 0, concat(', ', second({x})), ''))"
+        shown = f"concat('datetime.datetime(', concat_ws(', ', year({x}), month({x}), day({x}), hour({x}), minute({x})), {rest}, ')')"
+    elif isinstance(dtype, T.ArrayType):
+        shown = f"concat('[', array_join(transform({x}, {item} -> {repr_sql(item, dtype.elementType, depth + 1)}), ', '), ']')"
+    elif isinstance(dtype, T.MapType):
+        entry = f"concat({repr_sql(f'{item}.key', dtype.keyType, depth + 1)}, ': ', {repr_sql(f'{item}.value', dtype.valueType, depth + 1)})"
+        shown = f"concat('{{', array_join(transform(map_entries({x}), {item} -> {entry}), ', '), '}}')"
+    elif isinstance(dtype, T.StructType):
+        parts = [f"concat({sql_text(repr(f.name) + ': ')}, {repr_sql(f'{x}.{column_ref(f.name)}', f.dataType, depth + 1)})" for f in dtype.fields]
+        shown = "concat('{', concat_ws(', ', " + ", ".join(parts) + "), '}')" if parts else "'{}'"
+    else:
+        shown = text_sql(x, dtype)
+    return f"if({x} IS NULL, 'None', {shown})"
+
+
+def _quote_of(single: str, double: str) -> str:
+    """Double quotes only around a text with single ones and no double one."""
+    return f"""if({single} AND NOT {double}, '"', '\\'')"""
+
+
+def _quoted_text(x: str, item: str) -> str:
+    quote = _quote_of(f"contains({x}, '\\'')", f"contains({x}, '\"')")
+    plain = f"replace({x}, '\\\\', '\\\\\\\\')"
+    for raw, shown in (("\\n", "n"), ("\\r", "r"), ("\\t", "t")):
+        plain = f"replace({plain}, '{raw}', '\\\\{shown}')"
+    plain = f"if({quote} = '\\'', replace({plain}, '\\'', '\\\\\\''), {plain})"
+    # Characters that are not printable, among them all spaces but the plain one, are shown by their number.
+    odd = "[\\\\p{C}\\\\p{Z}&&[^ ]]"
+    number = f"ascii({item}c)"
+    code = f"CASE WHEN {number} < 256 THEN format_string('\\\\x%02x', {number}) WHEN {number} < 65536 THEN format_string('\\\\u%04x', {number}) ELSE format_string('\\\\U%08x', {number}) END"
+    letters = f"transform(regexp_extract_all({item}p, '(?s).', 0), {item}c -> if(rlike({item}c, '{odd}'), {code}, {item}c))"
+    body = f"transform(array({plain}), {item}p -> if(rlike({item}p, '{odd}'), array_join({letters}, ''), {item}p))[0]"
+    return f"concat({quote}, {body}, {quote})"
+
+
+def _quoted_bytes(x: str, item: str) -> str:
+    each = f"transform(sequence(1, greatest(length({x}), 1)), {item}i -> CAST(conv(substring(hex({x}), 2 * {item}i - 1, 2), 16, 10) AS INT))"
+    single, double = f"array_contains({each}, 39)", f"array_contains({each}, 34)"
+    quote = _quote_of(single, double)
+    shown = (
+        f"CASE WHEN {item}b = 92 THEN '\\\\\\\\' WHEN {item}b = 10 THEN '\\\\n' WHEN {item}b = 13 THEN '\\\\r' WHEN {item}b = 9 THEN '\\\\t' "
+        f"WHEN {item}b = 39 AND {quote} = '\\'' THEN '\\\\\\'' WHEN {item}b BETWEEN 32 AND 126 THEN chr({item}b) ELSE format_string('\\\\x%02x', {item}b) END"
+    )
+    body = f"if(length({x}) = 0, '', array_join(transform({each}, {item}b -> {shown}), ''))"
+    return f"concat('b', {quote}, {body}, {quote})"
+
+
 def as_text(name: str, dtype: T.DataType) -> Column:
     """The text of a column's value, null for null."""
     return F.expr(text_sql(column_ref(name), dtype))

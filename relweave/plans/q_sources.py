@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from relweave.functions import identity, labels, text, vectors
-from relweave.functions.values import encoded_object
+from relweave.functions.values import as_text, encoded_object
 from relweave.operators import documents as docs, deterministic as det, ranking
 from relweave.operators.plans import RelationshipPlan, check_plans, plans_frame
 from relweave.plans import views
@@ -137,6 +137,21 @@ def eligible_tables(spark, sf_dir):
     return profile.eligible_tables(_with_lines(spark, sf_dir))
 
 
+@query(
+    "nested_values",
+    """SELECT event_id, '[''' || event_type || ''', ''' || user_id || ''', ' || CASE WHEN event_id % 3 = 0 THEN 'None' ELSE '"it''s"' END || ']' AS as_list,
+  '{''' || event_type || ''': [' || user_id || ', None]}' AS as_map, 'b''' || event_type || chr(92) || 'n''' AS as_bytes,
+  '{''kind'': ''' || event_type || ''', ''late'': ' || CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END || '}' AS as_fields FROM events""",
+)
+def nested_values(spark, sf_dir):
+    """The text of arrays, maps, bytes and structs."""
+    rows = views.read(spark, sf_dir, "events").selectExpr(
+        "event_id", "array(event_type, cast(user_id as string), if(event_id % 3 = 0, null, \"it's\")) as as_list", "map(event_type, array(user_id, null)) as as_map",
+        "encode(concat(event_type, '\\n'), 'utf-8') as as_bytes", "named_struct('kind', event_type, 'late', event_id % 2 = 0) as as_fields",
+    )
+    return rows.select("event_id", *[as_text(c, rows.schema[c].dataType).alias(c) for c in rows.columns[1:]])
+
+
 _TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "FLOAT[]": "array<float>", "TIMESTAMP": "timestamp_ntz"}
 
 
