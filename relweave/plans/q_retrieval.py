@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from relweave.functions.vectors import hashing_encoder, usable_vector, vector_norm
-from relweave.operators import cell_index, documents as docs, judging, plans as planning, ranking, retrieval, vector_search
+from relweave.operators import cell_index, documents as docs, index_store, judging, plans as planning, ranking, retrieval, vector_search
 from relweave.plans import views
-from relweave.session import materialize
+from relweave.session import application_folder, materialize
 from relweave.plans.oracle_views import PASSAGES, norm, tokens
 
 QUERIES = {}
@@ -298,6 +300,24 @@ def judge_candidates(spark, sf_dir):
     return _answers(spark, sf_dir)[3].select("source_id", "candidate_count", "status")
 
 
+_OF_PLAN = "SELECT '{0}' AS plan, 'benchmark:' || sid AS source_id, 'documents:' || tid AS target_id, rk AS rank FROM (WITH {1} SELECT * FROM cand)"
+
+
+@query("stored_candidates", " UNION ALL ".join(_OF_PLAN.format(k, PASSAGES.replace("<= 20", f"<= {k}")) for k in (20, 5)))
+def stored_candidates(spark, sf_dir):
+    """Two plans over one corpus of targets, the second time from the stored index."""
+    from dataclasses import replace
+
+    documents = materialize(docs.signed(docs.build_documents(views.catalog(spark, sf_dir, "benchmark", "documents"))), "documents")
+    leaders = docs.representatives(documents, docs.signature_groups(documents))
+    plans = [replace(views.PASSAGE_PLAN, candidate_limit=k, relation_type=f"passage_{k}") for k in (20, 5)]
+    rows, states = planning.plans_frame(spark, plans), index_store.document_states(leaders)
+    path = f"{application_folder(spark)}/indexes-{uuid.uuid4().hex}"
+    found = [index_store.candidates(index_store.IndexStore(spark, path), leaders, rows, states) for _ in range(2)][1]
+    of_plan = rows.select("plan_id", F.col("candidate_limit").cast("string").alias("plan"))
+    return found.where("target_id IS NOT NULL").join(of_plan, "plan_id").select("plan", "source_id", "target_id", "rank")
+
+
 @query(
     "validate_judgements",
     f"""WITH {PASSAGES} SELECT 'benchmark:' || sid AS source_id, 'documents:' || tid AS target_id, 0.94::DOUBLE AS confidence FROM approved

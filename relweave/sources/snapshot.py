@@ -20,6 +20,8 @@ from relweave.functions.values import encoded_object, typed_json
 from relweave.session import delete_folder
 
 PARTS = ("table_nodes", "entity_nodes", "table_edges", "table_edge_support", "relations", "diagnostics", "warnings")
+#: What ``relweave.operators.index_store`` commits in the same way.
+INDEX_PARTS = ("postings", "vectors")
 
 
 def public_json(df: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def legacy_json_value(df: DataFrame) -> DataFrame:
 def write_snapshot(parts: dict[str, DataFrame], path: str, format: str = "parquet") -> None:
     """One folder per part: Parquet for further queries, or JSON lines in the public encoding."""
     for name, df in parts.items():
-        if name not in PARTS:
+        if name not in PARTS + INDEX_PARTS:
             raise ValueError(f"unknown snapshot part {name}")
         if format == "json":
             public_json(df).write.mode("overwrite").text(f"{path}/{name}")
