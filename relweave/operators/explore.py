@@ -270,6 +270,11 @@ def table_edge_view(shown_tables: DataFrame, support: DataFrame, edges: DataFram
     ).withColumn("is_visible", relation_visible(F.col("strength"), F.col("confidence"), threshold))
     # Few distinct (label, strength, direction) per table edge: count them before gathering.
     kinds = resolved.groupBy("table_edge_id", "is_visible", "display_label", "strength", "direction").agg(F.count(F.lit(1)).alias("n"))
+    return table_view_of(shown_tables, kinds, threshold)
+
+
+def table_view_of(shown_tables: DataFrame, kinds: DataFrame, threshold: float) -> DataFrame:
+    """The view from the kinds of supporting relations: table_edge_id, display_label, strength, direction, is_visible."""
     visible = F.col("is_visible")
     summary = kinds.groupBy("table_edge_id").agg(
         F.bool_or("is_visible").alias("any_visible"),

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from relweave.operators import documents as docs, explore, factored, graph, judging, ranking, relations as rel, search_index
+from relweave.operators import documents as docs, explore, factored, graph, judging, ladder, ranking, relations as rel, search_index
 from relweave.operators.deterministic import fk_edges
 from relweave.operators.judging import JUDGED_METHOD
 from relweave.plans import views
@@ -334,6 +334,21 @@ def visible_edges(spark, sf_dir):
     return explore.visible_edges(edges_of(spark, sf_dir), THRESHOLD)
 
 
+_STEPS = (0.5, 0.94, THRESHOLD, 0.98)
+
+
+@query(
+    "ladder_visible_edges",
+    graph_sql("SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT {t}::DOUBLE AS threshold, edge_id, count(*) AS visible_count FROM edge WHERE strength = 'strong' OR confidence >= {t} GROUP BY ALL" for t in _STEPS
+    ) + ")"),
+)
+def ladder_visible_edges(spark, sf_dir):
+    """``visible_edges`` at several thresholds from one ladder."""
+    steps = materialize(ladder.edge_ladder(edges_of(spark, sf_dir)), "edge-ladder")
+    return union_all([ladder.visible_edges(steps, t).select(F.lit(t).alias("threshold"), "edge_id", "visible_count") for t in _STEPS])
+
+
 @query("project_graph", graph_sql("SELECT entity_id AS id, table_name AS table_id FROM ent WHERE entity_id IN (SELECT a FROM edge UNION ALL SELECT b FROM edge)"))
 def project_graph(spark, sf_dir):
     nodes, edges = stored_graph(spark, sf_dir)
@@ -521,6 +536,18 @@ def table_edge_view(spark, sf_dir):
     return explore.table_edge_view(shown, graph.table_edge_support(edges, shown), edges, THRESHOLD)
 
 
+@query(
+    "ladder_table_view",
+    graph_sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, * FROM ({_VIEW_SQL.format(threshold=t)})" for t in _STEPS) + ")", _TABLES_SQL),
+)
+def ladder_table_view(spark, sf_dir):
+    """``table_edge_view`` at several thresholds from the confidences of each kind of relation."""
+    edges = edges_of(spark, sf_dir)
+    shown = materialize(graph.table_edges(edges), "table-edges")
+    kinds = materialize(ladder.table_kinds(graph.table_edge_support(edges, shown), edges), "table-kinds")
+    return union_all([ladder.table_edge_view(shown, kinds, t).withColumn("threshold", F.lit(t)) for t in _STEPS])
+
+
 @query(
     "drill_down",
     graph_sql(
