@@ -98,7 +98,7 @@ class Version:
         return {name: reader.schema(schema).load(f"{self.folder}/{name}") for name, schema in schemas.items()}
 
 
-class _Files:
+class Files:
     """The few file operations of a commit, through the file system that Spark uses for the folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -123,7 +123,11 @@ class _Files:
         finally:
             stream.close()
 
+    def make_folder(self, name: str) -> None:
+        self._fs.mkdirs(self.path(name))
+
     def rename(self, old: str, new: str) -> bool:
+        """Whether the file got the new name; it does not when there is one of that name."""
         target = self.path(new)
         return not self._fs.exists(target) and self._fs.rename(self.path(old), target)
 
@@ -140,26 +144,26 @@ class _Files:
         return sorted(found)
 
 
-def _manifests(files: _Files, path: str) -> list[int]:
+def _manifests(files: Files, path: str) -> list[int]:
     return [int(name[:-5]) for name in files.names(f"{path}/manifests") if name.endswith(".json") and name[:-5].isdigit()]
 
 
 def current_version(spark: SparkSession, path: str) -> Version:
-    files = _Files(spark, path)
+    files = Files(spark, path)
     numbers = _manifests(files, path)
     if not numbers:
         raise NoSnapshot(path)
     return _version(files, path, max(numbers))
 
 
-def _version(files: _Files, path: str, number: int) -> Version:
+def _version(files: Files, path: str, number: int) -> Version:
     manifest = json.loads(files.read(f"{path}/manifests/{number:012d}.json"))
     return Version(number, f"{path}/{manifest['folder']}", manifest["format"], manifest["fingerprint"], manifest["schemas"])
 
 
 def commit_snapshot(spark: SparkSession, parts: dict[str, DataFrame], path: str, fingerprint: str, format: str = "parquet") -> Version:
     """Make the parts the current version.  Whatever fails on the way, the version before stays current and readable."""
-    files, name = _Files(spark, path), f"versions/{uuid.uuid4().hex}"
+    files, name = Files(spark, path), f"versions/{uuid.uuid4().hex}"
     number = max(_manifests(files, path), default=0) + 1
     manifest = {
         "folder": name, "format": format, "fingerprint": fingerprint, "schemas": {part: df.schema.jsonValue() for part, df in parts.items()},
@@ -168,7 +172,7 @@ def commit_snapshot(spark: SparkSession, parts: dict[str, DataFrame], path: str,
         write_snapshot(parts, f"{path}/{name}", format)
         staged = f"{path}/{name}/manifest"
         files.write(staged, json.dumps(manifest, ensure_ascii=False))
-        files._fs.mkdirs(files.path(f"{path}/manifests"))
+        files.make_folder(f"{path}/manifests")
         if not files.rename(staged, f"{path}/manifests/{number:012d}.json"):
             raise LostCommit(f"version {number} of {path}")
     except BaseException:
@@ -187,7 +191,7 @@ def open_snapshot(spark: SparkSession, path: str, fingerprint: str | None = None
 
 def remove_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
     """Remove all but the newest versions, manifests first, and tell which went.  Readers of a removed one fail."""
-    files = _Files(spark, path)
+    files = Files(spark, path)
     old = sorted(_manifests(files, path))[: -keep or None]
     for number in old:
         version = _version(files, path, number)
@@ -198,4 +202,4 @@ def remove_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[i
 
 def tables_state(spark: SparkSession, paths: list[str]) -> list[str]:
     """What tells one state of stored tables from another: their files with lengths and times."""
-    return [line for path in sorted(paths) for line in _Files(spark, path).states(path)]
+    return [line for path in sorted(paths) for line in Files(spark, path).states(path)]
