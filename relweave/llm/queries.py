@@ -72,13 +72,19 @@ def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals after all documents came, the same batch came again, and the toxic ones went."""
-    counts = keep(token_counts.counted(read(spark, sf_dir, "documents")), "token-counts")
-    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    """Token totals after all documents came, the same batch came again, the toxic ones went, and bad ones had their white space squeezed."""
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    counts = keep(token_counts.counted(documents), "token-counts")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    bad = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    squeezed = documents.join(bad, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"\s+", " "))
     rollup = token_counts.Rollup(spark)
     rollup.commit("all documents", token_counts.differences(inserted=counts))
     rollup.commit("all documents", token_counts.differences(inserted=counts))
     rollup.commit("toxic documents", token_counts.differences(deleted=counts.join(toxic, "doc_id", "left_semi")))
+    rollup.compact()
+    revised = token_counts.differences(inserted=token_counts.counted(squeezed), deleted=counts.join(bad, "doc_id", "left_semi"))
+    rollup.commit("squeezed documents", revised)
     return rollup.totals()
 
 

@@ -2,9 +2,9 @@
 
 Totals by source, language and tokenizer version are sums, so a batch of changes needs only its signed
 differences: an insert adds a document's counts, a delete takes them away, a revision does both.  ``commit`` adds a
-batch up by its keys and writes it as one folder named after the batch; the folder appears at once, by
-Spark's commit protocol and its success mark, and a batch that is there already is not applied again.  A job that died half-way
-leaves no success mark and is simply run again.  ``totals`` adds the committed batches up.
+batch up by its keys, writes it aside and makes it count by renaming a small mark, named after the batch, into place: a
+batch that is there already is not applied again, one of two writers wins, and a name used for other changes is refused.  A job that died
+half-way leaves no mark and is simply run again.  ``totals`` adds the committed batches up, and ``compact`` folds them into one.
 
 Counting is one pass over the texts in Arrow batches; what is shuffled is a row for each key and task.
 
@@ -16,14 +16,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
+from relweave.llm.tables import keep
 from relweave.llm.words import chunks
-from relweave.session import application_folder
+from relweave.session import application_folder, delete_folder
+from relweave.sources.snapshot import Files
 
 #: Vocabulary files of the tokenizers counted, by version; each line has a piece in base64 and its rank.
 TOKENIZERS = {"byte-bpe-50k": "/opt/tokenizers/byte_bpe_50k.tiktoken"}
@@ -36,6 +38,7 @@ PIECE_BYTES = 1 << 20
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens")
+TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -84,33 +87,72 @@ class Rollup:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or f"{application_folder(spark)}/token-rollup-{uuid.uuid4().hex}"
+        self._files = Files(spark, self.folder)
 
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+    def _marks(self, kind: str) -> list[str]:
+        return [name for name in self._files.names(self.folder) if name.startswith(f"{kind}-") and name.endswith(".json")]
 
-    def _store(self):
-        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _mark(self, name: str) -> dict:
+        return json.loads(self._files.read(f"{self.folder}/{name}"))
+
+    def _write(self, rows: DataFrame, name: str, **told) -> bool:
+        """Write rows aside and make them count by renaming a mark into place; False if there is one of that name."""
+        data = f"data/{uuid.uuid4().hex}"
+        rows.select(*KEYS, *SUMS).write.parquet(f"{self.folder}/{data}")
+        staged = f"{self.folder}/{data}/mark"
+        self._files.write(staged, json.dumps({"data": data, **told}))
+        if self._files.rename(staged, f"{self.folder}/{name}"):
+            return True
+        delete_folder(self.spark, f"{self.folder}/{data}")
+        return False
 
     def batches(self) -> list[str]:
-        """Ids of the committed batches."""
-        store = self._store()
-        if not store.exists(self._path("")):
-            return []
-        names = [s.getPath().getName() for s in store.listStatus(self._path(""))]
-        return sorted(n for n in names if store.exists(self._path(f"{n}/_SUCCESS")))
+        """Marks of the committed batches, folded ones too."""
+        return self._marks("batch")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply a batch once; False if it was applied before."""
-        name = f"batch-{hashlib.sha256(batch.encode()).hexdigest()}"
-        if name in self.batches():
-            return False
-        changes.select(*KEYS, *SUMS).write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        return True
-
-    def totals(self, schema: StructType | None = None) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens over all committed batches; keys whose documents all went are left out."""
-        paths = [f"{self.folder}/{b}" for b in self.batches()]
-        if not paths:
-            return self.spark.createDataFrame([], schema or "source string, lang string, tokenizer string, n_docs long, n_tokens long")
-        rows = self.spark.read.parquet(*paths)
+        """Apply a batch once; False if it was applied before.  A name that was used for other changes is refused."""
+        name = f"batch-{hashlib.sha256(batch.encode()).hexdigest()}.json"
+        changes = keep(changes.select(*KEYS, *SUMS), "token-changes")
+        digest = _digest(changes)
+        if name not in self.batches() and self._write(changes, name, digest=digest):
+            return True
+        if self._mark(name)["digest"] != digest:
+            raise ValueError(f"batch {batch!r} was committed with other changes")
+        return False
+
+    def _base(self) -> tuple[int, dict]:
+        """The newest fold of batches and its number; 0 if there is none."""
+        numbers = [int(name[len("base-") : -len(".json")]) for name in self._marks("base")]
+        if not numbers:
+            return 0, {"batches": []}
+        return max(numbers), self._mark(f"base-{max(numbers):012d}.json")
+
+    def compact(self) -> bool:
+        """Fold all committed batches into one frame of sums, so that totals read that and later ones; False if another was faster.
+
+        The marks stay, so a folded batch is still known; so does the data of batches, for readers that began before.
+        """
+        number, _ = self._base()
+        batches = self.batches()
+        return self._write(self._sums(batches), f"base-{number + 1:012d}.json", batches=batches)
+
+    def _sums(self, batches: list[str]) -> DataFrame:
+        _, base = self._base()
+        folders = [base["data"]] if "data" in base else []
+        folders += [self._mark(name)["data"] for name in batches if name not in set(base["batches"])]
+        if not folders:
+            return self.spark.createDataFrame([], TOTALS)
+        rows = self.spark.read.parquet(*[f"{self.folder}/{data}" for data in folders])
         return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 OR n_tokens <> 0")
+
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens over all committed batches; keys whose documents all went are left out."""
+        return self._sums(self.batches())
+
+
+def _digest(changes: DataFrame) -> str:
+    """Tells changes apart, whatever the order of their rows: one row for each key and batch is read."""
+    line = F.xxhash64(F.to_json(F.struct(*KEYS, *SUMS), {"ignoreNullFields": "false"}))
+    row = changes.agg(F.count(F.lit(1)), F.sum(line.cast("decimal(20,0)")), F.bit_xor(line)).first()
+    return " ".join(str(v) for v in row)
