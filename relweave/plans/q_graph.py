@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from relweave.operators import documents as docs, explore, factored, graph, judging, ladder, ranking, relations as rel, search_index
+from relweave.operators import adjacency, documents as docs, explore, factored, graph, judging, ladder, ranking, relations as rel, search_index
 from relweave.operators.deterministic import fk_edges
 from relweave.operators.judging import JUDGED_METHOD
 from relweave.plans import views
@@ -388,6 +388,27 @@ def one_hop_focus(spark, sf_dir):
     return explore.one_hop_focus(explore.adjacency_index(edges, THRESHOLD), selections)
 
 
+def laid_out(spark, sf_dir, threshold=None):
+    """The graph, or what is visible of it at a threshold, in bucketed tables."""
+    nodes, edges = stored_graph(spark, sf_dir)
+    seen = edges if threshold is None else explore.visible_relations(edges, threshold)
+    key = uuid.uuid4().hex
+    layout = adjacency.Layout(f"graph_{key}", f"{application_folder(spark)}/adjacency-{key}", 16)
+    return adjacency.lay_out(seen, explore.named_nodes(nodes), layout)
+
+
+@query("laid_out_focus", ORACLE["one_hop_focus"])
+def laid_out_focus(spark, sf_dir):
+    """``one_hop_focus`` from bucketed tables."""
+    layout = laid_out(spark, sf_dir, THRESHOLD)
+    return adjacency.one_hop_focus(spark, layout, layout.table(spark, "names").select(F.lit(None).cast("string").alias("hovered_id"), F.col("id").alias("selected_id")))
+
+
+@query("laid_out_degrees", graph_sql("SELECT id, table_id, degree FROM degree", DEGREE))
+def laid_out_degrees(spark, sf_dir):
+    return adjacency.degrees(spark, laid_out(spark, sf_dir))
+
+
 @query("degrees", graph_sql("SELECT id, table_id, degree FROM degree", DEGREE))
 def degrees(spark, sf_dir):
     return explore.degrees(*stored_graph(spark, sf_dir))
@@ -510,6 +531,12 @@ def node_detail(spark, sf_dir):
     return explore.node_detail(edges_of(spark, sf_dir), shown_of(spark, sf_dir))
 
 
+@query("laid_out_detail", ORACLE["node_detail"])
+def laid_out_detail(spark, sf_dir):
+    """``node_detail`` as a scan of a bucketed table."""
+    return adjacency.details(spark, laid_out(spark, sf_dir))
+
+
 @query(
     "node_chains",
     graph_sql(
