@@ -72,19 +72,20 @@ def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals after all documents came, the same batch came again, the toxic ones went, and bad ones had their white space squeezed."""
-    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    """Token totals after all documents came, the same batch came again, the toxic ones went, and a word of some others was respelt."""
+    documents = read(spark, sf_dir, "documents")
     counts = keep(token_counts.counted(documents), "token-counts")
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    bad = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    squeezed = documents.join(bad, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"\s+", " "))
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    # What changes is told by the text itself and counted where it is read, so no text is joined with anything.
+    old = documents.where(F.contains("text", F.lit("License")))
+    new = old.withColumn("text", F.replace("text", F.lit("License"), F.lit("Licence")))
+    inserted, deleted = (token_counts.counted(rows).join(toxic, "doc_id", "left_anti") for rows in (new, old))
     rollup = token_counts.Rollup(spark)
     rollup.commit("all documents", token_counts.differences(inserted=counts))
     rollup.commit("all documents", token_counts.differences(inserted=counts))
     rollup.commit("toxic documents", token_counts.differences(deleted=counts.join(toxic, "doc_id", "left_semi")))
     rollup.compact()
-    revised = token_counts.differences(inserted=token_counts.counted(squeezed), deleted=counts.join(bad, "doc_id", "left_semi"))
-    rollup.commit("squeezed documents", revised)
+    rollup.commit("respelt documents", token_counts.differences(inserted=inserted, deleted=deleted))
     return rollup.totals()
 
 

@@ -1,6 +1,5 @@
 """Batches of token counts: committed once, by one writer, folded, revised."""
 
-import re
 from collections import defaultdict
 
 import pytest
@@ -63,16 +62,16 @@ def test_query(spark, sf_dir):
 
     encoder = tiktoken.Encoding("plain", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.ranks_of(token_counts.TOKENIZERS["byte-bpe-50k"]), special_tokens={})
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    expected = defaultdict(lambda: [0, 0])
+    expected, respelt = defaultdict(lambda: [0, 0]), 0
     for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
         label, text = labels.get(d.doc_id), d.text or ""
         if label is not None and label.toxic == 1:
             continue
-        if label is not None and label.quality == 0:
-            text = re.sub(r"[ \t\n\x0b\f\r]+", " ", text)
+        respelt += "License" in text
+        text = text.replace("License", "Licence")
         for name, n in (("byte-bpe-50k", len(encoder.encode_ordinary(text))), (token_counts.BYTES, len(text.encode()))):
             row = expected[(d.source, d.lang, name)]
             row[0] += 1
             row[1] += n
     got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in queries.op6_token_counts(spark, sf_dir).collect()}
-    assert got == dict(expected) and any(label.quality == 0 for label in labels.values())
+    assert got == dict(expected) and respelt > 0
