@@ -20,7 +20,8 @@ a class are not expanded, and no link between two classes that share a bucket is
 joined by sorting, so that the plan is the same at every size.
 
 Null texts and texts without words link with nothing.  Rows without an id are not compared: their class is
-null and they are kept.  Rows that share an id count as one document.  Empty tables give no rows; other
+null and they are kept.  Rows that share an id count as one document; ``deduplicate``
+keeps the one with the least text.  Empty tables give no rows; other
 columns are ignored, except by ``deduplicate``, which returns all of its input.
 """
 
@@ -253,7 +254,11 @@ def deduplicate(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     classes = near_duplicates(documents, threshold)
     gone = classes.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct().hint("merge")
     left = documents.join(gone, documents["doc_id"].cast("long") == gone["gone_id"], "left_anti")
-    repeated = documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    repeated = keep(documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if not repeated.isEmpty():
-        left = left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+        row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+        # The same choice on every run; an aggregate, so a hot id is one row for each task.
+        order = F.struct("text", F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256))
+        chosen = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row")).select("row.*")
+        left = left.join(repeated, "doc_id", "left_anti").unionByName(chosen).select(*[F.col(f"`{c}`") for c in documents.columns])
     return left
