@@ -20,8 +20,8 @@ def documents_of(spark, changed=""):
         rows = [(i, f"{name}{i}", name, t) for i, t in enumerate(texts)]
         return EntityTable(name, spark.createDataFrame(rows, f"id int, name string, class_name string, {column} string"), ("id",), (column,))
 
-    words = ["red part", "blue part", "red axle", "", "green wheel part"]
-    catalog = Catalog.of([table("a", "x", words), table("b", "y", [f"{w} {k}{changed}" for k in range(3) for w in words]), table("c", "x", words[:3])])
+    words = ["red-part", "blue-part", "red-axle", "", "green-wheel-part"]  # normal form has no spaces
+    catalog = Catalog.of([table("a", "x", words), table("b", "y", [f"{w}-{k}{changed}" for k in range(3) for w in words]), table("c", "x", words[:3])])
     return docs.build_documents(catalog)
 
 
@@ -34,29 +34,36 @@ def test_indexes_are_built_once(spark, tmp_path):
     states = index_store.document_states(documents)
     first = index_store.IndexStore(spark, path)
     found = rows(index_store.candidates(first, documents, plans, states))
-    assert found == rows(candidates_for(documents, plans))
+    assert found == rows(candidates_for(documents, plans)) and {"keyword", "semantic"} <= {r[4] for r in found}
     # One corpus of targets for three plans, and two of sources for the vectors.
     assert sorted((k["part"], k["table"]) for k in first.built) == [("postings", "b"), ("vectors", "a"), ("vectors", "b"), ("vectors", "c")]
 
     def no_encoder():
         raise AssertionError("nothing is left to encode")
 
+    def everything(store, documents, states):
+        read = [index_store.stored_vectors(store, documents, plans, side, states, no_encoder, "hashing-16") for side in ("source", "target")]
+        return [frame.count() for frame in (*read, index_store.stored_postings(store, documents, plans, states))]
+
     second = index_store.IndexStore(spark, path)
-    assert rows(index_store.candidates(second, documents.repartition(3), plans, states, no_encoder)) == found and second.built == []
+    assert min(everything(second, documents.repartition(3), states)) > 0 and second.built == []
 
     changed = documents_of(spark, "!")
     third, now = index_store.IndexStore(spark, path), index_store.document_states(changed)
     assert now["a"] == states["a"] and now["b"] != states["b"]
-    assert rows(index_store.candidates(third, changed, plans, now)) == rows(candidates_for(changed, plans))
-    assert {k["table"] for k in third.built} == {"b"}
+    index_store.stored_postings(third, changed, plans, now)
+    with pytest.raises(Exception, match="nothing is left to encode"):  # the vectors of b are gone
+        everything(third, changed, now)
+    assert [k["table"] for k in third.built] == ["b"]
 
 
 def test_another_encoder_has_vectors_of_its_own(spark, tmp_path):
-    documents, plans = documents_of(spark), plans_frame(spark, PLANS)
+    documents, plans = documents_of(spark), plans_frame(spark, PLANS[:1])
     states, store = index_store.document_states(documents), index_store.IndexStore(spark, str(tmp_path))
-    index_store.candidates(store, documents, plans, states)
-    index_store.candidates(store, documents, plans, states, lambda: hashing_encoder(8), "hashing-8")
-    assert sum(k["part"] == "vectors" for k in store.built) == 6 and sum(k["part"] == "postings" for k in store.built) == 1
+    for encoder, size in (("hashing-16", 16), ("hashing-8", 8), ("hashing-16", 16)):
+        vectors = index_store.stored_vectors(store, documents, plans, "target", states, lambda n=size: hashing_encoder(n), encoder)
+        assert {r[0] for r in vectors.select(F.size("vector")).distinct().collect()} == {size}
+    assert [k["encoder"] for k in store.built] == ["hashing-16", "hashing-8"]
 
 
 def test_a_failed_build_leaves_no_index(spark, tmp_path):
@@ -68,6 +75,7 @@ def test_a_failed_build_leaves_no_index(spark, tmp_path):
 
 def test_plans_without_a_mode(spark, tmp_path):
     documents, plans = documents_of(spark), plans_frame(spark, [replace(PLAN, retrieval_modes=("keyword",))])
-    store = index_store.IndexStore(spark, str(tmp_path))
-    assert rows(index_store.candidates(store, documents, plans, index_store.document_states(documents))) == rows(candidates_for(documents, plans))
+    store, states = index_store.IndexStore(spark, str(tmp_path)), index_store.document_states(documents)
+    assert index_store.stored_vectors(store, documents, plans, "source", states, hashing_encoder, "e") is None
+    assert index_store.candidates(store, documents, plans, states).where("target_id IS NOT NULL").count() > 0
     assert [k["part"] for k in store.built] == ["postings"]
