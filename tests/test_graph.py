@@ -94,3 +94,19 @@ def test_status(spark, outcomes, edges, flags, status):
     assert row["candidates_pending"] == 2 * sum(o != "completed" for o in outcomes)
     counts = graph.outcome_counts(judged).first()
     assert counts["failed_groups"] == outcomes.count("failed") and counts["completed_candidates"] == 2 * outcomes.count("completed")
+
+
+def test_plans_move_no_edge_ids(spark):
+    """Ids of edges are made after a shuffle, and the ends of an edge travel once."""
+    from relweave.operators import explore, ladder
+
+    edges = rel.edge_relations(frame(spark, [relation("a:1", "b:1")]))
+    frames = [
+        graph.entity_edges(edges), graph.edge_ends(edges), explore.visible_edges(edges, 0.5), explore.adjacency_index(edges, 0.5),
+        explore.neighbor_union(edges), explore.label_lists(edges, ["edge_source", "edge_target"]), ladder.edge_ladder(edges),
+    ]
+    for moved in frames:
+        plan = moved._jdf.queryExecution().executedPlan().toString()
+        shuffles = [line for line in plan.splitlines() if "Exchange" in line and "AdaptiveSparkPlan" not in line]
+        assert len(shuffles) == 1, plan
+        assert "edge_id" not in shuffles[0]
