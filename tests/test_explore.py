@@ -165,3 +165,14 @@ def test_table_edge_view_and_drill_down(spark):
     assert explore.table_edge_detail(tables).first()["confidence_band"] == "较可信"
     counts = explore.graph_overview(spark.range(2), spark.range(3), tables, edges).first()
     assert tuple(counts) == (2, 3, 1, 2)
+
+
+def test_components_by_numbers_in_the_order_of_ids(spark):
+    """Rounds move numbers; the smallest number is that of the smallest id, and dangling edges join nothing."""
+    ids = ["a:10", "a:9", "b:1", "b:2", "ä:1", "c:5"]
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    numbered = {r["id"]: r["number"] for r in explore._numbered(nodes).frame.collect()}
+    assert sorted(ids, key=numbered.get) == sorted(ids, key=lambda i: i.encode())
+    edges = spark.createDataFrame([("a:9", "b:1"), ("a:10", "b:1"), ("b:2", "ä:1"), ("b:2", "x:1"), ("c:5", "x:1")], "edge_source string, edge_target string")
+    found = {r["id"]: r["component"] for r in explore.connected_components(nodes, edges).collect()}
+    assert found == {"a:10": "a:10", "a:9": "a:10", "b:1": "a:10", "b:2": "b:2", "ä:1": "b:2", "c:5": "c:5"}

@@ -162,3 +162,25 @@ def test_field_matches(spark):
            ("a", "x", "a", "x", "exact_match", "1"), ("a", "q", "b", "y", "exact_match", "1"), ("a", "x", "b", "y", "soundex", "1"), ("a", "x", "b", "y", "exact_match", "high")]
     got = validate_field_matches(spark.createDataFrame(raw, "source_table string, source_field string, target_table string, target_field string, algorithm string, confidence string"), columns)
     assert [(r["algorithm"], r["confidence"]) for r in got.collect()] == [("exact_match", 1.0), ("edit_distance", 0.95), ("numeric_difference", 0.0)]
+
+
+def test_sources_are_copied_for_blocks_of_cells_outside_python(spark):
+    """Python gives one row for each source, whatever the cells it needs, and cells are searched together up to a block."""
+    import numpy as np
+    import pandas as pd
+
+    from relweave.operators import vector_search
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    centres = np.eye(40)
+    cell_ids, sizes = np.arange(40), np.full(40, 100)
+    units = vector_search._units(centres, cell_ids, sizes, 1000)
+    assert sorted(units) == list(range(40)) and set(units.values()) == set(range(4))
+    bounds = Sent({"p": (cell_ids, sizes, np.full(40, 2.0), [np.zeros(3)] * 40)})
+    batch = pd.DataFrame({"plan_id": "p", "entity_id": [str(i) for i in range(1200)], "vector": list(np.tile(centres, (30, 1)))})
+    parts = list(vector_search._choose_units(Sent({"p": centres}), bounds, Sent({"p": units}), 10)(iter([batch])))
+    assert sum(map(len, parts)) == 1200 and max(map(len, parts)) <= vector_search.CHUNK_ROWS
+    assert all(list(c) == [0, 1, 2, 3] for part in parts for c in part["cells"])
