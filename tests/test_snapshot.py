@@ -74,3 +74,25 @@ def test_empty_parts_keep_their_columns(spark, tmp_path):
     snapshot.commit_snapshot(spark, {"entity_nodes": parts(spark, 0)["entity_nodes"]}, str(tmp_path), "f")
     found = snapshot.open_snapshot(spark, str(tmp_path))["entity_nodes"]
     assert found.columns == ["id", "n"] and found.count() == 0
+
+
+def test_a_row_is_written_by_one_call_for_a_run_of_plain_columns(spark):
+    """Every text used to call Spark's writer twice, and every name too."""
+    from relweave.functions.values import encoded_object, typed_json
+
+    odd = ["", "a", 'say "x"}', "back\\slash}}", "two\nlines\t", "\x00\x1f\x7f", "主轴 😀", "}", None]
+    rows = [
+        (t, t, [(t, True), (None, None), None], 1.5 if t else None, t, [t, None], (t,), {"k}": t}, i if i % 2 else None, t is not None)
+        for i, t in enumerate(odd)
+    ]
+    rows.append((None, "x", [], float("nan"), "", None, None, None, 2**60, None))
+    df = spark.createDataFrame(
+        rows, "a string, `b \"c` string, proofs array<struct<f:string,g:boolean>>, d double, e string, l array<string>, s struct<f:string>, m map<string,string>, n long, o boolean"
+    )
+    fields = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), typed_json(f.name, f.dataType))])
+    by_value = encoded_object(fields, F.array(*[F.lit(c) for c in df.columns]))
+    both = df.select(by_value.alias("value")).collect(), snapshot.public_json(df).collect()
+    assert both[0] == both[1]
+    assert '"f":"}"' in both[1][7].value and '"proofs":[]' in both[1][9].value
+    plain = df.select("a", "e", "proofs", "o")
+    assert snapshot.public_json(plain)._jdf.queryExecution().analyzed().toString().count("to_json(") == 1
