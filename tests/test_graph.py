@@ -110,3 +110,28 @@ def test_plans_move_no_edge_ids(spark):
         shuffles = [line for line in plan.splitlines() if "Exchange" in line and "AdaptiveSparkPlan" not in line]
         assert len(shuffles) == 1, plan
         assert "edge_id" not in shuffles[0]
+
+
+def test_tasks_are_bounded_by_rows(spark, monkeypatch):
+    """What is grouped by edge is dealt by the number of relations, not by their compressed size, and not grouped before it is dealt."""
+    from relweave import session
+    from relweave.operators import deterministic, documents, explore, ladder
+    from relweave.sources.catalog import Catalog, EntityTable
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10)
+    edges = rel.edge_relations(frame(spark, [relation(f"a:{i}", f"b:{i % 7}") for i in range(300)]))
+    tables = graph.table_edges(edges)
+    frames = [
+        graph.entity_edges(edges), graph.edge_ends(edges), graph.crossing_ends(edges), graph.table_edge_support(edges, tables), explore.visible_edges(edges, 0.4),
+        explore.neighbor_union(edges), explore.label_lists(edges, ["edge_id"]), explore.label_lists(edges, ["edge_source", "edge_target"]), ladder.edge_ladder(edges),
+    ]
+    assert [f.rdd.getNumPartitions() for f in frames] == [30] * len(frames)
+    assert [f.count() for f in frames] == [300] * 5 + [600] + [300] * 3
+    assert tables.first()["entity_edge_count"] == 300
+    names = [(i, "n", kind) for kind in ("A", "B") for i in range(20)]
+    named = spark.createDataFrame(names, "id int, name string, class_name string")
+    catalog = Catalog.of([EntityTable(kind.lower(), named.where(f"class_name = '{kind}'"), ("id",)) for kind in ("A", "B")])
+    lines = spark.createDataFrame([(i, j, "A", "B") for i in range(20) for j in range(20)], "left_id int, right_id int, left_class string, right_class string")
+    found = deterministic.relation_table_edges({"relation_id": lines.union(lines)}, documents.build_documents(catalog))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and found.count() == 400
