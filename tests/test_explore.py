@@ -176,3 +176,17 @@ def test_components_by_numbers_in_the_order_of_ids(spark):
     edges = spark.createDataFrame([("a:9", "b:1"), ("a:10", "b:1"), ("b:2", "ä:1"), ("b:2", "x:1"), ("c:5", "x:1")], "edge_source string, edge_target string")
     found = {r["id"]: r["component"] for r in explore.connected_components(nodes, edges).collect()}
     assert found == {"a:10": "a:10", "a:9": "a:10", "b:1": "a:10", "b:2": "b:2", "ä:1": "b:2", "c:5": "c:5"}
+
+
+def test_no_edge_is_looked_up_when_none_dangles(spark):
+    """Degrees and connected nodes move each edge once at most, whatever dangles."""
+    nodes = node(spark, ["a:1", "a:2", "b:1", "c:1"])
+    sound = [relation("a:1", "b:1"), relation("b:1", "a:1", "y"), relation("a:2", "a:2")]
+    for edges in (edges_of(spark, sound), edges_of(spark, [*sound, relation("a:1", "gone:1"), relation("gone:2", "c:1")])):
+        degrees, connected = explore.degrees(nodes, edges), explore.connected_nodes(nodes, edges)
+        assert {r["id"]: r["degree"] for r in degrees.collect()} == {"a:1": 1, "a:2": 1, "b:1": 1, "c:1": 0}
+        assert sorted(r["id"] for r in connected.collect()) == ["a:1", "a:2", "b:1"]
+        assert tuple(explore.isolated_count(nodes, edges).first()) == (4, 1)
+    edges = edges_of(spark, sound)
+    for found in (explore.degrees(nodes, edges), explore.connected_nodes(nodes, edges)):
+        assert "edge_source" not in found._jdf.queryExecution().executedPlan().toString()
