@@ -190,3 +190,33 @@ def test_no_edge_is_looked_up_when_none_dangles(spark):
     edges = edges_of(spark, sound)
     for found in (explore.degrees(nodes, edges), explore.connected_nodes(nodes, edges)):
         assert "edge_source" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_of_stars_and_paths(spark):
+    """Hubs with the largest id, with the smallest one and between, and paths in rising and mixed order."""
+    rng = random.Random(5)
+    ids = [f"n:{i:04d}" for i in range(400)]
+    pairs = [(99, i) for i in range(90)] + [(100, 100 + i) for i in range(1, 40)] + [(150, i) for i in range(145, 160)]
+    pairs += [(i, i + 1) for i in range(200, 260)] + [(300 + (i * 37) % 60, 300 + (i * 37 + 37) % 60) for i in range(50)]
+    pairs += [(rng.randrange(360, 400), rng.randrange(360, 400)) for _ in range(30)]
+    named = [(ids[a], ids[b]) for a, b in pairs]
+    got = explore.connected_components(node(spark, ids), edges_of(spark, [relation(a, b) for a, b in named]))
+    assert {r["id"]: r["component"] for r in got.collect()} == components_by_union(ids, named)
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Most pairs of a dense graph fall inside a tree at once, so later rounds read few."""
+    rng, stars, stored = random.Random(3), [], explore.Stored
+
+    def storing(frame, name):
+        kept = stored(frame, name)
+        if name == "star":
+            stars.append(kept.frame.count())
+        return kept
+
+    monkeypatch.setattr(explore, "Stored", storing)
+    pairs = sorted({(f"n:{rng.randrange(200, 1000)}", f"n:{rng.randrange(200)}") for _ in range(4000)})
+    ids = sorted({i for pair in pairs for i in pair})
+    got = explore.connected_components(node(spark, ids), edges_of(spark, [relation(a, b) for a, b in pairs]))
+    assert {r["id"]: r["component"] for r in got.collect()} == components_by_union(ids, pairs)
+    assert stars[0] == len(pairs) and sum(stars[1:]) < len(pairs)
