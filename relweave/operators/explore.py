@@ -89,8 +89,17 @@ def adjacency_index(edges: DataFrame, threshold: float) -> DataFrame:
     return _both_ways(edge_ends(visible_relations(edges, threshold)), "neighbor", "edge_id")
 
 
+def adjacency_by_node(edges: DataFrame, threshold: float) -> DataFrame:
+    """``adjacency_index`` dealt by node: relations move once, both ways, and joins and groups by node move them no more."""
+    ways = _both_ways(visible_relations(edges, threshold).select(*ENDS), "neighbor")
+    return dealt(ways, ("node",), edges, edges, joined=True).distinct().withColumn("edge_id", _edge_between("node", "neighbor"))
+
+
 def one_hop_focus(adjacency: DataFrame, selections: DataFrame) -> DataFrame:
-    """Nodes in focus for each selection (hovered_id, selected_id): the active node and its neighbours."""
+    """Nodes in focus for each selection (hovered_id, selected_id): the active node and its neighbours.
+
+    With many selections, an adjacency that is dealt by node saves moving it for the join.
+    """
     active = selections.select(F.coalesce("hovered_id", "selected_id").alias("active_id")).where("active_id is not null").distinct()
     near = adjacency.select(F.col("node").alias("active_id"), F.col("neighbor").alias("node_id"))
     neighbors = near.join(active, "active_id", "left_semi").withColumn("edge_id", _edge_between("active_id", "node_id"))

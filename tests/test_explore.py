@@ -45,6 +45,24 @@ def test_focus(spark):
     assert rows == {("a:1", "a:1"), ("a:1", "b:1"), ("c:1", "c:1")}
 
 
+def test_focus_of_many_moves_edges_once(spark):
+    """The adjacency is dealt by node once; the join with the active nodes takes it as it is."""
+    edges = edges_of(spark, [relation(f"a:{i}", f"b:{i % 7}", confidence=0.9) for i in range(300)] + [relation("a:1", "a:1"), relation("a:1", "gone:1", confidence=0.1)])
+    selections = node(spark, [f"a:{i}" for i in range(300)]).select(F.lit(None).cast("string").alias("hovered_id"), F.col("id").alias("selected_id"))
+    frames = [explore.one_hop_focus(adjacency(edges, 0.5), selections) for adjacency in (explore.adjacency_by_node, explore.adjacency_index)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "90")
+    try:
+        focus = explore.one_hop_focus(explore.adjacency_by_node(edges, 0.5), selections)
+        plan = focus._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert plan.count("hashpartitioning(node#") == 1 and "REPARTITION_BY_NUM" in plan
+    got, known = (sorted(map(str, f.collect())) for f in frames)
+    assert got == known and len(got) == 601
+
+
 def components_by_union(ids, pairs):
     parent = {i: i for i in ids}
 
