@@ -26,13 +26,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from relweave.llm.near_duplicates import THRESHOLD, band_codes, linked_classes, weights_batch
 from relweave.llm.repeated_substrings import anchors_of
 from relweave.llm.shingles import bags, overlaps, shingles_of
 from relweave.llm.tables import keep
 from relweave.llm.words import CHUNK_BYTES, Texts, Words, chunks, mix, running_sums, span_codes, texts_of, words_of
+from relweave.session import Stored
 
 #: Words a paragraph needs to count.
 LEAST_WORDS = 10
@@ -268,12 +269,16 @@ def _rows(documents: DataFrame, *columns) -> DataFrame:
 def _repeats(rows: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """By row: the paragraphs counted, the lines that go, the passages that go."""
     bands, size = tuned(threshold, recall)
-    banded = keep(_banded(rows, bands, size), "paragraph-bands")
-    crowded = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
-    live = keep(banded.join(crowded, "bucket", "left_semi").distinct(), "paragraph-buckets")
-    nodes = live.select("node").distinct()
-    texts = keep(_node_texts(rows).join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "paragraph-texts")
-    classes = linked_classes(live, texts, _similar(threshold), _weighed, threshold).select(F.col("id").alias("node"), F.col("component").alias("class"))
+    bands_of = Stored(_banded(rows, bands, size), "llm-paragraph-bands")
+    # Dealt by bucket once, which a group and a join would not do; few rows of a task share a bucket.
+    bucket = Window.partitionBy("bucket")
+    crowded = bands_of.frame.select("bucket", "node", F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"))
+    live = Stored(crowded.where("low <> high").select("bucket", "node").distinct(), "llm-paragraph-buckets")
+    bands_of.remove()
+    nodes = live.frame.select("node").distinct()
+    texts = Stored(_node_texts(rows).join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "llm-paragraph-texts")
+    linked = linked_classes(live.frame, texts.frame, _similar(threshold), _weighed, threshold)
+    classes = linked.select(F.col("id").alias("node"), F.col("component").alias("class"))
     places = keep(_occurrences(rows), "paragraph-places")
     member = places.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     first = member.groupBy("class").agg(F.min(F.struct("id", "place", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
@@ -281,6 +286,9 @@ def _repeats(rows: DataFrame, threshold: float, recall: float) -> tuple[DataFram
     # A document's own paragraphs only: the list is as long as its text at most.
     gone = again.select("row", "place").distinct().groupBy("row").agg(F.array_sort(F.collect_list("place")).alias("removed"))
     gone = keep(gone, "paragraph-lines")
+    # What only the classes were made from goes before the passages are written.
+    for stored in (live, texts):
+        stored.remove()
     counts = places.distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_paragraphs"))
     return counts, gone, _cuts(rows, gone)
 

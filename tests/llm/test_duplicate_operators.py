@@ -2,6 +2,7 @@
 
 import hashlib
 import tempfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ import small
 
 from relweave.llm import embeddings, near_duplicates, paragraphs, repeated_substrings
 from relweave.llm.shingles import Bags
+from relweave.session import application_folder
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -76,6 +78,13 @@ def removed_lines(docs):
     return gone
 
 
+def test_paragraphs_remove_what_is_superseded(spark, odd):
+    """The bands and what classes were made from do not stay until the passages are written."""
+    paragraphs.repeated_paragraphs(odd).collect()
+    left = {path.name.rsplit("-", 1)[0] for path in Path(application_folder(spark).removeprefix("file:")).iterdir()}
+    assert "llm-passages" in left and not left & {"llm-paragraph-bands", "llm-paragraph-buckets", "llm-paragraph-texts"}
+
+
 def test_paragraphs(spark, odd, none):
     docs = [(r[0], r[1]) for r in small.odd_rows() if r[0] != 15] + [(15, small.prose(5, 200))]
     docs = [d for d in docs if d != (None, None)]
