@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from relweave import session
 from relweave.sources import snapshot
 
 
@@ -96,3 +97,28 @@ def test_a_row_is_written_by_one_call_for_a_run_of_plain_columns(spark):
     assert '"f":"}"' in both[1][7].value and '"proofs":[]' in both[1][9].value
     plain = df.select("a", "e", "proofs", "o")
     assert snapshot.public_json(plain)._jdf.queryExecution().analyzed().toString().count("to_json(") == 1
+
+
+def test_a_part_in_buckets_is_grouped_where_it_is(spark, tmp_path):
+    """Rows used to move for every group by edge."""
+    path, of = str(tmp_path), snapshot.Buckets(4, "edge_source", ("edge_source", "edge_target"))
+    pairs = spark.createDataFrame([(f"a:{i % 7}", f"b:{i % 11}", f"l{i % 3}") for i in range(200)], "edge_source string, edge_target string, label string")
+
+    def commit(rows, fingerprint):
+        return snapshot.commit_snapshot(spark, {"relations": rows.repartition(4, "edge_source")}, path, fingerprint, buckets={"relations": of})
+
+    commit(pairs.limit(3), "f1")
+    commit(pairs, "f2")
+    found = snapshot.open_snapshot(spark, path, "f2")["relations"]
+    assert sorted(found.collect()) == sorted(pairs.collect())
+    grouped = session.dealt(found.select("edge_source", "edge_target"), ("edge_source", "edge_target"), found).distinct()
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString() and grouped.count() == 77
+    # What is written in another layout is not said to be in buckets.
+    assert session.buckets_of(found, "edge_source") == 4 and session.buckets_of(session.materialize(found, "copy"), "edge_source") is None
+    assert snapshot.remove_old_versions(spark, path, keep=1) == [1] and found.count() == 200
+
+
+def test_json_lines_are_compressed(spark, tmp_path):
+    """Texts of relations took many times the room of their columns."""
+    version = snapshot.commit_snapshot(spark, parts(spark, 3), str(tmp_path), "f", "json")
+    assert list((tmp_path / "versions").glob("*/entity_nodes/*.gz")) and version.parts(spark)["entity_nodes"].count() == 3
